@@ -7,30 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, pii, quality
+from weftgraph.llm import bpe, hmm, mixing, pii, quality, setsketch, token_store
 from weftgraph.llm.common import table
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the queries; operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     out = quality.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(spark, token_store.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.analysed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.rendered(F.col("spans")).alias("spans"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_lm": op1_hmm_lm,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_store": op3_token_store,
     "op5_pii": op5_pii,
+    "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
