@@ -1,8 +1,54 @@
-"""Corpus pipeline (filled in as its stages are built)."""
+"""Corpus pipeline: drop toxic documents, keep one of each group of near-duplicates, sanitise personal data, mix sources, encode.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns
+of ``documents``. ``run`` writes each stage as Parquet to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import bpe, mixing, pii, setsketch, toxicity
+from weftgraph.llm.common import table, write_table
+from weftgraph.llm.queries import vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_fold=0)
+    return toxicity.accepted(docs.select(*COLUMNS), model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setsketch.unique(docs.select(*COLUMNS))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitised(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it (rows that repeat an id are one document); the order of training positions is left to the reader's sort, as encoding needs none."""
+    taken = mixing.assign(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
+    taken = taken.groupBy("_id", "_source", "_size").agg(F.max("copies").alias("copies"))
+    out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, vocabulary())
+
+
+STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("personal data", sanitise), ("mixing", mix), ("encoding", encode)]
+
+#: The stages train a classifier, sketch and tokenize, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
