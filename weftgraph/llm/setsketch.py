@@ -7,11 +7,13 @@ Jaccard similarity. Bands of registers find candidates, a likelihood over how ma
 larger, smaller and equal drops hopeless ones, and the rest is verified on the full sets.
 
 Documents with equal sets are one class and meet the rest as one. Within a bucket of a band,
-candidates are pairs with a pivot, not all pairs; links found merge classes into components, and
-rounds go on for members that still differ from others of a bucket. What pivots leave is compared
-in blocks of registers, most similar first, until every pair across components that could link
-has been verified. So no group is collected, no partner is capped, and no link between components
-is lost but with the probability that all bands miss a pair (below 1e-8 at a similarity of 0.85).
+pairs with a pivot come first, not all pairs; links found merge classes into components. What
+this leaves is compared in blocks of bounded size: registers tell which members of a block could
+still link across components, their full sets are read, and pairs are verified, most similar
+first, until no pair across components is left; a block returns a tree of links at most. A pair
+that shares several bands is looked at in the first. So no group is collected, no partner is
+capped, and no link between components is lost but with the probability that all bands miss a
+pair (below 1e-8 at a similarity of 0.85) or the likelihood errs (some 1e-5).
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked
 with nothing; texts of fewer words than a shingle have one; equal rows are linked; a null id is
@@ -37,9 +39,9 @@ WIDTH, LINK = 5, 85
 BANDS, ROWS, BASE, RATE, LARGEST = 32, 5, 1.001, 64.0, 65535
 M = BANDS * ROWS
 #: A candidate is dropped if its likelihood at LINK is below the best by more than this logarithm.
-DROP = 14.0
-#: Rounds of pivots; members of a block of registers; classes that may be broadcast (16 bytes each).
-PIVOTS, BLOCK, BROADCAST = 3, 512, 500_000
+DROP = 10.0
+#: Members of a block; classes that may be broadcast (an id and two hashes each).
+BLOCK, BROADCAST = 256, 300_000
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -167,7 +169,7 @@ _ODD = _RNG.integers(1, 1 << 63, (BANDS, ROWS + 1), np.uint64) | np.uint64(1)
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("key", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 2048):
             part = batch.slice(k, 2048)
@@ -175,7 +177,7 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 regs = _regs(part.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
                 buckets = _mix((regs * _ODD[None, :, :ROWS]).sum(2) + _ODD[None, :, ROWS]).astype(np.int64)
                 keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS)))
-                yield record(schema, pa.array(buckets.reshape(-1)), keys)
+                yield record(schema, pa.array(buckets.reshape(-1)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)), keys)
 
 
 def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,38 +210,72 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield record(schema, *zip(*linked, strict=True))
 
 
-def _blocks(most: int):
-    """Plausible pairs across components within a block of a bucket: the ``most`` likeliest for a member and another component; cut: there are more."""
+def _open_pairs(regs: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, band: int, two: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member i of a block its partners after i that could link, in another component and in no earlier band: (i, partners, likely similarities)."""
+    bands = regs.reshape(-1, BANDS, ROWS)
+    for i in range(len(regs) - 1):
+        o = np.arange(i + 1, len(regs))
+        ok = (label[o] != label[i]) & (np.minimum(n[o], n[i]) * 100 >= LINK * np.maximum(n[o], n[i]))
+        o = o[ok & (own[o] != own[i]) if two else ok]
+        if len(o) and band:
+            o = o[~(bands[o, :band] == bands[i, :band]).all(2).any(1)]
+        if len(o):
+            more, less = (regs[i] > regs[o]).sum(1), (regs[i] < regs[o]).sum(1)
+            j, ok = estimate(more, less, np.full(len(o), n[i]), n[o])
+            if ok.any():
+                yield i, o[ok], j[ok]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("cut", pa.bool_())])
-        for batch in batches:
-            for members in batch.column(0).to_pylist():
-                keys, labels = [m["key"] for m in members], [m["label"] for m in members]
-                number = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-                if len(number) < 2:
+
+def _arrays(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    number = {x: i for i, x in enumerate(dict.fromkeys(m["label"] for m in members))}
+    regs = np.frombuffer(b"".join(m["regs"] for m in members), np.uint16).reshape(-1, M)
+    return regs, np.array([m["n"] for m in members]), np.array([number[m["label"]] for m in members]), np.array([m["own"] for m in members])
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of blocks whose sets have to be read, from rows (bucket, band, i, j, members)."""
+    schema = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.binary()), ("label", pa.binary()), ("own", pa.int32()), ("n", pa.int64()), ("regs", pa.binary())])
+    for batch in batches:
+        for bucket, band, i, j, members in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            need = set()
+            for x, others, _ in _open_pairs(*_arrays(members), band, i != j):
+                need.add(x)
+                need.update(others.tolist())
+            if need:
+                rows = [(bucket, band, i, j, m["key"], m["label"], m["own"], m["n"], m["regs"]) for k, m in enumerate(members) if k in need]
+                yield record(schema, *zip(*rows, strict=True))
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components within a block, most similar pairs first: a tree of links at most, from rows (band, i, j, members with texts)."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    for batch in batches:
+        for band, i, j, members in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            sets: list[np.ndarray] = []
+            for k in range(0, len(members), 64):
+                sets += shingle_sets([m["text"].encode() for m in members[k : k + 64]])
+            arrays = _arrays(members)
+            root = arrays[2].tolist()
+            top = list(range(max(root) + 1))
+
+            def find(x: int, top=top) -> int:
+                while top[x] != x:
+                    top[x] = top[top[x]]
+                    x = top[x]
+                return x
+
+            pairs = [(-float(s), x, int(o)) for x, os, js in _open_pairs(*arrays, band, i != j) for o, s in zip(os, js, strict=True)]
+            out = []
+            for _, x, o in sorted(pairs):
+                p, q = find(root[x]), find(root[o])
+                if p == q:
                     continue
-                regs = np.frombuffer(b"".join(m["regs"] for m in members), np.uint16).reshape(-1, M)
-                n, label = np.array([m["n"] for m in members]), np.array([number[x] for x in labels])
-                out = []
-                for i in range(len(members)):
-                    others = np.flatnonzero((label != label[i]) & (np.minimum(n, n[i]) * 100 >= LINK * np.maximum(n, n[i])))
-                    if not len(others):
-                        continue
-                    more, less = (regs[i] > regs[others]).sum(1), (regs[i] < regs[others]).sum(1)
-                    j, ok = estimate(more, less, np.full(len(others), n[i]), n[others])
-                    others, j = others[ok], j[ok]
-                    taken: dict[int, int] = {}
-                    for o in others[np.argsort(-j, kind="stable")].tolist():
-                        c = taken[label[o]] = taken.get(label[o], 0) + 1
-                        if c <= most:
-                            out.append((*sorted((keys[i], keys[o])), False))
-                        elif c == most + 1:
-                            out.append((keys[i], keys[i], True))
-                if out:
-                    yield record(schema, *zip(*out, strict=True))
-
-    return run
+                both = len(np.intersect1d(sets[x], sets[o], assume_unique=True))
+                if 100 * both >= LINK * (len(sets[x]) + len(sets[o]) - both):
+                    top[p] = q
+                    out.append((members[x]["key"], members[o]["key"]))
+            if out:
+                yield record(schema, *zip(*out, strict=True))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,23 +300,47 @@ def _same_or(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("label", "_label"), "key", "left").withColumn("label", F.coalesce("_label", "key")).drop("_label")
 
 
-def _check(pairs: DataFrame, nodes: DataFrame, sketches: DataFrame, docs: DataFrame, screened: bool) -> DataFrame:
-    """Of (a, b), those that link."""
-    if not screened:
-        regs = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-        pairs = pairs.join(regs("a"), "a").join(regs("b"), "b").where(F.least("n_a", "n_b") * 100 >= LINK * F.greatest("n_a", "n_b"))
-        pairs = write_table(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_plausible, "a binary, b binary"), "pairs")
-    # one document stands for each class of equal sets
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _texts(keys: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) of one document for each class of equal sets. The ids to look for are broadcast if they are few; else both sides are shuffled."""
     one = sketches.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("d")).select("key", F.col("d.doc_id").alias("_id"), F.col("d.text_key").alias("_text"))
     one = write_table(one, "standing")
     few = one.count() <= BROADCAST
     met = docs.join(F.broadcast(one) if few else one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select("key", "text")
-    texts = write_table(met, "texts").dropDuplicates(["key"]) if False else write_table(met, "texts")
+    texts = write_table(met, "texts")
+    drop_table(one)
+    return texts
+
+
+def _star_links(members: DataFrame, nodes: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between each bucket's pivot and its members."""
+    pairs = members.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    regs = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    pairs = pairs.join(regs("a"), "a").join(regs("b"), "b").where(F.least("n_a", "n_b") * 100 >= LINK * F.greatest("n_a", "n_b"))
+    pairs = write_table(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_plausible, "a binary, b binary"), "pairs")
+    texts = _texts(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key"), sketches, docs)
     side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     links = write_table(whole.mapInArrow(_verified, "a binary, b binary").distinct(), "links")
-    for used in (one, texts):
+    for used in (pairs, texts):
+        drop_table(used)
+    return links
+
+
+def _block_links(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links across components within buckets, block by block."""
+    met = _same_or(labels, members.select("bucket", "band", "key"))
+    mixed = met.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    parts = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), parts).cast("int")
+    rows = met.join(mixed.select("bucket", "c"), "bucket").select("bucket", "band", "key", "label", parts.alias("parts"), own.alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(nodes, "key")
+    rows = rows.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label", "own", "n", "regs")
+    group = lambda x, *more: x.groupBy("bucket", "band", "i", "j").agg(F.collect_list(F.struct("key", "label", "own", "n", "regs", *more)).alias("members"))
+    wanted = write_table(group(rows).mapInArrow(_wanted, "bucket long, band int, i int, j int, key binary, label binary, own int, n long, regs binary"), "wanted")
+    texts = _texts(wanted.select("key").distinct(), sketches, docs)
+    full = group(wanted.join(texts, "key"), "text").select("band", "i", "j", "members")
+    links = write_table(full.mapInArrow(_joined, "a binary, b binary").distinct(), "links")
+    for used in (wanted, texts):
         drop_table(used)
     return links
 
@@ -292,44 +352,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketches = write_table(rows.mapInArrow(_sketch, _SKETCH_SQL), "sketches")
     full = sketches.where("key is not null")
     nodes = write_table(full.select("key", "n", "regs").repartition("key").mapInArrow(_first, "key binary, n long, regs binary"), "nodes")
-    bands = nodes.select("key", "regs").mapInArrow(_bands, "bucket long, key binary")
+    bands = nodes.select("key", "regs").mapInArrow(_bands, "bucket long, band int, key binary")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1")
-    members = write_table(bands.join(shared, "bucket").select("bucket", "key", "pivot"), "members")
-    pairs = write_table(members.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "candidates")
-    links = tried = None
-    labels = None
-    round_, most, screened = 0, 4, False
-    while True:
-        found = _check(pairs, nodes, sketches, rows, screened)
-        tried = write_table(pairs if tried is None else tried.union(pairs), "tried")
-        links = found if links is None else write_table(links.union(found), "links")
-        if not found.isEmpty():
-            labels = components(links)
-        round_ += 1
-        while True:  # further candidates: across components within a bucket
-            met = _same_or(labels, members)
-            mixed = met.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(round_)), "key", "label")).alias("p")).where("lo < hi")
-            open_ = met.join(mixed.select("bucket", "c", "p"), "bucket")
-            if round_ <= PIVOTS:
-                new = open_.where(F.col("label") != F.col("p.label")).select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b"))
-                screened = False
-            else:
-                parts = F.ceil(F.col("c") / BLOCK).cast("int")
-                own = F.pmod(F.xxhash64("key"), parts).cast("int")
-                blocked = open_.select("bucket", "key", "label", parts.alias("parts"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                blocked = blocked.join(nodes, "key").groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("key", "label", "n", "regs")).alias("members"))
-                kernel = write_table(blocked.select("members").mapInArrow(_blocks(most), "a binary, b binary, cut boolean"), "blocks")
-                new, cut = kernel.where("not cut").select("a", "b"), not kernel.where("cut").isEmpty()
-                screened = True
-            pairs = write_table(new.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-            if not pairs.isEmpty():
-                break
-            if round_ <= PIVOTS:
-                round_ = PIVOTS + 1
-            elif cut:
-                most *= 4
-            else:
-                return _result(sketches, labels)
+    members = write_table(bands.join(shared, "bucket").select("bucket", "band", "key", "pivot"), "members")
+    links = _star_links(members, nodes, sketches, rows)
+    labels = None if links.isEmpty() else components(links)
+    more = _block_links(members, labels, nodes, sketches, rows)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    return _result(sketches, labels)
 
 
 def _result(sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
