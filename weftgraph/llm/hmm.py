@@ -18,8 +18,8 @@ one; without training texts all counts are 0; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +31,8 @@ from weftgraph.llm.common import drop_table, fold_of, record, slices, texts_of,
 
 #: Hidden states; words that are classes of their own (of at most LONGEST bytes); classes of the others; passes of Baum-Welch.
 STATES, CLASSES, LONGEST, TAILS, ROUNDS = 8, 4096, 64, 512, 5
-#: Tokens of a training window; added to counts.
-SPAN, SMOOTH = 64, 0.5
+#: Tokens of a training window; added to counts; bytes of text that share a dictionary.
+SPAN, SMOOTH, RUN = 64, 0.5, 12 << 20
 #: The end of a text as a dictionary entry: no word has a space.
 END = b" "
 
@@ -60,16 +60,19 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         nonlocal number
-        total, trained = Counter(), Counter()
-        for _, out, ws in held:
-            total.update(ws)
-            if not out:
-                trained.update(ws)
-        words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
-        place = {w: i for i, w in enumerate(words)}.__getitem__
-        ids = np.array([i for _, _, ws in held for i in map(place, ws)], np.int32)
+        flat = [w for _, _, ws in held for w in ws]
+        lengths = np.array([len(ws) for _, _, ws in held])
+        place = dict(zip(dict.fromkeys(flat), itertools.count()))
+        ids = np.fromiter(map(place.__getitem__, flat), np.int32, len(flat))
+        del flat
+        order = np.argsort(-np.bincount(ids, minlength=len(place)), kind="stable")
+        rank = np.empty(len(place), np.int32)
+        rank[order] = np.arange(len(place), dtype=np.int32)
+        ids = rank[ids]
+        trained = np.bincount(ids[np.repeat([not out for _, out, _ in held], lengths)], minlength=len(place))
+        words = pa.array([*place], pa.binary()).take(pa.array(order))
         number += 1
-        return record(schema, [number], [words], [[trained[w] for w in words]], [[d for d, _, _ in held]], [[o for _, o, _ in held]], [[len(ws) for _, _, ws in held]], [_pack(ids)])
+        return record(schema, [number], pa.ListArray.from_arrays([0, len(place)], words), pa.ListArray.from_arrays([0, len(place)], pa.array(trained, pa.int32())), [[d for d, _, _ in held]], [[o for _, o, _ in held]], [lengths.tolist()], [_pack(ids)])
 
     for part in slices(batches, "text", 2 << 20):
         for doc_id, out, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part), strict=True):
@@ -77,7 +80,7 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ws.append(END)
             held.append((doc_id, out, ws))
             size += len(text) + 16
-            if size > 8 << 20:
+            if size > RUN:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -86,7 +89,7 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tail(word: Column) -> Column:
     """Class of a word that is none of its own: by its last three bytes."""
-    return F.lit(CLASSES) + (F.crc32(F.expr("right(word, 3)").cast("binary")) % TAILS).cast("int") if False else F.lit(CLASSES) + (F.crc32(F.substring(word, -3, 3)) % TAILS).cast("int")
+    return F.lit(CLASSES) + (F.crc32(F.substring(word, -3, 3)) % TAILS).cast("int")
 
 
 def _start(prior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,10 +215,12 @@ def train(texts: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> tuple[tu
 _TEXT = "n int, classes binary, doc_id long, held boolean, n_tokens long, n_known long, base double, within double"
 
 
-def _resolve_task(n_all: int, n_words: int):
+def _resolve_task(n_all: int, n_words: int, stats: dict[int, tuple[int, int]]):
     """Texts of a run as class ids, with the parts of their scores that need no states, from the run's row and its dictionary's counts."""
     schema = pa.schema([("n", pa.int32()), ("classes", pa.binary()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("within", pa.float64())])
 
+    size = np.array([stats.get(i, (0, 0))[0] + SMOOTH * (stats.get(i, (0, 0))[1] + 1) for i in range(CLASSES + TAILS)])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -225,7 +230,7 @@ def _resolve_task(n_all: int, n_words: int):
                 back[order] = np.arange(len(order))
                 count = get("totals").values.to_numpy(zero_copy_only=False)[back]
                 own = get("classes").values.to_numpy(zero_copy_only=False)[back].astype(np.uint16)
-                within = get("withins").values.to_numpy(zero_copy_only=False)[back]
+                within = np.where(own < CLASSES, 0.0, np.log10((count + SMOOTH) / size[own]))
                 base = np.log10((count + 0.5) / (n_all + 0.5 * (n_words + 1)))
                 ids = _unpack(get("ids").as_py())
                 lengths = np.array(get("lengths").as_py())
@@ -269,13 +274,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     prior = np.array([stats.get(i, (0, 0))[0] + SMOOTH for i in range(k)], np.float64)
     prior[len(own) : CLASSES] = 0  # classes that have no word
     prior /= prior.sum()
-    sizes = spark.createDataFrame([(i, *stats.get(i, (0, 0))) for i in range(CLASSES, k)], "class int, c long, v long")
-    within = F.when(F.col("class") < CLASSES, 0.0).otherwise(F.log10((F.col("total") + SMOOTH) / (F.col("c") + SMOOTH * (F.col("v") + 1))))
-    known = counted.join(F.broadcast(sizes), "class", "left").select("word", "total", "class", within.alias("within"))
-    met = places.select("chunk", "place", "word").join(known, "word")
-    each = met.groupBy("chunk").agg(F.collect_list(F.struct("place", "total", "class", "within")).alias("m"))
-    each = each.select("chunk", F.col("m.place").alias("places"), F.col("m.total").alias("totals"), F.col("m.class").alias("classes"), F.col("m.within").alias("withins"))
-    texts = each.join(runs.select("chunk", "doc_ids", "held", "lengths", "ids"), "chunk").mapInArrow(_resolve_task(n_all, n_words), _TEXT)
+    met = places.select("chunk", "place", "word").join(counted, "word")
+    each = met.groupBy("chunk").agg(F.collect_list(F.struct("place", "total", "class")).alias("m"))
+    each = each.select("chunk", F.col("m.place").alias("places"), F.col("m.total").alias("totals"), F.col("m.class").alias("classes"))
+    texts = each.join(runs.select("chunk", "doc_ids", "held", "lengths", "ids"), "chunk").mapInArrow(_resolve_task(n_all, n_words, stats), _TEXT)
     texts = write_table(texts, "hmm-texts")
     for used in (runs, counted):
         drop_table(used)
