@@ -1,6 +1,780 @@
-"""Registry of queries and of the SQL that each is held against."""
+"""Registry of queries over the driver's tables, and of the SQL that each is held against.
+
+A query's name starts with the ids of the operators it runs. Tables stand in for the natural
+inputs: users' event streams are instruction streams and their transitions are graphs,
+customers and suppliers are Internal and External vertices, embeddings are feature vectors,
+order lines are transactions and listing lines. Doubles are rounded to six digits at the end.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftgraph.functions import hashing, ngrams, similarity, sketches
+from weftgraph.operators import anomaly, clustering, evaluation, ged, graph, mining, pairs
+from weftgraph.plans import programs
+from weftgraph.sources import delimited, gml, listing, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, name: str | None = None):
+    col = F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return col.alias(name or c) if name or isinstance(c, str) else col
+
+
+# ---- stand-ins -----------------------------------------------------------------------------
+
+
+def streams(spark, d) -> DataFrame:
+    """(user_id, pos, token): each user's event types in order."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).alias("pos"), F.col("event_type").alias("token"))
+
+
+def token_lists(spark, d) -> DataFrame:
+    """(user_id, tokens)."""
+    e = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
+    return e.select("user_id", F.transform("x", lambda s: s["event_type"]).alias("tokens"))
+
+
+def user_graphs(spark, d, bits: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Graphs of event types (External vertices, named) with distinct transitions as edges; ids by name."""
+    s = streams(spark, d)
+    v = s.select(F.col("user_id").alias("graph"), F.col("token").alias("name")).distinct()
+    v = v.withColumn("id", F.dense_rank().over(Window.partitionBy("graph").orderBy("name")) - 1).withColumn("type", F.lit(graph.EXTERNAL))
+    nxt = F.lead("token").over(Window.partitionBy("user_id").orderBy("pos"))
+    e = s.select(F.col("user_id").alias("graph"), F.col("token").alias("a"), nxt.alias("b")).where("b is not null").distinct()
+    ids = v.select("graph", "name", "id")
+    e = e.join(ids.select("graph", F.col("name").alias("a"), F.col("id").alias("src")), ["graph", "a"]).join(ids.select("graph", F.col("name").alias("b"), F.col("id").alias("dst")), ["graph", "b"])
+    return v, e.select("graph", "src", "dst")
+
+
+S_TOKENS = "s AS (SELECT user_id, event_type AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+S_LISTS = "l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS tokens FROM events GROUP BY user_id)"
+S_GRAPH = f"""{S_TOKENS},
+v AS (SELECT user_id AS graph, name, dense_rank() OVER (PARTITION BY user_id ORDER BY name) - 1 AS id FROM (SELECT DISTINCT user_id, token AS name FROM s)),
+tr AS (SELECT DISTINCT user_id AS graph, token AS a, b FROM (SELECT user_id, token, lead(token) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM s) WHERE b IS NOT NULL),
+e AS (SELECT tr.graph, x.id AS src, y.id AS dst FROM tr JOIN v x ON x.graph = tr.graph AND x.name = tr.a JOIN v y ON y.graph = tr.graph AND y.name = tr.b)"""
+
+
+def s_hash(x: str) -> str:
+    return f"list_reduce(list_transform(string_split('' || {x}, ''), lambda c: unicode(c)::BIGINT), lambda a, c: ((a * 31 + c + 2147483648) & 4294967295) - 2147483648, 0::BIGINT)"
+
+
+def s_md5(x: str) -> str:
+    return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+
+
+def unit_vectors(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+S_VEC = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+S_DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+S_PAIRS = f"{S_VEC}, d AS (SELECT a.id, b.id AS other, round({S_DIST}, 9) AS d FROM p a JOIN p b ON a.id <> b.id)"
+
+
+def vector_distances(spark, d) -> DataFrame:
+    """Symmetric distances (id, other, d) of all vectors, rounded so that ties are the same everywhere."""
+    p = unit_vectors(spark, d)
+    a, b = p.select("id", "v"), p.select(F.col("id").alias("other"), F.col("v").alias("w"))
+    return a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(similarity.euclidean(F.col("v"), F.col("w")), 9).alias("d"))
+
+
+# ---- flagship: graphs to bucket vectors ------------------------------------------------------
+
+_S_FE10 = f"""{S_GRAPH}, h AS (SELECT name, ({s_hash("name")}) % 1024 AS bucket FROM (SELECT DISTINCT name FROM v)),
+vb AS (SELECT v.graph, v.id, h.bucket FROM v JOIN h USING (name)),
+vec AS (SELECT graph, 'vertex' AS kind, bucket::VARCHAR AS bucket, count(*) AS freq FROM vb GROUP BY ALL
+ UNION ALL SELECT e.graph, 'edge', x.bucket::VARCHAR || '-' || y.bucket::VARCHAR AS bucket, count(*) FROM e JOIN vb x ON x.graph = e.graph AND x.id = e.src JOIN vb y ON y.graph = e.graph AND y.id = e.dst GROUP BY ALL)"""
+_S_TFIDF = """df AS (SELECT kind, bucket, count(DISTINCT graph) AS df FROM vec GROUP BY ALL), n AS (SELECT count(DISTINCT graph) AS n FROM vec)
+SELECT graph, kind, bucket, freq, df, round((1 + ln(freq)) * CASE WHEN kind = 'vertex' THEN ln(1 + df) ELSE ln(n + 1) - ln(1 + df) END, 6) AS weight FROM vec JOIN df USING (kind, bucket), n"""
+
+
+@query(f"WITH {_S_FE10} SELECT * FROM vec")
+def fe10_ag1_jn5_vectors_events(spark, d):
+    v, e = user_graphs(spark, d)
+    return graph.graph_vectors(graph.bucketed(v, F.lit(None).cast("int"), 10), e)
+
+
+@query(f"WITH {_S_FE10}, {_S_TFIDF}")
+def fe10_tfidf_events(spark, d):
+    v, e = user_graphs(spark, d)
+    return graph.tf_idf(graph.graph_vectors(graph.bucketed(v, F.lit(None).cast("int"), 10), e)).withColumn("weight", r6("weight"))
+
+
+def customer_graphs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Customers call suppliers; a graph for each customer nation."""
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("graph"), (2 * F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"), F.lit(graph.INTERNAL).alias("type"), F.col("c_custkey"))
+    calls = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).join(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").join(c.select("c_custkey", "graph"), "c_custkey")
+    e = calls.select("graph", (2 * F.col("c_custkey")).alias("src"), (2 * F.col("s_suppkey") + 1).alias("dst")).distinct()
+    s = e.select("graph", F.col("dst").alias("id")).distinct().join(t(spark, d, "supplier").select((2 * F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("name")), "id").withColumn("type", F.lit(graph.EXTERNAL))
+    return c.drop("c_custkey").unionByName(s), e
+
+
+_S_CUST = f"""e AS (SELECT DISTINCT c_nationkey AS graph, 2 * c_custkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+vb AS (SELECT c_nationkey AS graph, 2 * c_custkey AS id, ({s_hash("c_name")}) % 64 AS bucket FROM customer
+ UNION ALL SELECT x.graph, x.dst, ({s_hash("s_name")}) % 64 FROM (SELECT DISTINCT graph, dst FROM e) x JOIN supplier ON 2 * s_suppkey + 1 = x.dst),
+vec AS (SELECT graph, 'vertex' AS kind, bucket::VARCHAR AS bucket, count(*) AS freq FROM vb GROUP BY ALL
+ UNION ALL SELECT e.graph, 'edge', x.bucket::VARCHAR || '-' || y.bucket::VARCHAR AS bucket, count(*) FROM e JOIN vb x ON x.graph = e.graph AND x.id = e.src JOIN vb y ON y.graph = e.graph AND y.id = e.dst GROUP BY ALL)"""
+
+
+@query(f"WITH {_S_CUST}, {_S_TFIDF}")
+def fe10_ag4_tfidf_customers(spark, d):
+    v, e = customer_graphs(spark, d)
+    b = v.withColumn("bucket", hashing.name_bucket(F.col("name"), 6))
+    return graph.tf_idf(graph.graph_vectors(b, e)).withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {_S_FE10} SELECT kind, bucket, count(DISTINCT graph) AS df FROM vec GROUP BY ALL")
+def ag2_ag3_document_frequency(spark, d):
+    return fe10_ag1_jn5_vectors_events(spark, d).groupBy("kind", "bucket").agg(F.count_distinct("graph").alias("df"))
+
+
+@query(f"WITH {_S_FE10} SELECT graph, bucket, freq FROM vec WHERE kind = 'edge'")
+def prj9_edge_vectors(spark, d):
+    v, e = user_graphs(spark, d)
+    return graph.graph_vectors(graph.bucketed(v, F.lit(None).cast("int"), 10), e, ("edge",)).drop("kind")
+
+
+@query(f"WITH {_S_FE10} SELECT vb.graph, vb.id, vb.bucket::VARCHAR AS name FROM vb")
+def gr14_renamed(spark, d):
+    v, _ = user_graphs(spark, d)
+    return graph.renamed(graph.bucketed(v, F.lit(None).cast("int"), 10)).select("graph", "id", "name")
+
+
+# ---- hashes ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT p_name AS name, {s_hash('p_name')} AS hash, (({s_hash('p_name')}) % 256)::INT AS bucket, {s_md5('p_name')} AS portable FROM part")
+def sk10_sk11_string_hashes(spark, d):
+    n = F.col("p_name")
+    return t(spark, d, "part").select(n.alias("name"), hashing.string_hash(n).alias("hash"), hashing.name_bucket(n, 8).alias("bucket"), hashing.portable_hash(n).alias("portable"))
+
+
+@query("SELECT o_orderkey, (list_reduce([o_orderkey, o_custkey, o_orderkey * o_custkey * 1000003], lambda a, v: ((a * 31 + (((xor(v, v >> 32)) & 4294967295) + 2147483648) % 4294967296 - 2147483648 + 2147483648) & 4294967295) - 2147483648, 1::BIGINT) % 4096)::INT AS bucket FROM orders")
+def sk8_cl8_signature_buckets(spark, d):
+    sig = F.array("o_orderkey", "o_custkey", F.col("o_orderkey") * F.col("o_custkey") * 1000003)
+    return t(spark, d, "orders").select("o_orderkey", hashing.signature_bucket(sig, 12).alias("bucket"))
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem")
+def sk13_unordered_pairs(spark, d):
+    return t(spark, d, "lineitem").select(hashing.pair_key(F.col("l_partkey"), F.col("l_suppkey")).alias("k")).distinct().select("k.*")
+
+
+# ---- n-grams and features --------------------------------------------------------------------
+
+
+def _s_grams(n: int, sep: str, ends: bool) -> str:
+    tail = f" || '{sep}'" if ends else ""
+    return f"g AS (SELECT user_id, unnest(list_transform(range(1, len(tokens) - {n} + 2), lambda i: array_to_string(tokens[i:i + {n - 1}], '{sep}'){tail})) AS ngram FROM l)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS style, ngram, count(*) AS n FROM (WITH {S_LISTS}, {_s_grams(2, s, e)} SELECT * FROM g) GROUP BY ALL" for k, s, e in (("hashed", ",", True), ("vocabulary", "-", True), ("sketch", "", False))))
+def fe1_wn1_ngrams(spark, d):
+    lists = token_lists(spark, d)
+    styles = {"hashed": ngrams.HASHED, "vocabulary": ngrams.VOCABULARY, "sketch": ngrams.SKETCH}
+    tagged = lambda k: lambda g: F.struct(F.lit(k).alias("style"), g.alias("ngram"))
+    all_ = F.concat(*[F.transform(ngrams.token_ngrams(F.col("tokens"), 2, s), tagged(k)) for k, s in styles.items()])
+    return lists.select(F.explode(all_).alias("g")).groupBy("g.style", "g.ngram").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S_LISTS}, {_s_grams(3, ',', True)} SELECT user_id, ngram, count(*) AS n FROM g GROUP BY ALL")
+def fe1_window_ngrams(spark, d):
+    return ngrams.ngram_rows(streams(spark, d), ["user_id"], "pos", "token", 3).groupBy("user_id", "ngram").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {S_LISTS}, {_s_grams(2, ',', True)} SELECT user_id, array_to_string(list_sort(list_distinct(list(({s_md5('ngram')}) % 64))), ',') AS bins FROM g GROUP BY user_id")
+def fe2_hashed_sets(spark, d):
+    return token_lists(spark, d).select("user_id", F.array_join(ngrams.hashed_set(ngrams.token_ngrams(F.col("tokens"), 2), 6).cast("array<string>"), ",").alias("bins"))
+
+
+@query(f"""WITH {S_LISTS}, {_s_grams(2, ',', True)}, c AS (SELECT user_id, (({s_md5('ngram')}) % 256)::INT AS bin, count(*) AS n FROM g GROUP BY ALL)
+SELECT user_id, bin, n, round(n / sum(n) OVER w, 6) AS freq, round(n / sqrt(sum(n * n) OVER w), 6) AS unit FROM c WINDOW w AS (PARTITION BY user_id)""")
+def fe3_hashed_frequency(spark, d):
+    g = token_lists(spark, d).select("user_id", F.explode(ngrams.token_ngrams(F.col("tokens"), 2)).alias("ngram"))
+    return ngrams.frequency_rows(g, ["user_id"], 8).select("user_id", "bin", "n", r6("freq"), r6("unit"))
+
+
+_S_FIRST = f"""WITH {S_TOKENS}, g AS (SELECT user_id, pos, token || '-' || lead(token) OVER (PARTITION BY user_id ORDER BY pos) || '-' AS ngram FROM s),
+f AS (SELECT ngram, min((user_id, pos)) AS first FROM g WHERE ngram IS NOT NULL GROUP BY ngram), voc AS (SELECT ngram, (row_number() OVER (ORDER BY first) - 1)::INT AS idx FROM f)"""
+
+
+@query(f"{_S_FIRST} SELECT ngram, idx FROM voc")
+def fe5_wn5_vocabulary(spark, d):
+    g = ngrams.ngram_rows(streams(spark, d), ["user_id"], "pos", "token", 2, ngrams.VOCABULARY)
+    return ngrams.vocabulary(g, ["user_id", "pos"])
+
+
+@query(f"{_S_FIRST}, k AS (SELECT * FROM voc WHERE idx < 12) SELECT user_id, idx, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS freq FROM g JOIN k USING (ngram) GROUP BY user_id, idx")
+def fe4_jn9_vocabulary_counts(spark, d):
+    g = ngrams.ngram_rows(streams(spark, d), ["user_id"], "pos", "token", 2, ngrams.VOCABULARY)
+    vocab = ngrams.vocabulary(g, ["user_id", "pos"]).where("idx < 12")  # the rest are unknown n-grams
+    return ngrams.vocabulary_counts(g, ["user_id"], vocab, True).select("user_id", "idx", "n", r6("freq"))
+
+
+_MH = sketches.minhash_parameters(8, 7)
+_M31 = (1 << 31) - 1
+
+
+@query(f"""WITH {S_LISTS}, {_s_grams(2, '', False)}, h AS (SELECT user_id, ({s_md5('ngram')}) & {_M31} AS v FROM g),
+k AS (SELECT unnest(range(8)) AS i, unnest({[a for a, _ in _MH]}::BIGINT[]) AS a, unnest({[b for _, b in _MH]}::BIGINT[]) AS b)
+SELECT user_id, array_to_string(list(m ORDER BY i), ',') AS signature FROM (SELECT user_id, i, min((a * v + b) & {_M31}) AS m FROM h, k GROUP BY user_id, i) GROUP BY user_id""")
+def fe6_sk1_ag12_minhash(spark, d):
+    grams = ngrams.token_ngrams(F.col("tokens"), 2, ngrams.SKETCH)
+    return token_lists(spark, d).select("user_id", F.array_join(sketches.minhash_tokens(grams, _MH).cast("array<string>"), ",").alias("signature"))
+
+
+@query(f"""WITH {S_LISTS}, x AS (SELECT user_id, list_sort(list_distinct(list_transform(tokens, lambda z: ({s_md5('z')}) % 4096))) AS v FROM l),
+k AS (SELECT unnest(range(8)) AS i, unnest({[a for a, _ in _MH]}::BIGINT[]) AS a, unnest({[b for _, b in _MH]}::BIGINT[]) AS b),
+m AS (SELECT user_id, list(q ORDER BY i) AS sig FROM (SELECT x.user_id, i, list_min(list_transform(v, lambda z: (a * z + b) & {_M31})) AS q FROM x, k) GROUP BY user_id)
+SELECT a.user_id AS a, b.user_id AS b, round(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / 8, 6) AS sim FROM m a JOIN m b ON a.user_id < b.user_id""")
+def sk2_sk3_sim4_minhash_similarity(spark, d):
+    sets = F.array_distinct(F.transform("tokens", lambda x: hashing.portable_hash(x) % 4096))
+    m = token_lists(spark, d).select("user_id", sketches.minhash(sets, _MH).alias("sig"))
+    return pairs.upper_pairs(m, "user_id", ["sig"]).select(F.col("user_id_a").alias("a"), F.col("user_id_b").alias("b"), r6(sketches.minhash_similarity(F.col("sig_a"), F.col("sig_b")), "sim"))
+
+
+@query("WITH h AS (SELECT item_id, lower(hex(encode(text))) AS x FROM benchmark) SELECT item_id, ngram, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(0, length(x) // 2 - 1), lambda i: substr(x, (2 * i + 1)::INT, 4))) AS ngram FROM h) GROUP BY ALL")
+def fe9_src17_byte_ngrams(spark, d):
+    return programs.byte_ngrams(t(spark, d, "benchmark").select(F.col("item_id").alias("binary"), F.encode("text", "UTF-8").alias("content")), 2).withColumnRenamed("binary", "item_id")
+
+
+# ---- similarities ----------------------------------------------------------------------------
+
+
+@query(f"""WITH {S_VEC}, q AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS dot,
+ sqrt(list_sum(list_transform(a.v, lambda z: z * z))) AS ma, sqrt(list_sum(list_transform(b.v, lambda z: z * z))) AS mb, {S_DIST} AS e,
+ list_sum(list_transform(list_zip(a.v, b.v), lambda z: least(abs(z[1]), abs(z[2])))) / list_sum(list_transform(list_zip(a.v, b.v), lambda z: greatest(abs(z[1]), abs(z[2])))) AS w
+ FROM p a JOIN p b ON a.label = b.label AND a.id < b.id)
+SELECT a, b, round(dot, 6) AS dot, round(ma, 6) AS magnitude, round(dot / (ma * mb), 6) AS cosine, round(1 / (dot / (ma * mb) + 1.1), 6) AS cosine_distance, round(e, 6) AS euclidean, round(w, 6) AS weighted FROM q""")
+def sim1_sim3_sim6_sim7_sim8_sim9_vectors(spark, d):
+    x = pairs.upper_pairs(unit_vectors(spark, d), "id", ["v"], block="label")
+    a, b = F.col("v_a"), F.col("v_b")
+    size = lambda v: F.transform(v, F.abs)
+    return x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(similarity.dot(a, b), "dot"), r6(similarity.magnitude(a), "magnitude"), r6(similarity.cosine(a, b), "cosine"), r6(similarity.cosine_distance(a, b), "cosine_distance"), r6(similarity.euclidean(a, b), "euclidean"), r6(similarity.weighted_jaccard(size(a), size(b)), "weighted"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS o, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY ALL), x AS (SELECT o, o // 10 AS block, s FROM b)
+SELECT x.o AS a, y.o AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))), 6) AS sim FROM x JOIN x y ON x.block = y.block AND x.o < y.o""")
+def sim2_so1_set_jaccard(spark, d):
+    b = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.collect_set("l_suppkey").alias("s")).withColumn("block", F.floor(F.col("o") / 10))
+    return pairs.upper_pairs(b, "o", ["s"], block="block").select(F.col("o_a").alias("a"), F.col("o_b").alias("b"), r6(similarity.set_jaccard(F.col("s_a"), F.col("s_b")), "sim"))
+
+
+@query(f"""WITH {S_LISTS}, k AS (SELECT t, chr((64 + row_number() OVER (ORDER BY t))::INT) AS c FROM (SELECT DISTINCT event_type AS t FROM events)),
+x AS (SELECT user_id, user_id % 10 AS block, len(tokens) AS n, (SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest(tokens) AS t, unnest(range(len(tokens))) AS i) JOIN k USING (t)) AS s FROM l)
+SELECT a.user_id AS a, b.user_id AS b, round(1 - levenshtein(a.s, b.s) / greatest(a.n, b.n), 6) AS sim FROM x a JOIN x b ON a.block = b.block AND a.user_id < b.user_id""")
+def sim5_token_edit(spark, d):
+    x = token_lists(spark, d).withColumn("block", F.col("user_id") % 10)
+    return pairs.upper_pairs(x, "user_id", ["tokens"], block="block").select(F.col("user_id_a").alias("a"), F.col("user_id_b").alias("b"), r6(similarity.token_edit_similarity(F.col("tokens_a"), F.col("tokens_b")), "sim"))
+
+
+@query()
+def sk4_sk5_fe7_hyperplanes(spark, d):
+    """Angle similarity by random planes beside the exact one; random, so it has no SQL."""
+    sig = sketches.hyperplane_words(sketches.planes(64, 256, 3, 0.0))
+    x = pairs.upper_pairs(unit_vectors(spark, d).withColumn("sig", sig("v")), "id", ["v", "sig"], block="label")
+    return x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(sketches.angle_similarity(F.col("sig_a"), F.col("sig_b"), 256), "estimate"), r6(1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity.cosine(F.col("v_a"), F.col("v_b"))))) / np.pi, "exact"))
+
+
+@query()
+def sk6_sk7_ag13_simhash(spark, d):
+    return unit_vectors(spark, d).select("id", sketches.simhash(16)("v").alias("simhash16"), sketches.simhash(64)("v").alias("simhash64"))
+
+
+@query()
+def sk9_so5_cosine_buckets(spark, d):
+    sig = sketches.hyperplane_words(sketches.planes(64, 128, 3))
+    x = unit_vectors(spark, d).withColumn("sig", sig("v"))
+    return x.select("id", hashing.signature_bucket(sketches.bands(F.col("sig"), 128, 16), 10).alias("bucket"), F.array_join(hashing.band_buckets(sketches.bands(F.col("sig"), 128, 16), 1, 10), ",").alias("banded"))
+
+
+# ---- graph operators -------------------------------------------------------------------------
+
+
+@query(f"WITH {S_GRAPH} SELECT graph, id, (SELECT count(*) FROM e WHERE e.graph = v.graph AND e.src = v.id) AS out_degree, (SELECT count(*) FROM e WHERE e.graph = v.graph AND e.dst = v.id) AS in_degree FROM v")
+def gr5_degrees(spark, d):
+    return graph.degrees(*user_graphs(spark, d))
+
+
+@query(f"WITH {S_GRAPH} SELECT graph, count(*) AS v_size, (SELECT count(*) FROM e WHERE e.graph = v.graph) AS e_size, false AS empty FROM v GROUP BY graph")
+def gr6_sizes(spark, d):
+    return graph.sizes(*user_graphs(spark, d))
+
+
+@query(f"WITH {S_GRAPH} SELECT graph, src AS id, array_to_string(list_sort(list(dst)), ',') AS out FROM e GROUP BY ALL")
+def gr8_gr2_adjacent(spark, d):
+    return graph.neighbours(user_graphs(spark, d)[1]).select("graph", "id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("out"))
+
+
+@query(f"WITH {S_GRAPH} SELECT graph, dst AS id, array_to_string(list_sort(list(src)), ',') AS incident FROM e GROUP BY ALL")
+def gr8_incident(spark, d):
+    return graph.neighbours(user_graphs(spark, d)[1], incoming=True).select("graph", "id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("incident"))
+
+
+@query(f"WITH {S_GRAPH} SELECT e.graph, src, dst FROM e JOIN v x ON x.graph = e.graph AND x.id = src JOIN v y ON y.graph = e.graph AND y.id = dst WHERE x.name <> 'click' AND y.name <> 'click'")
+def gr3_gr13_induced_subgraph(spark, d):
+    v, e = user_graphs(spark, d)
+    return graph.remove_vertices(v, e, v.where("name = 'click'").select("graph", "id"))[1]
+
+
+@query(f"WITH {S_GRAPH}, g AS (SELECT graph, src, dst FROM e WHERE src = dst) SELECT * FROM e EXCEPT SELECT * FROM g")
+def gr3_remove_edges(spark, d):
+    e = user_graphs(spark, d)[1]
+    return graph.remove_edges(e, e.where("src = dst"))
+
+
+@query(f"WITH {S_GRAPH}, k AS (SELECT DISTINCT user_id AS graph, i AS src, j AS dst FROM events, (SELECT unnest(range(6)) AS i), (SELECT unnest(range(6)) AS j)) SELECT k.graph, k.src, k.dst, e.src IS NOT NULL AS found FROM k LEFT JOIN e ON e.graph = k.graph AND e.src = k.src AND e.dst = k.dst")
+def gr4_gr7_lookup_edges(spark, d):
+    keys = t(spark, d, "events").select(F.col("user_id").alias("graph")).distinct().select("graph", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src")).select("graph", "src", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("dst"))
+    return graph.lookup_edges(user_graphs(spark, d)[1], keys)
+
+
+@query(f"WITH {S_GRAPH} SELECT * FROM e WHERE (graph, src) IN (SELECT graph, id FROM v WHERE name = 'view')")
+def gr9_gr10_out_edges(spark, d):
+    v, e = user_graphs(spark, d)
+    return graph.edges_of(e, v.where("name = 'view'").select("graph", "id")).select("graph", "src", "dst")
+
+
+def call_functions(spark, d) -> DataFrame:
+    """Functions: a nation's customers, known by name and an alias, that call others by name, alias, or names nobody has, in order of their orders."""
+    c = t(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("binary"), "c_custkey", (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).cast("int").alias("fn_id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("alias"), F.col("c_custkey") % 50)).alias("aliases"))
+    k = F.col("o_orderkey")
+    callee = F.when(k % 3 == 0, F.concat(F.lit("alias"), k % 70)).when(k % 3 == 1, F.format_string("Customer#%09d", k % 500)).otherwise(F.concat(F.lit("ext"), k % 20))
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", callee.alias("x")))), lambda s: s["x"]).alias("called"))
+    return c.join(o, "c_custkey", "left").withColumn("called", F.coalesce("called", F.array().cast("array<string>"))).drop("c_custkey")
+
+
+_S_CALLS = """f AS (SELECT c_nationkey::VARCHAR AS graph, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS id, c_name AS name FROM customer),
+nm AS (SELECT graph, n, max(id) AS id FROM (SELECT graph, id, name AS n FROM f UNION ALL SELECT graph, id, 'alias' || (c_custkey % 50) FROM f) GROUP BY ALL),
+c AS (SELECT f.graph, f.id, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'alias' || (o_orderkey % 70) WHEN 1 THEN printf('Customer#%09d', o_orderkey % 500) ELSE 'ext' || (o_orderkey % 20) END AS n FROM f JOIN orders ON o_custkey = f.c_custkey),
+x AS (SELECT graph, n, ((SELECT count(*) FROM f WHERE f.graph = u.graph) + row_number() OVER (PARTITION BY graph ORDER BY first) - 1)::INT AS id FROM (SELECT c.graph, c.n, min((c.id, c.k)) AS first FROM c LEFT JOIN nm ON nm.graph = c.graph AND nm.n = c.n WHERE nm.id IS NULL GROUP BY ALL) u)"""
+
+
+@query(f"WITH {_S_CALLS} SELECT graph, id, name, 'Internal' AS type FROM f UNION ALL SELECT graph, id, n, 'External' FROM x")
+def gr1_gr11_jn2_call_graph_vertices(spark, d):
+    return graph.call_graph(call_functions(spark, d))[0].select("graph", "id", "name", "type")
+
+
+@query(f"WITH {_S_CALLS} SELECT DISTINCT c.graph, c.id AS src, coalesce(nm.id, x.id) AS dst FROM c LEFT JOIN nm ON nm.graph = c.graph AND nm.n = c.n LEFT JOIN x ON x.graph = c.graph AND x.n = c.n")
+def gr11_jn1_call_graph_edges(spark, d):
+    return graph.call_graph(call_functions(spark, d))[1]
+
+
+@query("SELECT c_nationkey::VARCHAR AS graph, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) BETWEEN 1 AND 60")
+def prj11_prj12_oversize(spark, d):
+    v, _ = graph.call_graph(call_functions(spark, d))
+    return graph.oversize(v, 60).join(v.where("type = 'Internal'").groupBy("graph").agg(F.count("*").alias("n")), "graph")
+
+
+# ---- listings --------------------------------------------------------------------------------
+
+
+def listing_lines(spark, d) -> DataFrame:
+    """Listing lines made of order lines: markers, labels, calls of all kinds, data declarations and other instructions."""
+    k, n = F.col("l_partkey"), F.col("l_suppkey")
+    head = F.format_string(".text:%08X", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    m = F.col("l_orderkey") % 8
+    call = F.when(k % 7 == 0, F.format_string("sub_%X", n)).when(k % 7 == 1, F.format_string("ds:Api%d", n)).when(k % 7 == 2, F.format_string("near ptr Name%d+1", n)).when(k % 7 == 3, F.lit("eax")).when(k % 7 == 4, F.format_string("x%d ; operator new(uint)", n)).when(k % 7 == 5, F.format_string("esi ; Get%d", n)).otherwise(F.format_string("_fn%d", n))
+    body = (
+        F.when((F.col("l_linenumber") == 1) & (m == 1), F.format_string("\t\t sub_%X\tproc near", k))
+        .when((F.col("l_linenumber") == 2) & (m == 2), F.format_string("\t\t sub_%X\tendp", k))
+        .when((F.col("l_linenumber") == 3) & (m == 3), F.format_string("\t\t loc_%X:\t\t ; CODE XREF: sub", k))
+        .when(k % 5 == 0, F.concat(F.format_string(" E8 %02X %02X\t\t call    ", n % 256, k % 256), call))
+        .when(k % 11 == 0, F.format_string(" %02X\t\t db %02Xh", n % 256, k % 256))
+        .when(k % 5 == 1, F.format_string(" 0F %02X C1\t\t setnz   cl", n % 256))
+        .when(k % 5 == 2, F.format_string(" %02X\t\t push    esi", n % 256))
+        .when(k % 5 == 3, F.format_string(" 8B %02X 24\t\t mov     eax, [esp+%Xh]", n % 256, n % 16))
+        .otherwise(F.lit("\t\t ; ------"))
+    )
+    return t(spark, d, "lineitem").select(F.format_string("b%d", F.col("l_orderkey") % 40).alias("binary"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line_no"), F.concat(head, body).alias("value"))
+
+
+_S_LINES = r"""x AS (SELECT 'b' || (l_orderkey % 40) AS "binary", l_orderkey * 16 + l_linenumber AS line_no, l_partkey AS k, l_suppkey AS n, l_orderkey % 8 AS m, l_linenumber AS l, printf('.text:%08X', l_orderkey * 16 + l_linenumber) AS h FROM lineitem),
+ln AS (SELECT "binary", line_no, h || CASE WHEN l = 1 AND m = 1 THEN printf(chr(9) || chr(9) || ' sub_%X' || chr(9) || 'proc near', k) WHEN l = 2 AND m = 2 THEN printf(chr(9) || chr(9) || ' sub_%X' || chr(9) || 'endp', k) WHEN l = 3 AND m = 3 THEN printf(chr(9) || chr(9) || ' loc_%X:' || chr(9) || chr(9) || ' ; CODE XREF: sub', k)
+ WHEN k % 5 = 0 THEN printf(' E8 %02X %02X' || chr(9) || chr(9) || ' call    ', n % 256, k % 256) || CASE k % 7 WHEN 0 THEN printf('sub_%X', n) WHEN 1 THEN printf('ds:Api%d', n) WHEN 2 THEN printf('near ptr Name%d+1', n) WHEN 3 THEN 'eax' WHEN 4 THEN printf('x%d ; operator new(uint)', n) WHEN 5 THEN printf('esi ; Get%d', n) ELSE printf('_fn%d', n) END
+ WHEN k % 11 = 0 THEN printf(' %02X' || chr(9) || chr(9) || ' db %02Xh', n % 256, k % 256) WHEN k % 5 = 1 THEN printf(' 0F %02X C1' || chr(9) || chr(9) || ' setnz   cl', n % 256) WHEN k % 5 = 2 THEN printf(' %02X' || chr(9) || chr(9) || ' push    esi', n % 256) WHEN k % 5 = 3 THEN printf(' 8B %02X 24' || chr(9) || chr(9) || ' mov     eax, [esp+%Xh]', n % 256, n % 16) ELSE chr(9) || chr(9) || ' ; ------' END AS value FROM x),
+pp AS (SELECT "binary", line_no, value, '^.text:[0-9A-Fa-f]+\s+((?:[0-9A-Fa-f]{2}\s)+)\s+(\S+)(.*)$' AS p FROM ln),
+i0 AS (SELECT "binary", line_no, regexp_extract(value, p, 1) AS raw, regexp_extract(value, p, 2) AS asm, regexp_extract(value, p, 3) AS rest, regexp_matches(value, p) AS ok FROM pp),
+i1 AS (SELECT *, CASE WHEN regexp_matches(raw, '^0[Ff]\s+[0-9A-Fa-f]{2}') THEN regexp_extract(raw, '^(0[Ff]\s+[0-9A-Fa-f]{2})', 1) ELSE raw[1:2] END AS opcode, trim(regexp_extract(rest, '^([^;]*)', 1)) AS op, CASE WHEN contains(rest, '; ') THEN trim(regexp_extract(rest, ';\s+(.*)$', 1)) END AS cm FROM i0 WHERE ok),
+ins AS (SELECT "binary", line_no, asm, opcode, CASE WHEN lower(asm) <> 'call' THEN NULL WHEN regexp_matches(op, '^sub_[0-9A-Fa-f]+$') THEN op
+ WHEN cm IS NOT NULL THEN CASE WHEN regexp_matches(cm, '^\s*(?:\w+\s+)*([^\s\(]+)\([^)]*\)$') THEN regexp_extract(cm, '^\s*(?:\w+\s+)*([^\s\(]+)\([^)]*\)$', 1) ELSE nullif(regexp_extract(cm, '^(\S+)$', 1), '') END
+ WHEN regexp_matches(op, '^\S+\s+ptr\s+') THEN regexp_extract(op, '^\S+\s+ptr\s+\[?([^+\s]+)', 1) WHEN regexp_matches(op, '^[CDEFGScdefgs]s:\S+$') THEN op[4:] WHEN op = 'eax' THEN NULL ELSE op END AS operand FROM i1)"""
+
+
+@query(f"WITH {_S_LINES} SELECT * FROM ins")
+def src3_prj1_prj3_instructions(spark, d):
+    return listing.instructions(listing_lines(spark, d))
+
+
+@query(f"WITH {_S_LINES} SELECT \"binary\", line_no, asm, opcode, operand FROM ins WHERE asm <> 'db'")
+def prj2_without_data(spark, d):
+    return listing.instructions(listing_lines(spark, d), include_db=False)
+
+
+@query(f"WITH {_S_LINES} SELECT \"binary\", operand, count(*) AS calls FROM ins WHERE lower(asm) = 'call' AND operand IS NOT NULL GROUP BY ALL")
+def prj6_calls(spark, d):
+    i = listing.instructions(listing_lines(spark, d))
+    return i.where((F.lower("asm") == "call") & F.col("operand").isNotNull()).groupBy("binary", "operand").agg(F.count("*").alias("calls"))
+
+
+@query(f"WITH {_S_LINES} SELECT opcode AS item, count(*) AS n FROM ins GROUP BY ALL")
+def src4_prj7_transactions(spark, d):
+    return listing.transactions(listing_lines(spark, d), "opcode").groupBy(F.col("items")[0].alias("item")).agg(F.count("*").alias("n"))
+
+
+@query()
+def src5_prj4_prj5_wn2_functions(spark, d):
+    """Sessionised functions; a state machine in the tests holds their result."""
+    f = listing.functions(listing_lines(spark, d))
+    return f.select("binary", "fn_id", "name", F.size("aliases").alias("aliases"), F.size("called").alias("called"), F.size("instructions").alias("instructions"))
+
+
+@query()
+def e1_e2_listing_to_vectors(spark, d):
+    v, e = programs.extract_call_graphs(listing_lines(spark, d), "minhash")
+    return programs.graph_vectors(v, e, 6, weights=True).withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {_S_LINES}, w AS (SELECT \"binary\", line_no, asm || '-' || lead(asm) OVER (PARTITION BY \"binary\" ORDER BY line_no) || '-' AS ngram FROM ins WHERE asm <> 'db'), f AS (SELECT ngram, min((\"binary\", line_no)) AS first FROM w WHERE ngram IS NOT NULL GROUP BY ngram) SELECT ngram, (row_number() OVER (ORDER BY first) - 1)::INT AS idx FROM f")
+def e9_vocabulary(spark, d):
+    return programs.ngram_vocabulary(listing_lines(spark, d))
+
+
+@query()
+def e7_fe11_sequence_indicators(spark, d):
+    return programs.sequence_indicators(programs.frequent_sequences(listing_lines(spark, d), "asm", 0.2))
+
+
+# ---- scaling, schemas, transactions ----------------------------------------------------------
+
+
+@query("SELECT p_partkey, round((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()), 6) AS p_size, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS p_retailprice FROM part")
+def prj16_ag5_min_max(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return clustering.min_max(x, ["p_size", "p_retailprice"]).select("p_partkey", r6("p_size"), r6("p_retailprice"))
+
+
+@query("SELECT l_returnflag AS flag, l_linestatus AS status, l_quantity AS qty, (l_shipdate::VARCHAR)[1:10] AS label FROM lineitem")
+def src12_src13_instances(spark, d):
+    attrs = delimited.attributes(["flag: A N R", "status: F O", "qty: continuous"])
+    rows = t(spark, d, "lineitem").select(F.concat_ws(" |,", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("value"))
+    return delimited.instances(rows, attrs)
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_filter([CASE WHEN p_size > 10 THEN 'big' END, CASE WHEN p_retailprice > 1000 THEN 'dear' END, CASE WHEN p_size % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)), ',') AS items FROM part")
+def prj14_itemsets(spark, d):
+    one = lambda c: F.when(c, "1").otherwise("0")
+    x = t(spark, d, "part").select("p_partkey", one(F.col("p_size") > 10).alias("big"), one(F.col("p_retailprice") > 1000).alias("dear"), one(F.col("p_size") % 2 == 0).alias("even"))
+    return x.select("p_partkey", F.array_join(delimited.itemset([delimited.Attribute(n, "discrete") for n in ("big", "dear", "even")]), ",").alias("items"))
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE ({s_md5(chr(39) + '5:' + chr(39) + ' || o_orderkey')}) % 1000000 < 250000")
+def src2_sampled(spark, d):
+    return delimited.sampled(t(spark, d, "orders"), "o_orderkey", 0.25, 5).select("o_orderkey")
+
+
+@query("SELECT c_name, c_nationkey FROM customer WHERE c_nationkey IN (SELECT DISTINCT c_nationkey FROM customer ORDER BY 1 LIMIT 7)")
+def tk8_first_files(spark, d):
+    return delimited.first_by_name(t(spark, d, "customer").select("c_name", "c_nationkey"), "c_nationkey", 7).select("c_name", "c_nationkey")
+
+
+# ---- mining ----------------------------------------------------------------------------------
+
+
+def baskets(spark, d) -> DataFrame:
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    return t(spark, d, "lineitem").join(p, "l_partkey").groupBy(F.col("l_orderkey").alias("tx_id")).agg(F.array_sort(F.collect_set("p_type")).alias("items"))
+
+
+_S_BASKETS = """i AS (SELECT DISTINCT l_orderkey AS tx, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT tx) AS n FROM i),
+l1 AS (SELECT [item] AS itemset, count(*) AS support FROM i GROUP BY item HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
+l2 AS (SELECT [a.item, b.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item GROUP BY ALL HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
+l3 AS (SELECT [a.item, b.item, c.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item JOIN i c ON c.tx = a.tx AND b.item < c.item GROUP BY ALL HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
+al AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"""
+
+
+@query(f"WITH {_S_BASKETS} SELECT array_to_string(itemset, ',') AS itemset, support FROM al")
+def pm1_pm2_pm3_pm4_jn10_jn11_jn12_apriori(spark, d):
+    levels = mining.apriori_levels(baskets(spark, d), 0.2, 3)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.select(F.array_join("itemset", ",").alias("itemset"), "support")
+
+
+@query(f"WITH {_S_BASKETS} SELECT array_to_string(itemset, ',') AS itemset, support FROM l2")
+def pm1_level_two(spark, d):
+    return mining.apriori(baskets(spark, d), 0.2, 2).select(F.array_join("itemset", ",").alias("itemset"), "support")
+
+
+@query(f"""WITH {_S_BASKETS}, r AS (SELECT l3.itemset, l3.support, l2.itemset AS consequent, list_filter(l3.itemset, lambda x: NOT list_contains(l2.itemset, x)) AS antecedent FROM l3 JOIN l2 ON list_has_all(l3.itemset, l2.itemset))
+SELECT array_to_string(r.antecedent, ',') AS antecedent, array_to_string(r.consequent, ',') AS consequent, round(r.support / al.support, 6) AS confidence FROM r JOIN al ON al.itemset = r.antecedent WHERE r.support / al.support >= 0.3""")
+def pm5_pm6_so2_jn15_rules(spark, d):
+    levels = mining.apriori_levels(baskets(spark, d), 0.2, 3)
+    return mining.rules(levels, 0.3).select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), r6("confidence"))
+
+
+@query(f"""WITH {S_TOKENS}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY ALL), one AS (SELECT user_id, token, min(pos) AS p, count(*) AS c FROM s GROUP BY ALL), k AS (SELECT one.*, n FROM one JOIN n USING (user_id) WHERE c >= ceil(n * 0.15)),
+two AS (SELECT a.user_id, a.token AS t1, b.token AS t2, min(s.pos) AS p, count(*) AS c, any_value(a.n) AS n FROM k a JOIN k b ON a.user_id = b.user_id JOIN s ON s.user_id = a.user_id AND s.token = b.token AND s.pos > a.p GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * 0.15)),
+three AS (SELECT a.user_id, a.t1, a.t2, b.token AS t3, count(*) AS c, any_value(a.n) AS n FROM two a JOIN k b ON a.user_id = b.user_id JOIN s ON s.user_id = a.user_id AND s.token = b.token AND s.pos > a.p WHERE EXISTS (SELECT 1 FROM two q WHERE q.user_id = a.user_id AND q.t1 = a.t1 AND q.t2 = b.token) GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * 0.15))
+SELECT user_id, t1 || '>' || t2 AS sequence, round(c / n, 6) AS support FROM two UNION ALL SELECT user_id, t1 || '>' || t2 || '>' || t3, round(c / n, 6) FROM three""")
+def pm7_pm8_pm9_pm10_pm12_spam(spark, d):
+    found = mining.spam(mining.positions(streams(spark, d), "user_id", "pos", "token"), "user_id", "token", 0.15, most=3)
+    return found.select("user_id", mining.sequence_name(F.col("sequence")).alias("sequence"), r6("support"))
+
+
+@query(f"WITH {S_TOKENS} SELECT b.user_id, b.pos FROM s b WHERE b.token = 'view' AND EXISTS (SELECT 1 FROM s a WHERE a.user_id = b.user_id AND a.token = 'click' AND b.pos > a.pos AND b.pos <= a.pos + 3)")
+def wn3_pm9_bounded_gap(spark, d):
+    v = mining.positions(streams(spark, d), "user_id", "pos", "token")
+    a, b = (v.where(F.col("token") == x).select("user_id", F.col("positions").alias(n)) for x, n in (("click", "a"), ("view", "b")))
+    return a.join(b, "user_id").select("user_id", F.explode(mining.s_step(F.col("a"), F.col("b"), 2)).alias("pos"))
+
+
+# ---- joins of pairs, top-k and classification ------------------------------------------------
+
+
+@query(f"WITH {S_PAIRS} SELECT id, other, d, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other)::INT AS rank FROM d) WHERE rank <= 5")
+def tk1_tk2_jn13_knn(spark, d):
+    return pairs.nearest(vector_distances(spark, d), 5)
+
+
+@query(f"WITH {S_PAIRS} SELECT id, other, d FROM d WHERE id < other ORDER BY d, id, other LIMIT 1")
+def tk5_closest_pair(spark, d):
+    return vector_distances(spark, d).where("id < other").orderBy("d", "id", "other").limit(1)
+
+
+@query(f"""WITH {S_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM d), v AS (SELECT r.id, p.label AS vote, count(*) AS n, min(rank) AS best FROM r JOIN p ON p.id = r.other WHERE rank <= 5 GROUP BY ALL)
+SELECT p.id, p.label AS actual, q.vote AS predicted FROM p JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, best, vote) AS w FROM v) q ON q.id = p.id AND q.w = 1""")
+def ev9_e6_knn_classes(spark, d):
+    return evaluation.knn(vector_distances(spark, d), unit_vectors(spark, d).select("id", "label"), 5)
+
+
+@query("WITH p AS (SELECT l_partkey AS a, l_suppkey AS b, l_quantity AS v FROM lineitem) SELECT id, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT a AS id, v FROM p UNION ALL SELECT b, v FROM p) GROUP BY id")
+def jn14_symmetric(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_quantity").alias("v"))
+    return pairs.symmetric(x, "a", "b", "v").groupBy("id").agg(F.count("*").alias("n"), r6(F.sum("v"), "total"))
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def jn3_left_labels(spark, d):
+    return t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels"), "doc_id", "left")
+
+
+@query("SELECT d.source, l.quality, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
+def jn4_ag8_label_counts(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id"), F.col("source").alias("cluster")).join(t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return evaluation.class_counts(x).select(F.col("cluster").alias("source"), F.col("label").alias("quality"), "n")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, c_custkey AS a, round(c_acctbal, 2) AS x FROM customer), b AS (SELECT s_nationkey AS k, s_suppkey AS b, round(s_acctbal, 2) AS y FROM supplier), p AS (SELECT k, a, b, -abs(x - y) AS score FROM a JOIN b USING (k))
+SELECT k, a, b, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY k, a ORDER BY score DESC, a, b) AS r1, row_number() OVER (PARTITION BY k, b ORDER BY score DESC, a, b) AS r2 FROM p) WHERE r1 = 1 AND r2 = 1""")
+def jn8_tk3_mutual_best(spark, d):
+    return pairs.mutual_best(_near_balances(spark, d), ["k"], "a", "b", "score").select("k", "a", "b", r6("score"))
+
+
+def _near_balances(spark, d):
+    a = t(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("a"), F.round("c_acctbal", 2).alias("x"))
+    b = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("b"), F.round("s_acctbal", 2).alias("y"))
+    return a.join(b, "k").select("k", "a", "b", (-F.abs(F.col("x") - F.col("y"))).alias("score"))
+
+
+@query()
+def jn8_greedy_match(spark, d):
+    return pairs.greedy_match(_near_balances(spark, d), ["k"], "a", "b", "score").select("k", "a", "b", r6("score"))
+
+
+# ---- clustering and anomalies ----------------------------------------------------------------
+
+
+def _fixed_centroids(spark, d) -> list:
+    return [(i, list(r["v"])) for i, r in enumerate(unit_vectors(spark, d).where("id < 8").orderBy("id").collect())]
+
+
+_S_ASSIGN = f"{S_VEC}, c AS (SELECT id AS cluster, v FROM p WHERE id < 8), q AS (SELECT a.id, b.cluster, {S_DIST} AS d, a.v FROM p a, c b), asg AS (SELECT id, v, cluster::INT AS cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cluster) AS r FROM q) WHERE r = 1)"
+
+
+@query(f"WITH {_S_ASSIGN} SELECT id, cluster, round(d, 6) AS d FROM asg")
+def cl1_assign_step(spark, d):
+    return clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d)).select("id", "cluster", r6("d"))
+
+
+@query(f"WITH {_S_ASSIGN} SELECT cluster, pos::INT AS pos, round(avg(x), 6) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM asg) GROUP BY ALL")
+def cl1_ag6_update_step(spark, d):
+    c = clustering.centroids_of(clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d)))
+    return c.select("cluster", F.posexplode("centroid").alias("pos", "m")).select("cluster", "pos", r6("m"))
+
+
+@query(f"WITH {_S_ASSIGN} SELECT cluster, round(sum(d * d), 6) AS sse, count(*) AS n FROM asg GROUP BY ALL")
+def ag7_sse(spark, d):
+    return clustering.sse(clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d))).select("cluster", r6("sse"), "n")
+
+
+@query(f"WITH {_S_ASSIGN}, m AS (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM asg) GROUP BY ALL) SELECT cluster, round(sum(m * m), 6) AS avg_cos FROM m GROUP BY ALL")
+def cl10_ev4_average_cosine(spark, d):
+    c = clustering.centroids_of(clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d)))
+    return clustering.average_cosine(c).select("cluster", r6("avg_cos"))
+
+
+@query(f"WITH {_S_ASSIGN} SELECT cluster, array_to_string(list_sort(list(id)), ',') AS members FROM asg GROUP BY ALL")
+def cl11_so4_members(spark, d):
+    return clustering.members(clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d))).select("cluster", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+@query()
+def cl1_kmeans(spark, d):
+    return clustering.kmeans(unit_vectors(spark, d), 10, start=_fixed_centroids(spark, d), most=20)[0].select("id", "cluster", r6("d"))
+
+
+@query()
+def cl2_cl3_bisecting(spark, d):
+    return clustering.bisecting(unit_vectors(spark, d).select("id", "v"), 4, 1).select("id", "cluster")
+
+
+@query()
+def cl4_cl5_cl9_kmedoids(spark, d):
+    ids = unit_vectors(spark, d).select("id")
+    return clustering.kmedoids(vector_distances(spark, d), ids, 8, most=20)[0].select("id", "cluster", r6("d"))
+
+
+@query()
+def cl6_cl7_agglomerative(spark, d):
+    return clustering.agglomerative(unit_vectors(spark, d), 10, "average")[0]
+
+
+@query(f"""WITH {S_PAIRS}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d) WHERE r <= 5), den AS (SELECT id, 1 / avg(d) AS density FROM k GROUP BY id)
+SELECT den.id, round(den.density, 6) AS density, round(m / den.density, 6) AS score FROM den JOIN (SELECT k.id, avg(density) AS m FROM k JOIN den ON den.id = k.other GROUP BY ALL) q ON q.id = den.id""")
+def an1_density(spark, d):
+    return anomaly.density_ratio(vector_distances(spark, d), 5).select("id", r6("density"), r6("score"))
+
+
+@query(f"WITH {_S_ASSIGN} SELECT id, round(d, 6) AS centroid_score FROM asg WHERE d > 0")
+def an2_centroid_outliers(spark, d):
+    a = clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d)).where("d > 0")
+    return anomaly.centroid_outliers(a).select("id", r6("score", "centroid_score"))
+
+
+@query(f"WITH {_S_ASSIGN} SELECT id, round(d / m, 6) AS score FROM asg JOIN (SELECT cluster, quantile_cont(d, 0.5) AS m FROM asg GROUP BY ALL) USING (cluster) WHERE m > 0")
+def an3_ag11_median_outliers(spark, d):
+    a = clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d))
+    return anomaly.median_outliers(a).where("score is not null").select("id", r6("score"))
+
+
+@query("WITH s AS (SELECT doc_id, n_chars, (toxic = 1)::INT AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT *, sum(p) OVER (ORDER BY n_chars, doc_id) AS tp FROM s) SELECT round(sum(CASE WHEN p = 0 THEN tp ELSE 0 END) / (sum(p) * sum(1 - p)), 6) AS auc FROM c")
+def an4_wn4_tk9_auc(spark, d):
+    x = t(spark, d, "documents").select("doc_id", "n_chars").join(t(spark, d, "labels"), "doc_id").withColumn("label", F.col("toxic").cast("string"))
+    return anomaly.roc_auc(x, "label", "1", "n_chars", "doc_id").select(r6("auc"))
+
+
+# ---- evaluation ------------------------------------------------------------------------------
+
+
+def _clusters(spark, d) -> DataFrame:
+    """Clusters and classes that overlap in part."""
+    p = unit_vectors(spark, d)
+    return p.select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 7).otherwise(F.col("label") % 7).cast("int").alias("cluster"), F.col("label").cast("string").alias("label"))
+
+
+_S_CL = "cl AS (SELECT vec_id AS id, (CASE WHEN vec_id % 4 = 0 THEN vec_id % 7 ELSE label % 7 END)::INT AS cluster, label::VARCHAR AS label FROM embeddings)"
+
+
+@query(f"""WITH {S_PAIRS}, {_S_CL}, n AS (SELECT cluster, count(*) AS n FROM cl GROUP BY ALL), m AS (SELECT d.id, a.cluster AS own, b.cluster, sum(d.d) / any_value(n.n) AS mean FROM d JOIN cl a ON a.id = d.id JOIN cl b ON b.id = d.other JOIN n ON n.cluster = b.cluster GROUP BY ALL),
+r AS (SELECT id, coalesce(max(mean) FILTER (own = cluster), 0) AS a, min(mean) FILTER (own <> cluster) AS b FROM m GROUP BY id) SELECT id, round((b - a) / greatest(a, b), 6) AS silhouette FROM r""")
+def ev1_silhouette(spark, d):
+    return evaluation.silhouette(vector_distances(spark, d), _clusters(spark, d)).select("id", r6("silhouette"))
+
+
+@query(f"WITH {_S_CL}, c AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), h AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster) AS p FROM c), e AS (SELECT cluster, sum(n) AS n, -sum(p * ln(p)) AS h FROM h GROUP BY ALL) SELECT round(sum(n * h) / sum(n), 6) AS entropy FROM e")
+def ev2_entropy(spark, d):
+    return evaluation.entropy(_clusters(spark, d)).select(r6("entropy"))
+
+
+@query(f"WITH {_S_CL}, c AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY label) AS r FROM c), f AS (SELECT label, sum(n) AS n, max(2 * r / (1 + r)) AS f FROM r GROUP BY ALL) SELECT round(sum(n * f) / sum(n), 6) AS f_measure FROM f")
+def ev3_f_measure(spark, d):
+    return evaluation.f_measure(_clusters(spark, d)).select(r6("f_measure"))
+
+
+@query(f"WITH {_S_CL} SELECT round(avg((a.label <> b.label)::INT), 6) AS rand, round(avg(((a.label = b.label) = (a.cluster = b.cluster))::INT), 6) AS rand_index FROM cl a JOIN cl b ON a.id < b.id")
+def ev5_rand(spark, d):
+    return evaluation.pair_statistics(_clusters(spark, d)).select(r6("rand"), r6("rand_index"))
+
+
+_S_MAJ = f"{_S_CL}, c AS (SELECT cluster, label, count(*) AS n FROM cl GROUP BY ALL), mj AS (SELECT cluster, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS r FROM c) WHERE r = 1)"
+
+
+@query(f"WITH {_S_MAJ} SELECT id, label AS actual, predicted FROM cl JOIN mj USING (cluster)")
+def ev8_ag9_e5_majority_classes(spark, d):
+    return evaluation.by_cluster(_clusters(spark, d))
+
+
+@query(f"WITH {_S_MAJ} SELECT round(avg((label = predicted)::INT), 6) AS accuracy FROM cl JOIN mj USING (cluster)")
+def ev6_accuracy(spark, d):
+    return evaluation.accuracy(evaluation.by_cluster(_clusters(spark, d))).select(r6("accuracy"))
+
+
+@query(f"WITH {_S_MAJ} SELECT label AS actual, " + ", ".join(f"count(*) FILTER (predicted = '{i}') AS \"{i}\"" for i in range(10)) + " FROM cl JOIN mj USING (cluster) GROUP BY label")
+def ev7_ag14_confusion(spark, d):
+    return evaluation.confusion(evaluation.by_cluster(_clusters(spark, d)), [str(i) for i in range(10)])
+
+
+@query()
+def ev10_jn7_e10_edit_versus_sketch(spark, d):
+    """Exact token edit similarity beside the Jaccard similarity of hashed sets, for functions of different listings."""
+    lines = listing_lines(spark, d).where("line_no < 20000")
+    v, _ = programs.extract_call_graphs(lines, "jaccard", keep_instructions=True)
+    v = v.withColumn("features", gml.positions_of(F.col("features")))
+    labels = v.select(F.col("graph").alias("id")).distinct().withColumn("class", F.substring("id", 2, 1))
+    return programs.edit_versus_sketch(v, labels).select("class1", "class2", r6("edit"), r6("other"))
+
+
+# ---- graph edit distance ---------------------------------------------------------------------
+
+_S_MAP = f"""{S_GRAPH}, pr AS (SELECT a.graph AS g1, b.graph AS g2 FROM (SELECT DISTINCT graph FROM v) a JOIN (SELECT DISTINCT graph FROM v) b ON b.graph = a.graph + 1),
+k AS (SELECT g1, g2, unnest(range(5)) AS i FROM pr), mp AS (SELECT k.g1, k.g2, x.id AS v1, y.id AS v2, x.name AS n1, y.name AS n2 FROM k LEFT JOIN v x ON x.graph = g1 AND x.id = i LEFT JOIN v y ON y.graph = g2 AND y.id = i WHERE x.id IS NOT NULL OR y.id IS NOT NULL),
+m AS (SELECT g1, g2, count(*) AS size, sum((v1 IS NULL OR v2 IS NULL)::INT) AS vc, sum(CASE WHEN n1 <> n2 THEN 1.0 ELSE 0 END) AS rc FROM mp GROUP BY ALL),
+kp AS (SELECT g1, g2, count(*) AS kept FROM pr JOIN e a ON a.graph = g1 JOIN e b ON b.graph = g2 AND b.src = a.src AND b.dst = a.dst GROUP BY ALL),
+nn AS (SELECT g1, g2, (SELECT count(*) FROM e WHERE graph = g1) AS n1, (SELECT count(*) FROM e WHERE graph = g2) AS n2 FROM pr)"""
+
+
+@query(f"""WITH {_S_MAP} SELECT g1, g2, vc::BIGINT AS vertex_cost, (n1 + n2 - 2 * coalesce(kept, 0))::BIGINT AS edge_cost, rc::DOUBLE AS relabel_cost, round(vc / size + CASE WHEN n1 + n2 > 0 THEN (n1 + n2 - 2 * coalesce(kept, 0)) / (n1 + n2) ELSE 0 END + rc / size, 6) AS cost FROM m JOIN nn USING (g1, g2) LEFT JOIN kp USING (g1, g2)""")
+def ged5_ged6_ged7_ged8_mapping_cost(spark, d):
+    """Costs of the mapping that pairs vertices of equal rank, for neighbouring users' graphs."""
+    v, e = user_graphs(spark, d)
+    g = v.select("graph").distinct()
+    pr = g.select(F.col("graph").alias("g1"), (F.col("graph") + 1).alias("g2")).join(g.withColumnRenamed("graph", "g2"), "g2")
+    side = lambda i: pr.join(v.select(F.col("graph").alias(f"g{i}"), F.col("id").alias("i"), F.col("id").alias(f"v{i}"), F.col("type").alias(f"t{i}"), F.col("name").alias(f"n{i}")), f"g{i}")
+    m = side(1).join(side(2), ["g1", "g2", "i"], "full").withColumn("relabel", ged.relabel_cost(F.col("t1"), F.col("n1"), F.col("t2"), F.col("n2"), F.lit(0.0)))
+    edges = lambda i: pr.join(e.withColumnRenamed("graph", f"g{i}"), f"g{i}").select("g1", "g2", "src", "dst")
+    return ged.mapping_cost(m, edges(1), edges(2), ["g1", "g2"]).withColumn("cost", r6("cost"))
+
+
+@query()
+def ged1_ged2_ged3_ged4_ged10_jn6_all_pairs(spark, d):
+    """Annealed distances of all pairs among twenty of the graphs."""
+    v, e = user_graphs(spark, d)
+    first = v.select("graph").distinct().orderBy("graph").limit(20)
+    few = lambda x: x.join(F.broadcast(first), "graph")
+    packed = ged.packed(few(v.withColumn("features", F.lit(None).cast("array<bigint>"))), few(e))
+    return sinks.distance_csv(ged.all_pairs(packed, lambda a, b: 0.0, rounds=10, proposals=20))
