@@ -10,6 +10,7 @@ from weftgraph.functions import ngrams, sketches
 from weftgraph.functions.hashing import seeded, signature_bucket
 from weftgraph.functions.similarity import SIMILARITIES, token_edit_similarity
 from weftgraph.operators import clustering, evaluation, ged, graph, mining, pairs
+from weftgraph.session import cut
 from weftgraph.sources import delimited, gml, listing, sinks
 
 FEATURES = ("minhash", "cosine", "jaccard", "inst", "lshcosine", "new_jaccard")
@@ -38,7 +39,7 @@ CODEC = {"minhash": "long", "cosine": "double", "jaccard": "bits", "inst": "inst
 
 def extract_call_graphs(lines: DataFrame, kind: str = "minhash", mode: str = "opcode", n: int = 2, include_db: bool = False, keep_instructions: bool = False, vocabulary: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """E1: vertices and edges of call graphs from listing lines."""
-    fns = listing.functions(lines, include_db)
+    fns = cut(listing.functions(lines, include_db), "functions")  # vertices and edges read it several times
     if kind != "new_jaccard":
         return graph.call_graph(fns, feature(kind, mode, n, **options), keep_instructions)
     grams = fns.select("binary", "fn_id", F.explode(ngrams.token_ngrams(F.transform("instructions", lambda i: i[mode]), n, ngrams.VOCABULARY)).alias("ngram"))

@@ -409,10 +409,11 @@ def listing_lines(spark, d) -> DataFrame:
         .when(k % 5 == 3, F.format_string(" 8B %02X 24\t\t mov     eax, [esp+%Xh]", n % 256, n % 16))
         .otherwise(F.lit("\t\t ; ------"))
     )
-    return t(spark, d, "lineitem").select(F.format_string("b%d", F.col("l_orderkey") % 40).alias("binary"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("line_no"), F.concat(head, body).alias("value"))
+    order = Window.partitionBy(F.col("l_orderkey") % 40).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return t(spark, d, "lineitem").select(F.format_string("b%d", F.col("l_orderkey") % 40).alias("binary"), F.row_number().over(order).cast("long").alias("line_no"), F.concat(head, body).alias("value"))
 
 
-_S_LINES = r"""x AS (SELECT 'b' || (l_orderkey % 40) AS "binary", l_orderkey * 16 + l_linenumber AS line_no, l_partkey AS k, l_suppkey AS n, l_orderkey % 8 AS m, l_linenumber AS l, printf('.text:%08X', l_orderkey * 16 + l_linenumber) AS h FROM lineitem),
+_S_LINES = r"""x AS (SELECT 'b' || (l_orderkey % 40) AS "binary", row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_no, l_partkey AS k, l_suppkey AS n, l_orderkey % 8 AS m, l_linenumber AS l, printf('.text:%08X', l_orderkey * 16 + l_linenumber) AS h FROM lineitem),
 ln AS (SELECT "binary", line_no, h || CASE WHEN l = 1 AND m = 1 THEN printf(chr(9) || chr(9) || ' sub_%X' || chr(9) || 'proc near', k) WHEN l = 2 AND m = 2 THEN printf(chr(9) || chr(9) || ' sub_%X' || chr(9) || 'endp', k) WHEN l = 3 AND m = 3 THEN printf(chr(9) || chr(9) || ' loc_%X:' || chr(9) || chr(9) || ' ; CODE XREF: sub', k)
  WHEN k % 5 = 0 THEN printf(' E8 %02X %02X' || chr(9) || chr(9) || ' call    ', n % 256, k % 256) || CASE k % 7 WHEN 0 THEN printf('sub_%X', n) WHEN 1 THEN printf('ds:Api%d', n) WHEN 2 THEN printf('near ptr Name%d+1', n) WHEN 3 THEN 'eax' WHEN 4 THEN printf('x%d ; operator new(uint)', n) WHEN 5 THEN printf('esi ; Get%d', n) ELSE printf('_fn%d', n) END
  WHEN k % 11 = 0 THEN printf(' %02X' || chr(9) || chr(9) || ' db %02Xh', n % 256, k % 256) WHEN k % 5 = 1 THEN printf(' 0F %02X C1' || chr(9) || chr(9) || ' setnz   cl', n % 256) WHEN k % 5 = 2 THEN printf(' %02X' || chr(9) || chr(9) || ' push    esi', n % 256) WHEN k % 5 = 3 THEN printf(' 8B %02X 24' || chr(9) || chr(9) || ' mov     eax, [esp+%Xh]', n % 256, n % 16) ELSE chr(9) || chr(9) || ' ; ------' END AS value FROM x),
@@ -741,10 +742,8 @@ def ev7_ag14_confusion(spark, d):
 
 @query()
 def ev10_jn7_e10_edit_versus_sketch(spark, d):
-    """Exact token edit similarity beside the Jaccard similarity of hashed sets, for functions of different listings."""
-    lines = listing_lines(spark, d).where("line_no < 20000")
-    v, _ = programs.extract_call_graphs(lines, "jaccard", keep_instructions=True)
-    v = v.withColumn("features", gml.positions_of(F.col("features")))
+    """Exact token edit similarity beside the Jaccard similarity of hashed sets, for functions (users' streams) of different graphs (a tenth of the users each)."""
+    v = token_lists(spark, d).select(F.format_string("g%d", F.col("user_id") % 10).alias("graph"), F.col("user_id").alias("id"), F.lit(graph.INTERNAL).alias("type"), F.transform("tokens", lambda x: F.struct(x.alias("asm"))).alias("instructions"), ngrams.hashed_set(ngrams.token_ngrams(F.col("tokens"), 2), 8).alias("features"))
     labels = v.select(F.col("graph").alias("id")).distinct().withColumn("class", F.substring("id", 2, 1))
     return programs.edit_versus_sketch(v, labels).select("class1", "class2", r6("edit"), r6("other"))
 
@@ -772,9 +771,7 @@ def ged5_ged6_ged7_ged8_mapping_cost(spark, d):
 
 @query()
 def ged1_ged2_ged3_ged4_ged10_jn6_all_pairs(spark, d):
-    """Annealed distances of all pairs among twenty of the graphs."""
+    """Annealed distances of all pairs of graphs, with few proposals."""
     v, e = user_graphs(spark, d)
-    first = v.select("graph").distinct().orderBy("graph").limit(20)
-    few = lambda x: x.join(F.broadcast(first), "graph")
-    packed = ged.packed(few(v.withColumn("features", F.lit(None).cast("array<bigint>"))), few(e))
-    return sinks.distance_csv(ged.all_pairs(packed, lambda a, b: 0.0, rounds=10, proposals=20))
+    packed = ged.packed(v.withColumn("features", F.lit(None).cast("array<bigint>")), e)
+    return sinks.distance_csv(ged.all_pairs(packed, lambda a, b: 0.0, rounds=3, proposals=10))

@@ -19,16 +19,16 @@ POINTER = r"^\S+\s+ptr\s+\[?([^+\s]+).*$"
 SEGMENT = r"^[CDEFGScdefgs]s:(\S+)$"
 REGISTER = r"^\[?([EeRr][ABCDSabcds][IPXipx])(?:\+[0-9A-Fa-f]+h?)?\]?\s*$"
 PROTOTYPE = r"^\s*(?:\w+\s+)*([^\s\(]+)\([^)]*\)$"
-NEWLINE = r"\r\n|[\n\r  \u0085]"
+NEWLINE = r"\r\n|[\n\r\u2028\u2029\u0085]"
 UNNAMED = "unamed_function_"
 
 
 def lines(spark: SparkSession, path: str, suffix: str | None = ".asm", recursive: bool = False, limit: int | None = None, share: float = 1.0, seed: int = 0) -> DataFrame:
     """(binary, line_no, value): the files below ``path`` by suffix, in the first ``limit`` by name, or a share of them by a hash of the name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower())
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if suffix:
         files = files.option("pathGlobFilter", f"*{suffix}")
-    whole = files.text(path).select(binary_name(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("binary"), "value")
+    whole = files.text(path, wholetext=True).select(binary_name(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("binary"), "value")
     if share < 1:
         whole = whole.where(F.pmod(F.xxhash64("binary", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     if limit is not None:
@@ -89,46 +89,39 @@ def transactions(rows: DataFrame, mode: str = "asm", include_db: bool = True) ->
 
 
 def marked(rows: DataFrame, include_db: bool = False) -> DataFrame:
-    """Lines with their function: sessions begin at a start marker, or behind an end marker of a function that holds something.
+    """Lines with the number of their function in the file.
 
-    A start marker replaces an empty function, and an end marker leaves an empty one open: so
-    an island of the raw markers without instructions hands its name on to what follows it,
-    unless a start marker does.
+    A start marker opens a function, and replaces an empty one; an end marker closes one that
+    holds instructions and leaves an empty one open. Markers cut a file into islands, and a
+    function that is open at a marker holds something exactly if the last island does.
     """
     pick = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     by = Window.partitionBy("binary").orderBy("line_no")
-    x = rows.select("binary", "line_no", pick(BEGIN).alias("begin"), F.rlike("value", F.lit(END)).alias("end"), pick(LABEL).alias("label"), parsed(F.col("value"), include_db).alias("i"))
-    x = x.where("begin is not null or end or label is not null or i is not null")
-    x = x.withColumn("marks", (F.col("begin").isNotNull() | F.col("end")).cast("int"))
-    x = x.withColumn("island", F.sum("marks").over(by))
-    # an end marker closes only if instructions or labels' functions have any instruction since the last start or closing end
-    has = F.max(F.col("i").isNotNull()).over(Window.partitionBy("binary", "island"))
-    x = x.withColumn("has", has)
-    heads = x.where("marks = 1").select("binary", "island", "begin").union(x.where("marks = 0").groupBy("binary", "island").agg(F.lit(None).cast("string").alias("begin")).where("island = 0"))
-    filled = x.select("binary", "island", "has").distinct()
-    order = Window.partitionBy("binary").orderBy("island")
-    k = filled.join(heads, ["binary", "island"], "left")
-    # an island opened by an end marker continues the one before it if that one, and all since its start, are empty
-    k = k.withColumn("before", F.coalesce(F.lag("has").over(order), F.lit(False)))
-    k = k.withColumn("opens", F.when(F.col("island") == 0, True).otherwise(F.col("begin").isNotNull() | F.col("before")).cast("int"))
-    k = k.withColumn("fn", F.sum("opens").over(order))
-    return x.join(k.select("binary", "island", "fn"), ["binary", "island"])
+    x = rows.select("binary", "line_no", pick(BEGIN).alias("begin"), F.rlike("value", F.lit(END)).alias("end"), "value")
+    x = x.withColumn("mark", F.col("begin").isNotNull() | F.col("end")).withColumn("island", F.sum(F.col("mark").cast("int")).over(by))
+    x = x.withColumn("i", F.when(~F.col("mark"), parsed(F.col("value"), include_db))).withColumn("label", F.when(~F.col("mark") & F.col("i").isNull(), pick(LABEL)))
+    x = x.drop("value").withColumn("has", F.max(F.col("i").isNotNull()).over(Window.partitionBy("binary", "island")))
+    x = x.withColumn("first", F.row_number().over(by) == 1).withColumn("closes", F.col("mark") & F.coalesce(F.lag("has").over(by), F.lit(False)))
+    return x.withColumn("fn", F.sum((F.col("first") | F.col("begin").isNotNull() | F.col("closes")).cast("int")).over(by))
 
 
 def functions(rows: DataFrame, include_db: bool = False) -> DataFrame:
-    """(binary, fn_id, name, aliases, called, instructions): functions in order; functions without instructions are none."""
-    x = marked(rows, include_db)
-    seq = lambda cond, value: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", value.alias("v"))))), lambda s: s["v"])
-    f = x.groupBy("binary", "fn").agg(
-        F.max("begin").alias("begin"), F.min("line_no").alias("at"),
-        F.array_distinct(seq(F.col("label").isNotNull(), F.col("label"))).alias("aliases"),
-        seq((F.lower("i.asm") == "call") & F.col("i.operand").isNotNull(), F.col("i.operand")).alias("called"),
-        seq(F.col("i").isNotNull(), F.col("i")).alias("instructions"),
-    ).where(F.size("instructions") > 0)
-    by = Window.partitionBy("binary").orderBy("at")
-    unnamed = F.sum(F.col("begin").isNull().cast("int")).over(by)
-    f = f.withColumn("fn_id", (F.row_number().over(by) - 1).cast("int")).withColumn("name", F.coalesce("begin", F.concat(F.lit(UNNAMED), unnamed.cast("string"))))
-    return f.select("binary", "fn_id", "name", "aliases", "called", "instructions")
+    """(binary, fn_id, name, aliases, called, instructions): functions in order; functions without instructions are none.
+
+    A function without a start marker is numbered: 1 for the one that is open at first, and the
+    next number whenever a line behind a closing marker opens one, even if it stays empty.
+    """
+    seq = lambda value: F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("line_no", value.alias("v"))))), lambda s: s["v"])
+    f = marked(rows, include_db).groupBy("binary", "fn").agg(
+        F.max("begin").alias("begin"), F.max("first").alias("first"), F.max(~F.col("mark")).alias("lines"),
+        F.array_distinct(seq(F.col("label"))).alias("aliases"),
+        seq(F.when(F.lower("i.asm") == "call", F.col("i.operand"))).alias("called"),
+        seq(F.col("i")).alias("instructions"),
+    )
+    by = Window.partitionBy("binary").orderBy("fn")
+    number = 1 + F.sum((F.col("begin").isNull() & ~F.col("first") & F.col("lines")).cast("int")).over(by)
+    f = f.withColumn("name", F.coalesce("begin", F.concat(F.lit(UNNAMED), number.cast("string")))).where(F.size("instructions") > 0)
+    return f.select("binary", (F.row_number().over(by) - 1).cast("int").alias("fn_id"), "name", "aliases", "called", "instructions")
 
 
 def known_by(name: str) -> Column:
