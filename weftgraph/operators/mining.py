@@ -190,3 +190,13 @@ def sequence_size(seq: Column) -> Column:
 
 def sequence_length(seq: Column) -> Column:
     return F.aggregate(seq, F.lit(0), lambda a, s: a + F.size(s))
+
+
+def itemset_order(items: Column) -> Column:
+    """Sort key of itemsets: lexicographic, and on a shared prefix the longer set first."""
+    return F.concat(items, F.array(F.lit("\U0010ffff")))
+
+
+def same_prefix(a: Column, b: Column) -> Column:
+    """Equality of two itemsets of one size but for the last item; sets of one item are always equal."""
+    return (F.size(a) == F.size(b)) & (F.slice(a, F.lit(1), F.size(a) - 1) == F.slice(b, F.lit(1), F.size(b) - 1))

@@ -61,3 +61,11 @@ def mutual_best(candidates: DataFrame, keys: list[str], a: str, b: str, score: s
     ra = F.row_number().over(Window.partitionBy(*keys, a).orderBy(F.desc(score), a, b))
     rb = F.row_number().over(Window.partitionBy(*keys, b).orderBy(F.desc(score), a, b))
     return candidates.withColumn("_a", ra).withColumn("_b", rb).where("_a = 1 and _b = 1").drop("_a", "_b")
+
+
+def lookup_distance(wanted: DataFrame, table: DataFrame, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
+    """Wanted pairs (a, b) with their distance from a table of unordered pairs (a, b, d): 0 for a pair of equal ids; a pair that the table lacks raises an error when it is read."""
+    t = table.select(F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi"), F.col(d).alias("_d")).dropDuplicates(["_lo", "_hi"])
+    x = wanted.join(t, (F.least(a, b) == F.col("_lo")) & (F.greatest(a, b) == F.col("_hi")), "left")
+    missing = F.raise_error(F.concat(F.lit("no distance of "), F.col(a).cast("string"), F.lit(" and "), F.col(b).cast("string"))).cast("double")
+    return x.withColumn(d, F.when(F.col(a) == F.col(b), 0.0).when(F.col("_d").isNotNull(), F.col("_d")).otherwise(missing)).drop("_lo", "_hi", "_d")

@@ -389,6 +389,25 @@ def prj11_prj12_oversize(spark, d):
     return graph.oversize(v, 60).join(v.where("type = 'Internal'").groupBy("graph").agg(F.count("*").alias("n")), "graph")
 
 
+@query(f"WITH {_S_CALLS} SELECT graph AS binary, id AS fn_id, 1 AS aliases, (SELECT count(*) FROM c WHERE c.graph = f.graph AND c.id = f.id)::INT AS called, 0 AS instructions, true AS empty FROM f".replace("AS binary", 'AS "binary"'))
+def gr15_function_records(spark, d):
+    return listing.record_sizes(call_functions(spark, d))
+
+
+@query(f"WITH {_S_CALLS} SELECT graph, id, name FROM f WHERE c_custkey % 50 = 7 OR name = 'alias7'")
+def prj13_known_by(spark, d):
+    return call_functions(spark, d).where(listing.known_by("alias7")).select(F.col("binary").alias("graph"), F.col("fn_id").alias("id"), "name")
+
+
+@query(f"""WITH {S_GRAPH}, vs AS (SELECT graph, count(*) AS n, string_agg(chr(9) || 'node [' || chr(10) || chr(9) || chr(9) || 'id ' || id || chr(10) || chr(9) || chr(9) || 'label "' || name || '"' || chr(10) || chr(9) || chr(9) || 'type "External"' || chr(10) || chr(9) || ']' || chr(10), '' ORDER BY id) AS t FROM v GROUP BY graph),
+es AS (SELECT graph, string_agg(chr(9) || 'edge [' || chr(10) || chr(9) || chr(9) || 'source ' || src || chr(10) || chr(9) || chr(9) || 'target ' || dst || chr(10) || chr(9) || ']' || chr(10), '' ORDER BY src, dst) AS t FROM e GROUP BY graph)
+SELECT graph, md5('graph [' || chr(10) || chr(9) || 'name "' || graph || '"' || chr(10) || chr(9) || 'vsize ' || n || chr(10) || vs.t || coalesce(es.t, '') || ']' || chr(10)) AS document FROM vs LEFT JOIN es USING (graph)""")
+def snk1_gml_documents(spark, d):
+    v, e = user_graphs(spark, d)
+    out = gml.documents(v.withColumn("features", F.lit(None).cast("array<bigint>")), e)
+    return out.select("graph", F.md5(F.col("text").cast("binary")).alias("document"))
+
+
 # ---- listings --------------------------------------------------------------------------------
 
 
@@ -502,6 +521,14 @@ def tk8_first_files(spark, d):
     return delimited.first_by_name(t(spark, d, "customer").select("c_name", "c_nationkey"), "c_nationkey", 7).select("c_name", "c_nationkey")
 
 
+@query("""SELECT a.l_orderkey, a.l_linenumber, a.l_returnflag = b.l_returnflag AND a.l_tax = b.l_tax AS same FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_tax FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_tax FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber""")
+def prj15_masked_equality(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_tax").distinct()
+    y = x.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("l_linenumber2"), F.col("l_linenumber"), "l_returnflag", "l_tax").alias("b")
+    both = x.alias("a").join(y, (F.col("a.l_orderkey") == F.col("b.k")) & (F.col("a.l_linenumber") == F.col("b.l_linenumber2")))
+    return both.select("a.l_orderkey", "a.l_linenumber", delimited.masked_equal("a", "b", ["l_returnflag", "l_linenumber", "l_tax"], {1}).alias("same"))
+
+
 # ---- mining ----------------------------------------------------------------------------------
 
 
@@ -554,6 +581,13 @@ def wn3_pm9_bounded_gap(spark, d):
     return a.join(b, "user_id").select("user_id", F.explode(mining.s_step(F.col("a"), F.col("b"), 2)).alias("pos"))
 
 
+@query("""WITH i AS (SELECT DISTINCT list_sort(list_distinct(list(p_type))) AS items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)
+SELECT array_to_string(items, ',') AS items, row_number() OVER (ORDER BY list_concat(items, [chr(1114111)]))::INT AS place FROM i""")
+def tk6_tk7_itemset_order(spark, d):
+    x = baskets(spark, d).select("items").distinct()
+    return x.select(F.array_join("items", ",").alias("items"), F.row_number().over(Window.orderBy(mining.itemset_order(F.col("items")))).alias("place"))
+
+
 # ---- joins of pairs, top-k and classification ------------------------------------------------
 
 
@@ -573,6 +607,13 @@ def ev9_e6_knn_classes(spark, d):
     return evaluation.knn(vector_distances(spark, d), unit_vectors(spark, d).select("id", "label"), 5)
 
 
+@query(f"WITH {S_PAIRS} SELECT id AS a, other AS b, d FROM d UNION ALL SELECT id, id, 0.0 FROM p")
+def sim10_lookup_distance(spark, d):
+    full = vector_distances(spark, d).select(F.col("id").alias("a"), F.col("other").alias("b"), "d")
+    ids = unit_vectors(spark, d).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return pairs.lookup_distance(full.select("a", "b").union(ids), full.where("a < b"))
+
+
 @query("WITH p AS (SELECT l_partkey AS a, l_suppkey AS b, l_quantity AS v FROM lineitem) SELECT id, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT a AS id, v FROM p UNION ALL SELECT b, v FROM p) GROUP BY id")
 def jn14_symmetric(spark, d):
     x = t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_quantity").alias("v"))

@@ -134,3 +134,9 @@ def projected(fns: DataFrame, extraction: str = "both", mode: str = "asm") -> Da
     items = F.transform("instructions", lambda i: F.array(i[mode])).alias("transactions")
     base = ["binary", "fn_id", "name", "aliases", "called"]
     return {"instruction": fns.select(*base, "instructions"), "transaction": fns.select(*base, items), "both": fns.select(*base, "instructions", items)}[extraction]
+
+
+def record_sizes(fns: DataFrame) -> DataFrame:
+    """(binary, fn_id, aliases, called, instructions, empty): sizes of a function's lists, 0 where one is unset."""
+    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)) if c in fns.columns else F.lit(0)
+    return fns.select("binary", "fn_id", n("aliases").alias("aliases"), n("called").alias("called"), n("instructions").alias("instructions"), (n("instructions") + n("transactions") == 0).alias("empty"))
