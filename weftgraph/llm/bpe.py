@@ -15,11 +15,13 @@ one; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weftgraph.llm.common import record, slices, texts_of
@@ -27,48 +29,103 @@ from weftgraph.llm.common import record, slices, texts_of
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?)")] = True
+_LETTER[97:123] = True
+
+
+def prepared(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """Texts, end to end, and their bounds: with the same ids but fewer distinct words, by ASCII lower case, as the normaliser makes it, and a blank between a letter and a mark, where the pre-tokenizer cuts anyway."""
+    data = b"".join([t if b"<|" in t else t.lower() for t in texts])  # special tokens are found before normalisation
+    codes = np.frombuffer(data, np.uint8)
+    cuts = np.flatnonzero(_MARK[codes[1:]] & _LETTER[codes[:-1]]) + 1
+    ends = np.cumsum([0, *map(len, texts)])
+    ends += np.searchsorted(cuts, ends, side="left")  # a blank at a text's very start belongs to the one before
+    return np.insert(codes, cuts, 32).tobytes(), ends
+
+
 class WordEncoder:
     """Encodes words that hold no ASCII white space, remembering frequent ones. Ids are little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000, shown: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.known, self.shown = most, {}, {}
-        self._strings: dict[int, bytes] = {}
-
-    def _token(self, i: int) -> bytes:
-        s = self._strings.get(i)
-        if s is None:
-            s = self._strings[i] = (self.tokenizer.id_to_token(i) or "").encode()
-        return s
-
-    def learn(self, words: Iterable[bytes]) -> None:
+        # the same model without normaliser and patterns, for words of plain letters
+        spec = json.loads(self.tokenizer.to_str())
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][-1]]}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.most, self.known, self.shown, self.shows = most, {}, {}, shown
+        self.strings = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array([x.endswith(b"</w>") for x in self.strings])
+
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(words, ids, strict=True))
+        if self.shows:
+            strings = self.strings.__getitem__
+            self.shown.update(zip(words, [b" ".join(map(strings, memoryview(x).cast("I"))) for x in ids], strict=True))
+
+    def learn(self, words: set[bytes]) -> None:
         """Make sure that ``known`` and ``shown`` (the decoded pieces) have these words."""
-        new = list(set(words).difference(self.known))
-        if not new:
-            return
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
-            self.shown[w] = b" ".join(map(self._token, ids))
+        new = words.difference(self.known)
+        plain = [w for w in new if w.isalpha()]  # ASCII letters
+        other = []
+        for w in new.difference(plain):
+            s = w.decode("utf-8", "replace")
+            # normalisation leaves lower-case Latin letters alone
+            if s.isalpha() and s.islower() and max(s) < "\u0250":
+                plain.append(w)
+            else:
+                other.append(w)
+        if plain:
+            # each is one piece, so they can be encoded as one text: a piece ends with its first token that ends a word
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(plain).lower().decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(plain) and cuts[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self._keep(plain, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+            else:
+                other += plain
+        if other:
+            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+            self._keep(other, [np.array(e.ids, "<u4").tobytes() for e in done])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, end to end, and where each text's ids end: words are split and numbered by Arrow, and each distinct word is looked up once."""
+        data, bounds = prepared(texts)
+        words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(set(distinct))
+        each = list(map(self.known.__getitem__, distinct))
+        self.trim()
+        pool = np.frombuffer(b"".join(each), "<u4")
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        n = size[place]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[place] - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[words.offsets.to_numpy()[1:]]
 
     def trim(self) -> None:
         """Bound the memory: forget long words when there are too many."""
         if len(self.known) > self.most:
-            kept = [w for w in self.known if len(w) <= 6][: self.most // 2]
-            self.known, self.shown = {w: self.known[w] for w in kept}, {w: self.shown[w] for w in kept}
+            kept = [w for w in self.known if len(w) <= 7][: self.most // 2]
+            self.known, self.shown = {w: self.known[w] for w in kept}, {w: self.shown[w] for w in kept} if self.shows else {}
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, shown: bool = True) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
-    return _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, WordEncoder(path)) or _ENCODERS[path]
+    if (path, shown) not in _ENCODERS:
+        _ENCODERS[path, shown] = WordEncoder(path, 150_000 if shown else 1_000_000, shown)
+    return _ENCODERS[path, shown]
 
 
 def _gear(seed: int = 7) -> np.ndarray:
@@ -104,7 +161,7 @@ def cut(data: bytes, ends: list[int], mask: int, least: int, most: int) -> list[
 class ChunkEncoder:
     """Encodes texts by chunks; each distinct chunk's inner words are encoded once while it is remembered."""
 
-    def __init__(self, words: WordEncoder, mask: int = 0x1FF, least: int = 64, most: int = 4096, budget: int = 24 << 20):
+    def __init__(self, words: WordEncoder, mask: int = 0x1FF, least: int = 64, most: int = 4096, budget: int = 16 << 20):
         self.words, self.mask, self.least, self.most, self.budget = words, mask, least, most, budget
         self.chunks: dict[bytes, tuple | None] = {}
         self.held = self.encoded = self.reused = 0
@@ -119,7 +176,7 @@ class ChunkEncoder:
             else:
                 head, tail = (b"" if first or not parts else parts[0]), (b"" if last or not parts else parts[-1])
                 inner[c] = (head, parts[bool(head) : len(parts) - bool(tail)], tail)
-        self.words.learn(w for _, body, _ in inner.values() for w in body)
+        self.words.learn(set().union(*[body for _, body, _ in inner.values()]))
         known, shown = self.words.known, self.words.shown
         for c, (head, body, tail) in inner.items():
             self.chunks[c] = (head, b"".join(map(known.__getitem__, body)), b" ".join(filter(None, map(shown.__getitem__, body))), tail)
@@ -128,8 +185,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
-        ends = np.cumsum([len(t) for t in texts]).tolist()
-        docs = cut(b"".join(texts), ends, self.mask, self.least, self.most)
+        data, bounds = prepared(texts)
+        docs = cut(data, bounds[1:].tolist(), self.mask, self.least, self.most)
         if self.held > self.budget:
             self.chunks, self.held = {}, 0
             self.words.trim()
@@ -167,7 +224,7 @@ DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 def _digest_task(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkEncoder(encoder(path))
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             done = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown).hexdigest()) for ids, shown in chunks.encode(texts_of(part))]
             n, a, b = zip(*done, strict=True)
             yield record(DIGESTS, part.column(0), n, a, b)
@@ -181,7 +238,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(_digest_task(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _encode_task(path: str, schema: pa.Schema):
+def _encode_task(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkEncoder(encoder(path))
         for part in slices(batches, "_text", 4 << 20):
@@ -193,7 +250,8 @@ def _encode_task(path: str, schema: pa.Schema):
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """The documents with two more columns: ``ids`` and ``decoded``."""
+    """The documents with two more columns, ``ids`` and ``decoded``, which replace any of these names."""
+    docs = docs.drop("ids", "decoded", "_text")
     rows = docs.withColumn("_text", docs[text_col])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_encode_task(path, None), f"{kept}, ids array<int>, decoded string")
+    return rows.mapInArrow(_encode_task(path), f"{kept}, ids array<int>, decoded string")

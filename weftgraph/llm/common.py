@@ -35,9 +35,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors."""
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and each task holds a batch on either side.
+ARROW_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Smaller Arrow batches, unless the session sets its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+    return spark
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors. small: in no more files than the cluster has cores."""
+    tuned(df.sparkSession)
     path = path or new_path(df.sparkSession, name)
+    if small:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,4 +110,4 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")

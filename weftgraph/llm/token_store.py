@@ -5,7 +5,8 @@ alone; a chunk is named by the hash of its ids and stored once. A document is a
 names of its chunks, in ascending order of document id, with its start in the whole stream. A
 manifest holds a Merkle root for each run of recipes and one for all of them.
 
-    <store>/kind=0    chunks: name, n_ids, payload (zlib of 16-bit ids, or of 32-bit ids if any needs them)
+    <store>/objects   kind 0, chunks: name, n_ids, payload (16-bit ids, or 32-bit ids if any needs them; the files are compressed)
+                      kind 1, recipes as they were cut
     <store>/recipes   part, pos, doc_id, start, n_tokens, names, root
     <store>/manifest  part, docs, tokens, root; part -1 is the whole store
 
@@ -40,11 +41,11 @@ def name_of(ids: bytes) -> bytes:
 
 def packed(ids: np.ndarray) -> bytes:
     narrow = not len(ids) or ids.max() < 1 << 16
-    return (b"\x02" if narrow else b"\x04") + zlib.compress(ids.astype("<u2" if narrow else "<u4").tobytes(), 1)
+    return (b"\x02" if narrow else b"\x04") + ids.astype("<u2" if narrow else "<u4").tobytes()
 
 
 def unpacked(payload: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(payload[1:]), "<u2" if payload[:1] == b"\x02" else "<u4").astype("<u4")
+    return np.frombuffer(payload[1:], "<u2" if payload[:1] == b"\x02" else "<u4").astype("<u4")
 
 
 def bounds(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -64,19 +65,15 @@ def bounds(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 
 
 def _encode(words: WordEncoder, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, end to end, and where each text's ids end."""
-    split = [t.split() for t in texts]
-    words.learn(w for ws in split for w in ws)
-    get, stop = words.known.__getitem__, np.uint32(end_id).tobytes()
-    each = [b"".join(map(get, ws)) + stop for ws in split]
-    words.trim()
-    return np.frombuffer(b"".join(each), "<u4"), np.cumsum([len(x) // 4 for x in each])
+    """All ids, end to end, and where each text's ids end, the end id included."""
+    ids, ends = words.encode(texts)
+    return np.insert(ids, ends, end_id).astype("<u4"), ends + np.arange(1, len(ends) + 1)
 
 
 def _cut_task(path: str, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = encoder(path), set()
-        for part in slices(batches, "text", 2 << 20):
+        words, seen = encoder(path, shown=False), set()
+        for part in slices(batches, "text", 4 << 20):
             ids, ends = _encode(words, texts_of(part), end_id)
             rows: list[tuple] = []
             start = 0
@@ -98,18 +95,6 @@ def _cut_task(path: str, end_id: int):
     return run
 
 
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows with a chunk's name, all of which are here, the first; recipes as they are."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keep.append(kind == 1 or key not in seen)
-            if kind == 0:
-                seen.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 class _Merkle:
     """Root over leaves that come in order, with a node for each level only."""
 
@@ -164,9 +149,11 @@ def write(docs: DataFrame, path: str, end_id: int, store: str | None = None, id_
     spark = docs.sparkSession
     store = store or new_path(spark, "token-store")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    once = rows.mapInArrow(_cut_task(path, end_id), _ROW_SQL).repartition("key").mapInArrow(_once, _ROW_SQL)
-    once.write.option("compression", "zstd").partitionBy("kind").parquet(store)
-    staged = spark.read.schema("doc_id long, n long, payload binary, key binary").parquet(f"{store}/kind=1")
+    # all rows with a chunk's name meet in one partition, a row for each task that met it, and the first is kept
+    cut = rows.mapInArrow(_cut_task(path, end_id), _ROW_SQL).repartition("key")
+    once = cut.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("kind"))).where("kind = 1 or _n = 1").drop("_n")
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{store}/objects")
+    staged = _objects(spark, store, 1)
     ordered = staged.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     ordered = write_table(ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("names")), "recipes")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -191,8 +178,12 @@ def verify(spark: SparkSession, store: str) -> None:
         raise ValueError(f"the recipes of {store} don't match its manifest")
 
 
+def _objects(spark: SparkSession, store: str, kind: int) -> DataFrame:
+    return spark.read.schema("key binary, doc_id long, n long, payload binary, kind int").parquet(f"{store}/objects").where(F.col("kind") == kind)
+
+
 def chunks(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("key binary, n long, payload binary").parquet(f"{store}/kind=0")
+    return _objects(spark, store, 0).select("key", "n", "payload")
 
 
 def recipes(spark: SparkSession, store: str) -> DataFrame:
@@ -240,16 +231,17 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        pieces = [sorted((x["ord"], x["n_ids"], x["crc"]) for x in xs) for xs in batch.column(3).to_pylist()]
-        for n, xs in zip(batch.column(2).to_pylist(), pieces, strict=True):
-            if sum(x[1] for x in xs) != n:
-                raise ValueError("a recipe doesn't add up to its number of ids")
-        sizes = np.array([len(x) for x in pieces])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n_bytes = np.array([x[1] * 4 for xs in pieces for x in xs], np.int64)
-        total = np.cumsum(n_bytes)
+        lists = batch.column(3)
+        ord_, n_ids, crc = (x.to_numpy() for x in lists.flatten().flatten())
+        sizes = np.diff(lists.offsets.to_numpy())
+        starts = np.cumsum(sizes) - sizes
+        order = np.lexsort((ord_, np.repeat(np.arange(len(sizes)), sizes)))
+        n_ids, crc = n_ids[order], crc[order]
+        if not np.array_equal(np.add.reduceat(n_ids, starts), batch.column(2).to_numpy()):
+            raise ValueError("a recipe doesn't add up to its number of ids")
+        total = np.cumsum(n_ids * 4)
         after = np.repeat(total[starts + sizes - 1], sizes) - total
-        yield record(schema, batch.column(0), batch.column(1), batch.column(2), joined_crc(np.array([x[2] for xs in pieces for x in xs], np.uint32), after, starts).astype(np.int64))
+        yield record(schema, batch.column(0), batch.column(1), batch.column(2), joined_crc(crc.astype(np.uint32), after, starts).astype(np.int64))
 
 
 def digests(spark: SparkSession, store: str) -> DataFrame:
