@@ -131,7 +131,8 @@ def revealing(docs: DataFrame, near: DataFrame, text_col: str) -> DataFrame:
 
 
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with ``base`` (spans by pattern) and ``spans`` (all spans); keeps all columns."""
+    """Every document with ``base`` (spans by pattern) and ``spans`` (all spans); keeps all other columns, and replaces those of these names."""
+    docs = docs.drop("base", "spans", "added", "_id", "_key", "_k")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(text, F.length(text))
     found = docs.withColumn("base", base_spans(F.col(text_col)))
@@ -163,5 +164,8 @@ def cleaned(text: Column, spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with cleaned texts, and the same columns."""
-    return analysed(docs, id_col, text_col).withColumn(text_col, cleaned(F.col(text_col), F.col("spans"))).select(*docs.columns)
+    """The documents with cleaned texts, and the same columns. A null text stays null."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name meets one of the analysis
+    ids, texts = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    out = analysed(docs.toDF(*names), ids, texts).withColumn(texts, cleaned(F.col(texts), F.col("spans")))
+    return out.select(*names).toDF(*docs.columns)

@@ -75,10 +75,11 @@ def weights(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n: i
 
 
 def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BINS, spread: float = SPREAD) -> DataFrame:
-    """Every document with its base features, ``llr`` (0 without n-grams), ``threshold``, ``base_failed`` and ``kept``; keeps all columns.
+    """Every document with its base features, ``llr`` (0 without n-grams), ``threshold``, ``base_failed`` and ``kept``; keeps all other columns, and replaces those of these names.
 
     ``trusted``: ids of the target's documents in a column named as ``id_col``.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "threshold", "base_failed", "kept")
     chosen = _chosen(trusted, id_col)
     w = F.split(F.lit(",".join(map(str, weights(docs, chosen, id_col, text_col, n)))), ",").cast("array<int>")
     mean = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.get(w, b)) / (UNIT * F.greatest(F.size(bs), F.lit(1)))

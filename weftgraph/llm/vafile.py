@@ -10,9 +10,10 @@ Queries and candidates meet in blocks of bounded size, and a block of queries ge
 each block of candidates only, so nothing grows with the number of pairs but the work.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part;
-vectors meet those of equal length only; ties go to the smaller id, then equal rows are all
-ranked; null ids take no part; fewer candidates than k give as many rows; an empty table gives
-an empty one; other columns are ignored. Scores beyond 64 bits raise an error.
+vectors meet those of equal length only (empty ones, too: their score is 0); ties go to the
+smaller id, and rows that repeat an id are all ranked; null ids take no part; fewer candidates
+than k give as many rows; an empty table gives an empty one; other columns are ignored. Scores
+beyond 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def block_top(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray,
     side = np.arange(v.shape[1])
     lo, hi = floor[cell, side].astype(np.float64), ceiling[cell, side].astype(np.float64)
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    slack = 1e-9 * (1 + np.abs(q).sum(1, keepdims=True) * float(max(np.abs(lo).max(), np.abs(hi).max())))  # rounding of the bounds
+    slack = 1e-9 * (1 + np.abs(q).sum(1, keepdims=True) * float(max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))))  # rounding of the bounds
     best, worst = up @ hi.T + down @ lo.T + slack, up @ lo.T + down @ hi.T - slack
     out, read = [], 0
     for i, own in enumerate(q_ids.tolist()):
@@ -102,8 +103,8 @@ def _search(k: int):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         for batch in batches:
             for dim, q_ids, q, ids, v in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                matrix = lambda x: np.frombuffer(x, np.int64).reshape(-1, dim)  # noqa: B023, E731
-                rows, _ = block_top(matrix(q), np.frombuffer(q_ids, np.int64), matrix(v), np.frombuffer(ids, np.int64), k)
+                matrix = lambda x, n: np.frombuffer(x, np.int64).reshape(len(n) // 8, dim)  # noqa: B023, E731
+                rows, _ = block_top(matrix(q, q_ids), np.frombuffer(q_ids, np.int64), matrix(v, ids), np.frombuffer(ids, np.int64), k)
                 if rows:
                     yield record(schema, *zip(*rows, strict=True))
 
