@@ -152,7 +152,7 @@ def ngram_vocabulary(lines: DataFrame, n: int = 2, mode: str = "asm", include_db
 
 def edit_versus_sketch(vertices: DataFrame, labels: DataFrame, kind: str = "jaccard", most: int = 450, mode: str = "asm") -> DataFrame:
     """E10: (class1, class2, edit, other): exact edit similarity and a sketch's, for Internal functions of different graphs."""
-    inner = vertices.where(F.col("type") == graph.INTERNAL).join(F.broadcast(graph.oversize(vertices, most)), "graph")
+    inner = vertices.where(F.col("type") == graph.INTERNAL).join(graph.oversize(vertices, most), "graph")
     inner = inner.join(labels.select(F.col("id").alias("graph"), "class"), "graph")
     x = pairs.ordered_pairs(inner.select("graph", "class", "features", F.transform("instructions", lambda i: i[mode]).alias("tokens")), "graph", ["class", "features", "tokens"])
     return x.select(F.col("class_a").alias("class1"), F.col("class_b").alias("class2"), token_edit_similarity(F.col("tokens_a"), F.col("tokens_b")).alias("edit"), SIMILARITIES[kind](F.col("features_a"), F.col("features_b")).alias("other"))
