@@ -82,7 +82,7 @@ def test_sketches(spark):
     assert set(one(spark, sketches.minhash(arr([], "bigint"), p))) == {sketches.EMPTY}
     m = sketches.planes(4, 256, 1, 0.0)
     words = sketches.hyperplane_words(m)
-    x, y = [0.4, 0.2, 0.1, 56.4], [98, 3.2, 0.1, 56.4]
+    x, y = [0.4, 0.2, 0.1, 56.4], [98.0, 3.2, 0.1, 56.4]
     df = spark.createDataFrame([(x, y)], "x array<double>, y array<double>").select(words("x").alias("a"), words("y").alias("b"))
     exact = 1 - math.acos(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) / math.pi
     assert abs(df.select(sketches.angle_similarity(F.col("a"), F.col("b"), 256).alias("x")).first()["x"] - exact) < 0.0999
@@ -90,7 +90,7 @@ def test_sketches(spark):
     assert bands == [int(w) >> s & 0xFFFF for w in df.first()["a"] for s in (0, 16, 32, 48)]
     with pytest.raises(Exception, match="components"):
         spark.createDataFrame([([1.0],)], "x array<double>").select(words("x")).collect()
-    u, v = [0.3, 0, 0, 0.4, 0.5], [0.3, 0.4, 0.3, 0.5, 0.5]
+    u, v = [0.3, 0.0, 0.0, 0.4, 0.5], [0.3, 0.4, 0.3, 0.5, 0.5]
     r = spark.createDataFrame([(u,), (u,), (v,)], "v array<double>").select(sketches.simhash(16)("v").alias("h")).collect()
     assert r[0].h == r[1].h and (r[0].h ^ r[2].h).bit_count() / 16 <= 0.4
     assert -(1 << 63) <= spark.createDataFrame([(v,)], "v array<double>").select(sketches.simhash(64)("v").alias("h")).first().h < 1 << 63
