@@ -2,13 +2,13 @@
 
 A logistic model over words and word beginnings that tell labelled classes apart. Identity terms
 in labelled sentences are swapped for others of their group, and the fit penalises the squared
-change of the score, so that a neutral mention of a group has no weight of its own. Feature
-counts cover all labelled rows; the weights are fitted to at most SAMPLE of them.
+change of the score, so that a neutral mention of a group has no weight of its own. Features
+and weights come from at most SAMPLE labelled documents, the first by a hash of the id.
 
 Defined results: null and empty texts get the score of no evidence; a null id belongs to the
 labelled part; a document that is labelled twice is toxic if any label says so, null labels
 count for nothing; equal rows are scored alike; an empty table gives an empty one, and without
-labels of both classes every score is the share of toxic labels, or 0; other columns are ignored.
+labels of both classes every score is 1 if all labels are toxic, else 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import drop_table, fold_of, record, slices, texts_of, write_table
 
-#: Most labelled rows that weights are fitted to; most features; labelled documents that a feature must be in.
+#: Most labelled documents that the model is fitted to; most features; labelled documents that a feature must be in.
 SAMPLE, FEATURES, SUPPORT = 20_000, 4096, 4
 #: Penalties of squared weights and of squared score changes under a swap; steps of the fit.
 RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 4.0, 300
@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if held_fold is not None:
         told, rows = told.where(fold_of(F.col("_id")) != held_fold), rows.where(fold_of(F.col("doc_id")) != held_fold)
-    known = write_table(rows.join(told, F.col("doc_id") == F.col("_id")).select("text", "toxic", "doc_id"), "labelled")
+    told = told.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)  # of fixed size, so it can be broadcast and no text is shuffled
+    known = write_table(rows.join(F.broadcast(told), F.col("doc_id") == F.col("_id")).select("text", "toxic", "doc_id"), "labelled")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = sums.where(F.col("b") + F.col("g") >= SUPPORT).orderBy(F.desc(gain), "feature").limit(FEATURES).select("feature").collect()
     names = list(dict.fromkeys([*(r["feature"] for r in best), *_GROUP]))  # identity terms are always there, so that their weights are held down
     index = {f: i for i, f in enumerate(names)}
-    sample = known.mapInArrow(_present(index), "doc_id long, toxic int, found array<int>, swapped array<array<int>>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    sample = known.mapInArrow(_present(index), "doc_id long, toxic int, found array<int>, swapped array<array<int>>").orderBy("doc_id").collect()  # at most SAMPLE documents' places among the features
     drop_table(known)
     w = fit([r["found"] for r in sample], [r["toxic"] for r in sample], [r["swapped"] for r in sample], len(names), counterfactual)
     return {f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-6}, float(w[-1])
