@@ -116,13 +116,13 @@ def expected(model: tuple, windows: np.ndarray, lengths: np.ndarray) -> tuple[np
         alive = t < lengths
         scale[t] = np.where(alive, total, 1.0)
         alpha[t] = np.where(alive[:, None], now / np.maximum(total, 1e-300)[:, None], 0)
-    beta = np.zeros((n, STATES))
+    ahead = np.zeros((n, STATES))  # scaled backward variables of the place behind
     moves, gammas = np.zeros((STATES, STATES)), np.zeros((span, n, STATES))
     for t in range(span - 1, -1, -1):
         last = t == lengths - 1
         inner = t < lengths - 1
         if t < span - 1:
-            onward = seen[t + 1] * ahead / scale[t + 1][:, None]  # noqa: F821
+            onward = seen[t + 1] * ahead / scale[t + 1][:, None]
             onward[~inner] = 0
             moves += alpha[t].T @ onward * move
             beta = onward @ move.T
@@ -130,7 +130,7 @@ def expected(model: tuple, windows: np.ndarray, lengths: np.ndarray) -> tuple[np
             beta = np.zeros((n, STATES))
         beta[last] = 1.0
         gammas[t] = alpha[t] * beta
-        ahead = beta  # noqa: F841
+        ahead = beta
     weight = gammas.reshape(-1, STATES)
     flat = windows.T.reshape(-1)
     emissions = np.stack([np.bincount(flat, weight[:, s], emit.shape[1]) for s in range(STATES)])

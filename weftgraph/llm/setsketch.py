@@ -280,13 +280,13 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): the smallest key that each end of the edges (a, b) reaches. Smallest neighbours, then labels of labels, until nothing changes."""
-    both = write_table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = write_table(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = write_table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", small=True)
+    labels = write_table(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", small=True)
     while True:
         near = both.join(labels, both.a == labels.key).groupBy(F.col("b").alias("_key")).agg(F.min("label").alias("near"))
         step = labels.join(near, labels.key == near._key).select("key", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         up = labels.select(F.col("key").alias("_to"), F.col("label").alias("up"))
-        new = write_table(step.join(up, F.col("to") == F.col("_to"), "left").select("key", F.coalesce(F.least("to", "up"), "to").alias("label"), "was"), "labels")
+        new = write_table(step.join(up, F.col("to") == F.col("_to"), "left").select("key", F.coalesce(F.least("to", "up"), "to").alias("label"), "was"), "labels", small=True)
         drop_table(labels)
         labels = new.select("key", "label")
         if new.where(F.col("label") != F.col("was")).isEmpty():
@@ -320,7 +320,7 @@ def _star_links(members: DataFrame, nodes: DataFrame, sketches: DataFrame, docs:
     texts = _texts(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key"), sketches, docs)
     side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    links = write_table(whole.mapInArrow(_verified, "a binary, b binary").distinct(), "links")
+    links = write_table(whole.mapInArrow(_verified, "a binary, b binary").distinct(), "links", small=True)
     for used in (pairs, texts):
         drop_table(used)
     return links
@@ -339,7 +339,7 @@ def _block_links(members: DataFrame, labels: DataFrame | None, nodes: DataFrame,
     wanted = write_table(group(rows).mapInArrow(_wanted, "bucket long, band int, i int, j int, key binary, label binary, own int, n long, regs binary"), "wanted")
     texts = _texts(wanted.select("key").distinct(), sketches, docs)
     full = group(wanted.join(texts, "key"), "text").select("band", "i", "j", "members")
-    links = write_table(full.mapInArrow(_joined, "a binary, b binary").distinct(), "links")
+    links = write_table(full.mapInArrow(_joined, "a binary, b binary").distinct(), "links", small=True)
     for used in (wanted, texts):
         drop_table(used)
     return links
@@ -373,5 +373,6 @@ def _result(sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each group of near-duplicates keeps the one with the smallest id; the same columns."""
-    kept = deduplicated(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept"))).drop("_kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name meets one of the join
+    kept = deduplicated(docs, id_col, text_col).where("kept").select("doc_id").distinct()
+    return docs.toDF(*names).join(kept, F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("doc_id"))).select(*names).toDF(*docs.columns)
