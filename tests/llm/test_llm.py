@@ -131,7 +131,7 @@ def test_quality(spark, docs, empty):
     share = lambda c, b: math.log((c[b] + quality.SMOOTH) / (sum(c.values()) + quality.SMOOTH * quality.BINS))
     llr = lambda bs: sum(share(good, b) - share(raw, b) for b in bs) / max(len(bs), 1)
     by = {(i, t): llr(bins[i, t]) for i, t in rows}
-    own = [by[i, t] for i, t in rows if i is not None and i < 12]
+    own = [by[i, t] for i, t in rows if i is not None and i < 12 and len(words(t)) >= 50 and 2 * repeated(words(t)) <= len(words(t))]
     level = np.mean(own) - quality.SPREAD * np.std(own)
     for r in got:
         x = by[r.doc_id, r.text or ""]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACE
+from weftgraph.llm.common import write_table
 
 #: A source's weight goes linearly from START to END times its mean over the run: later sources come later.
 START, END = 1.5, 0.5
@@ -70,14 +70,14 @@ def _position(demand: Column) -> Column:
 
 def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, **columns) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken, offset (its place in its source's demand), position (of its first copy, null if none)."""
-    rows = sized(docs, **columns)
+    rows = write_table(sized(docs, **columns), "sizes")  # words are counted once
     # A source is cut by shuffle key into 2 ** _BITS slots: sums of slots give each slot's start, and only a slot is ever sorted.
     rows = rows.withColumn("slot", F.conv(F.substring("u", 1, _BITS // 4), 16, 10).cast("int"))
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     start = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("slot_start", F.coalesce(F.sum("slot_size").over(start), F.lit(0)))
     per_source = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, most)
-    plan = slots.join(F.broadcast(per_source), slots.source.eqNullSafe(per_source.source)).drop(per_source.source)
+    plan = slots.join(per_source, slots.source.eqNullSafe(per_source.source)).drop(per_source.source)
     order = Window.partitionBy("r.source", "r.slot").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     r, p = rows.alias("r"), plan.alias("p")
     both = r.join(p, F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slot") == F.col("p.slot")))
@@ -85,9 +85,20 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int =
     # copy k sits at demand offset + k * source_size; it is taken if the target reaches its middle
     span = F.greatest(F.col("source_size"), F.lit(1))
     copies = F.least(F.lit(most), F.greatest(F.lit(0), F.floor((F.col("target") - F.col("offset") - F.col("size") / 2) / span) + 1))
+    # what is missing from a source's target, or beyond it, is made up by one more or one less of the document whose size is nearest
+    first = both.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "rank", "last_rank", "target", "offset", copies.alias("copies"))
+    first = write_table(first, "copies")
+    gaps = first.groupBy(F.col("source").alias("_source")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    near = first.join(gaps, F.col("source").eqNullSafe(F.col("_source")))
+    miss = F.abs(F.col("size") - F.abs("gap"))
+    can = (F.col("size") > 0) & (miss < F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    best = near.where(can).groupBy("_source").agg(F.min(F.struct(miss.alias("miss"), "offset")).alias("b"), F.first(F.signum("gap")).cast("int").alias("by"))
+    best = best.select("_source", F.col("b.offset").alias("_offset"), "by")
+    met = first.join(best, F.col("source").eqNullSafe(F.col("_source")) & (F.col("offset") == F.col("_offset")) & (F.col("size") > 0), "left")
+    met = met.withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0)))
     position = F.when(F.col("copies") > 0, _position(F.col("offset")))
-    return both.withColumn("copies", copies).select(
-        "doc_id", F.col("r.source").alias("source"), "size", "source_size", "rank", "last_rank", "target", F.col("copies").cast("int").alias("copies"),
+    return met.select(
+        "doc_id", "source", "size", "source_size", "rank", "last_rank", "target", F.col("copies").cast("int").alias("copies"),
         (F.col("copies") * F.col("size")).cast("long").alias("taken"), "offset", position.alias("position"),
     )
 

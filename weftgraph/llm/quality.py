@@ -22,8 +22,8 @@ from weftgraph.llm.common import ascii_lower, bound, words_of
 
 #: Bins of the hashed n-grams; added to each bin's count; most trusted documents (in hash order) that form the target; weights are held in units of 1/UNIT.
 BINS, SMOOTH, TRUSTED, UNIT = 1 << 15, 0.5, 20_000, 10_000
-#: A document is kept if its score is at least the trusted mean less so many standard deviations.
-SPREAD = 4.0
+#: A document is kept if its score is at least the mean less so many standard deviations of trusted documents that pass the base rule.
+SPREAD = 7.0
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -51,6 +51,10 @@ def base_features(text: Column) -> Column:
     return bound(F.coalesce(text, F.lit("")), lambda t: bound(words_of(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), of(t).alias("t"), repeated(ws).cast("long").alias("n_repeat_words"))))
 
 
+def _failed(at: str = "") -> Column:
+    return (F.col(f"{at}n_words") < 50) | (100 * F.col(f"{at}n_repeat_words") > 50 * F.col(f"{at}n_words"))
+
+
 def bins(text: Column, n: int = BINS) -> Column:
     """The bins of a text's words and word pairs, lower-cased, in order."""
     one = lambda ws: F.transform(ws, lambda w: F.pmod(F.hash(w), F.lit(n)))
@@ -84,9 +88,9 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     w = F.split(F.lit(",".join(map(str, weights(docs, chosen, id_col, text_col, n)))), ",").cast("array<int>")
     mean = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.get(w, b)) / (UNIT * F.greatest(F.size(bs), F.lit(1)))
     llr = bound(bins(F.col(text_col), n), mean)
-    own = docs.join(chosen, F.col(id_col) == F.col("_trusted")).select(llr.alias("llr"))
+    own = docs.join(chosen, F.col(id_col) == F.col("_trusted")).withColumn("_b", base_features(F.col(text_col))).where(~_failed("_b.")).select(llr.alias("llr"))
     level = own.agg(F.coalesce(F.avg("llr") - spread * F.stddev_pop("llr"), F.lit(-1e9))).first()[0]
     out = docs.withColumn("_b", base_features(F.col(text_col))).withColumn("llr", llr).withColumn("threshold", F.lit(round(level, 6)))
     out = out.select(*docs.columns, "_b.n_words", "_b.t.word_chars", "_b.t.n_symbols", "_b.t.n_dup_lines", "_b.n_repeat_words", "llr", "threshold")
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = out.withColumn("base_failed", _failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.col("threshold")))

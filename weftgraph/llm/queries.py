@@ -91,8 +91,12 @@ w AS (SELECT *, (rank % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap, 3
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 o AS (SELECT k AS ok, rank AS orank, level AS olevel FROM l WHERE level * w <= cap ORDER BY k, rank LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN olevel IS NULL OR (k, rank) < (ok, orank) THEN cap ELSE olevel * w END AS target FROM l LEFT JOIN o ON true),
-p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target::DOUBLE AS target, (least(3, greatest(0, floor((target - offset_ - size / 2) / greatest(source_size, 1)) + 1)) * size)::BIGINT AS taken FROM p""",
+p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, least(3, greatest(0, floor((target - offset_ - size / 2) / greatest(source_size, 1)) + 1)) AS copies FROM p),
+g AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS gap FROM c),
+n AS (SELECT *, abs(size - abs(gap)) AS miss, size > 0 AND abs(size - abs(gap)) < abs(gap) AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AS can FROM g),
+b AS (SELECT *, can AND row_number() OVER (PARTITION BY source, can ORDER BY miss, offset_) = 1 AS chosen FROM n)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, ((copies + CASE WHEN chosen THEN sign(gap) ELSE 0 END) * size)::BIGINT AS taken FROM b""",
     "op9_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, length(replace(replace(text, '', '\'), '<|', '<\|')) + length(replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
