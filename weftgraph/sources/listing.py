@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import bound
+from weftgraph.sources.delimited import first_by_name, sampled
 
 # The line formats of listings.
 LINE = r"^.text:[0-9A-Fa-f]+\s+((?:[0-9A-Fa-f]{2}\s)+)\s+(\S+)(.*)$"
@@ -30,10 +31,8 @@ def lines(spark: SparkSession, path: str, suffix: str | None = ".asm", recursive
         files = files.option("pathGlobFilter", f"*{suffix}")
     whole = files.text(path, wholetext=True).select(binary_name(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("binary"), "value")
     if share < 1:
-        whole = whole.where(F.pmod(F.xxhash64("binary", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    if limit is not None:
-        whole = whole.orderBy("binary").limit(limit)
-    return split_lines(whole)
+        whole = sampled(whole, "binary", share, seed)
+    return split_lines(whole if limit is None else first_by_name(whole, "binary", limit))
 
 
 def split_lines(whole: DataFrame) -> DataFrame:
