@@ -153,6 +153,17 @@ def test_mapping_cost_and_annealing(spark):
     assert sinks.distance_csv(ged.one_pair(ged.packed(v, ed), "a", "b", lambda x, y: 0.0)).first().GED == "0.000000"
 
 
+def test_all_distances_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    pts = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(70)]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    want = {(i, j): math.dist(v, w) for i, v in pts for j, w in pts if i != j}
+    for block in (16, 512):
+        got = {(r.id, r.other): r.d for r in pairs.all_distances(df, block).collect()}
+        assert got == pytest.approx(want)
+        assert {(r.id, r.other) for r in pairs.all_distances(df, block, both=False).collect()} == {k for k in want if k[0] < k[1]}
+
+
 def test_reduction_matches_greedily(spark):
     c = spark.createDataFrame([("k", 1, 1, 0.9), ("k", 1, 2, 0.95), ("k", 2, 2, 0.99), ("k", 2, 1, 0.1)], "k string, a int, b int, s double")
     assert {(r.a, r.b) for r in pairs.greedy_match(c, ["k"], "a", "b", "s").collect()} == {(2, 2), (1, 1)}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,44 @@ def lookup_distance(wanted: DataFrame, table: DataFrame, a: str = "a", b: str =
     x = wanted.join(t, (F.least(a, b) == F.col("_lo")) & (F.greatest(a, b) == F.col("_hi")), "left")
     missing = F.raise_error(F.concat(F.lit("no distance of "), F.col(a).cast("string"), F.lit(" and "), F.col(b).cast("string"))).cast("double")
     return x.withColumn(d, F.when(F.col(a) == F.col(b), 0.0).when(F.col("_d").isNotNull(), F.col("_d")).otherwise(missing)).drop("_lo", "_hi", "_d")
+
+
+def all_distances(points: DataFrame, block: int = 512, both: bool = True, digits: int | None = None) -> DataFrame:
+    """(id, other, d): Euclidean distances of all pairs of points (id: bigint, v), in both directions or for id < other.
+
+    Points meet in blocks, so the shuffle carries each point once for each other block and not
+    for each other point, and a block pair is one numpy kernel. Components are added in order,
+    as an expression over the arrays would add them.
+    """
+    n = max(1, -(-points.count() // block))
+    key = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    packed = points.groupBy(key.alias("b")).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), "v")).alias("m"))
+    left, right = (packed.select(F.col("b").alias(f"b{i}"), F.col(f"m.id").alias(f"id{i}"), F.col("m.v").alias(f"v{i}")) for i in (1, 2))
+    met = left.join(right, F.col("b1") <= F.col("b2")).repartition(2 * points.sparkSession.sparkContext.defaultParallelism, "b1", "b2")
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d", pa.float64())])
+
+    def matrix(column) -> np.ndarray:
+        rows = column.flatten()
+        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                a, b = one.column(1).flatten().to_numpy(), one.column(4).flatten().to_numpy()
+                v, w = matrix(one.column(2)), matrix(one.column(5))
+                total = np.zeros((len(a), len(b)))
+                for x, y in zip(v.T, w.T, strict=True):
+                    d = x[:, None] - y[None]
+                    total += d * d
+                d = np.sqrt(total)
+                if digits is not None:
+                    d = np.round(d, digits)
+                x, y = np.broadcast_to(a[:, None], d.shape), np.broadcast_to(b[None], d.shape)
+                same = one.column(0)[0].as_py() == one.column(3)[0].as_py()
+                for p, q, keep in ((x, y, x < y), (y, x, y < x)) if not both else ((x, y, x != y), (y, x, (x != y) & (not same))):
+                    if same and not both and p is y:
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(q[keep]), pa.array(d[keep])], schema=schema)
+
+    return met.mapInArrow(run, "id long, other long, d double")

@@ -96,9 +96,7 @@ S_PAIRS = f"{S_VEC}, d AS (SELECT a.id, b.id AS other, round({S_DIST}, 9) AS d F
 
 def vector_distances(spark, d) -> DataFrame:
     """Symmetric distances (id, other, d) of all vectors, rounded so that ties are the same everywhere."""
-    p = unit_vectors(spark, d)
-    a, b = p.select("id", "v"), p.select(F.col("id").alias("other"), F.col("v").alias("w"))
-    return a.join(b, F.col("id") != F.col("other")).select("id", "other", F.round(similarity.euclidean(F.col("v"), F.col("w")), 9).alias("d"))
+    return pairs.all_distances(unit_vectors(spark, d).select("id", "v")).withColumn("d", F.round("d", 9))
 
 
 # ---- flagship: graphs to bucket vectors ------------------------------------------------------
