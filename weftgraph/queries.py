@@ -72,7 +72,7 @@ def user_graphs(spark, d, bits: int = 10) -> tuple[DataFrame, DataFrame]:
 S_TOKENS = "s AS (SELECT user_id, event_type AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
 S_LISTS = "l AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS tokens FROM events GROUP BY user_id)"
 S_GRAPH = f"""{S_TOKENS},
-v AS (SELECT user_id AS graph, name, dense_rank() OVER (PARTITION BY user_id ORDER BY name) - 1 AS id FROM (SELECT DISTINCT user_id, token AS name FROM s)),
+v AS (SELECT user_id AS graph, name, (dense_rank() OVER (PARTITION BY user_id ORDER BY name) - 1)::INT AS id FROM (SELECT DISTINCT user_id, token AS name FROM s)),
 tr AS (SELECT DISTINCT user_id AS graph, token AS a, b FROM (SELECT user_id, token, lead(token) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM s) WHERE b IS NOT NULL),
 e AS (SELECT tr.graph, x.id AS src, y.id AS dst FROM tr JOIN v x ON x.graph = tr.graph AND x.name = tr.a JOIN v y ON y.graph = tr.graph AND y.name = tr.b)"""
 
@@ -344,7 +344,7 @@ def gr3_remove_edges(spark, d):
     return graph.remove_edges(e, e.where("src = dst"))
 
 
-@query(f"WITH {S_GRAPH}, k AS (SELECT DISTINCT user_id AS graph, i AS src, j AS dst FROM events, (SELECT unnest(range(6)) AS i), (SELECT unnest(range(6)) AS j)) SELECT k.graph, k.src, k.dst, e.src IS NOT NULL AS found FROM k LEFT JOIN e ON e.graph = k.graph AND e.src = k.src AND e.dst = k.dst")
+@query(f"WITH {S_GRAPH}, k AS (SELECT DISTINCT user_id AS graph, i AS src, j AS dst FROM events, (SELECT unnest(range(6))::INT AS i), (SELECT unnest(range(6))::INT AS j)) SELECT k.graph, k.src, k.dst, e.src IS NOT NULL AS found FROM k LEFT JOIN e ON e.graph = k.graph AND e.src = k.src AND e.dst = k.dst")
 def gr4_gr7_lookup_edges(spark, d):
     keys = t(spark, d, "events").select(F.col("user_id").alias("graph")).distinct().select("graph", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("src")).select("graph", "src", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("dst"))
     return graph.lookup_edges(user_graphs(spark, d)[1], keys)
@@ -572,7 +572,7 @@ def pm7_pm8_pm9_pm10_pm12_spam(spark, d):
     return found.select("user_id", mining.sequence_name(F.col("sequence")).alias("sequence"), r6("support"))
 
 
-@query(f"WITH {S_TOKENS} SELECT b.user_id, b.pos FROM s b WHERE b.token = 'view' AND EXISTS (SELECT 1 FROM s a WHERE a.user_id = b.user_id AND a.token = 'click' AND b.pos > a.pos AND b.pos <= a.pos + 3)")
+@query(f"WITH {S_TOKENS} SELECT b.user_id, b.pos::INT AS pos FROM s b WHERE b.token = 'view' AND EXISTS (SELECT 1 FROM s a WHERE a.user_id = b.user_id AND a.token = 'click' AND b.pos > a.pos AND b.pos <= a.pos + 3)")
 def wn3_pm9_bounded_gap(spark, d):
     v = mining.positions(streams(spark, d), "user_id", "pos", "token")
     a, b = (v.where(F.col("token") == x).select("user_id", F.col("positions").alias(n)) for x, n in (("click", "a"), ("view", "b")))
