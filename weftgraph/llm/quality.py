@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import ascii_lower, bound, words_of
+from weftgraph.llm.common import ascii_lower, bound, words_of, write_table
 
 #: Bins of the hashed n-grams; added to each bin's count; most trusted documents (in hash order) that form the target; weights are held in units of 1/UNIT.
 BINS, SMOOTH, TRUSTED, UNIT = 1 << 15, 0.5, 20_000, 10_000
@@ -88,7 +88,9 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     w = F.split(F.lit(",".join(map(str, weights(docs, chosen, id_col, text_col, n)))), ",").cast("array<int>")
     mean = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.get(w, b)) / (UNIT * F.greatest(F.size(bs), F.lit(1)))
     llr = bound(bins(F.col(text_col), n), mean)
-    own = docs.join(chosen, F.col(id_col) == F.col("_trusted")).withColumn("_b", base_features(F.col(text_col))).where(~_failed("_b.")).select(llr.alias("llr"))
+    # written first, as the optimizer would move the base rule below the join, to every document
+    own = write_table(docs.join(chosen, F.col(id_col) == F.col("_trusted")).select(text_col), "trusted")
+    own = own.withColumn("_b", base_features(F.col(text_col))).where(~_failed("_b.")).select(llr.alias("llr"))
     level = own.agg(F.coalesce(F.avg("llr") - spread * F.stddev_pop("llr"), F.lit(-1e9))).first()[0]
     out = docs.withColumn("_b", base_features(F.col(text_col))).withColumn("llr", llr).withColumn("threshold", F.lit(round(level, 6)))
     out = out.select(*docs.columns, "_b.n_words", "_b.t.word_chars", "_b.t.n_symbols", "_b.t.n_dup_lines", "_b.n_repeat_words", "llr", "threshold")
