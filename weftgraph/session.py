@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_session(app: str = "weftgraph", cores: int | str = "*", memory: str | None = None, shuffle: int | None = None) -> SparkSession:
     """A local session for tests and benches. On a cluster, settings given to spark-submit hold."""
-    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true")
+    b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.enabled", "true")
     if "SPARK_MASTER" not in os.environ:
         b = b.master(f"local[{cores}]")
     if memory:
