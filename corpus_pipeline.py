@@ -14,6 +14,8 @@ from weftgraph.llm.common import table, write_table
 from weftgraph.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Hundredths of similarity from which documents are near-duplicates.
+LINK = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return setsketch.unique(docs.select(*COLUMNS))
+    return setsketch.unique(docs.select(*COLUMNS), link=LINK)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,6 +383,21 @@ def test_near_duplicate_families(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows)
 
 
+def test_pipeline_links_at_080(spark):
+    """A pair at about 0.82 is one document for the pipeline and two for op8; one at about 0.75 is two for both."""
+    import corpus_pipeline as p
+
+    base = [f"w{i}" for i in range(104)]
+    cut = lambda ws, *at: " ".join("other" if i in at else w for i, w in enumerate(ws))
+    apart = [f"v{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, cut(base, 20, 50)), (3, " ".join(apart)), (4, cut(apart, 20, 50, 80))]
+    a, b, c, d = sets_of(rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and len(c & d) / len(c | d) < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.drop_near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
+    assert all(r.kept for r in setsketch.deduplicated(docs, link=85).collect())
+
+
 def test_sketches():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 4000, np.uint64)

@@ -53,7 +53,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.deduplicated(table(spark, sf_dir, "documents"))
+    return setsketch.deduplicated(table(spark, sf_dir, "documents"), link=85)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ still link across components, their full sets are read, and pairs are verified,
 first, until no pair across components is left; a block returns a tree of links at most. A pair
 that shares several bands is looked at in the first. So no group is collected, no partner is
 capped, and no link between components is lost but with the probability that all bands miss a
-pair (below 1e-8 at a similarity of 0.85) or the likelihood errs (some 1e-5).
+pair (below 1e-8 at a similarity of 0.85, 3.1e-6 at 0.8: ``(1 - j ** ROWS) ** BANDS``) or the
+likelihood errs (some 1e-5). The similarity that links is an argument, in hundredths.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked
 with nothing; texts of fewer words than a shingle have one; equal rows are linked; a null id is
@@ -33,12 +34,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import drop_table, record, slices, texts_of, write_table
 
-#: Words of a shingle; hundredths of similarity that link.
+#: Words of a shingle; hundredths of similarity that link where a caller names none.
 WIDTH, LINK = 5, 85
 #: Registers as bands of rows; base of the scale and rate of the exponentials; largest register.
 BANDS, ROWS, BASE, RATE, LARGEST = 32, 5, 1.001, 64.0, 65535
 M = BANDS * ROWS
-#: A candidate is dropped if its likelihood at LINK is below the best by more than this logarithm.
+#: A candidate is dropped if its likelihood at the linking similarity is below the best by more than this logarithm.
 DROP = 10.0
 #: Members of a block; classes that may be broadcast (an id and two hashes each).
 BLOCK, BROADCAST = 256, 300_000
@@ -124,17 +125,17 @@ def log_likelihood(j: np.ndarray, more: np.ndarray, less: np.ndarray, n_a: np.nd
 _GRID = np.linspace(0, 1, 51)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Most likely similarity on a grid, and whether a link is plausible (sizes allow it; likelihood not far below the best)."""
+def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
+    """Most likely similarity on a grid, and whether a similarity of ``link`` hundredths is plausible (sizes allow it; likelihood not far below the best)."""
     shape = lambda x: np.asarray(x, np.float64)[:, None]
     n_a, n_b = shape(n_a), shape(n_b)
     top = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
     at = _GRID[None] * top
     ll = log_likelihood(at, shape(more), shape(less), n_a, n_b)
     best = ll.argmax(1)
-    j, rows = at[np.arange(len(at)), best], top[:, 0] >= LINK / 100
-    link = log_likelihood(np.minimum(LINK / 100, top), shape(more), shape(less), n_a, n_b)[:, 0]
-    return j, rows & ((j >= LINK / 100) | (ll.max(1) - link <= DROP))
+    j, rows = at[np.arange(len(at)), best], top[:, 0] >= link / 100
+    at_link = log_likelihood(np.minimum(link / 100, top), shape(more), shape(less), n_a, n_b)[:, 0]
+    return j, rows & ((j >= link / 100) | (ll.max(1) - at_link <= DROP))
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("regs", pa.binary()), ("text_key", pa.int64())])
@@ -180,18 +181,18 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield record(schema, pa.array(buckets.reshape(-1)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)), keys)
 
 
-def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plausible(batches: Iterable[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that could link, from rows (a, b, n_a, n_b, regs_a, regs_b)."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for batch in batches:
         if batch.num_rows:
             x, y = _regs(batch.column(4)), _regs(batch.column(5))
-            _, ok = estimate((x > y).sum(1), (x < y).sum(1), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            _, ok = estimate((x > y).sum(1), (x < y).sum(1), batch.column(2).to_numpy(), batch.column(3).to_numpy(), link)
             keep = pa.array(ok, pa.bool_())
             yield record(schema, batch.column(0).filter(keep), batch.column(1).filter(keep))
 
 
-def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterable[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
     """Pairs that link, from rows (a, b, text_a, text_b)."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for part in slices(batches, "text_b", 1 << 20, 4096):
@@ -204,24 +205,24 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pairs:
             x, y = sets[a], sets[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= LINK * (len(x) + len(y) - both):
+            if 100 * both >= link * (len(x) + len(y) - both):
                 linked.append((a, b))
         if linked:
             yield record(schema, *zip(*linked, strict=True))
 
 
-def _open_pairs(regs: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, band: int, two: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _open_pairs(regs: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, band: int, two: bool, link: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each member i of a block its partners after i that could link, in another component and in no earlier band: (i, partners, likely similarities)."""
     bands = regs.reshape(-1, BANDS, ROWS)
     for i in range(len(regs) - 1):
         o = np.arange(i + 1, len(regs))
-        ok = (label[o] != label[i]) & (np.minimum(n[o], n[i]) * 100 >= LINK * np.maximum(n[o], n[i]))
+        ok = (label[o] != label[i]) & (np.minimum(n[o], n[i]) * 100 >= link * np.maximum(n[o], n[i]))
         o = o[ok & (own[o] != own[i]) if two else ok]
         if len(o) and band:
             o = o[~(bands[o, :band] == bands[i, :band]).all(2).any(1)]
         if len(o):
             more, less = (regs[i] > regs[o]).sum(1), (regs[i] < regs[o]).sum(1)
-            j, ok = estimate(more, less, np.full(len(o), n[i]), n[o])
+            j, ok = estimate(more, less, np.full(len(o), n[i]), n[o], link)
             if ok.any():
                 yield i, o[ok], j[ok]
 
@@ -232,13 +233,13 @@ def _arrays(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return regs, np.array([m["n"] for m in members]), np.array([number[m["label"]] for m in members]), np.array([m["own"] for m in members])
 
 
-def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted(batches: Iterable[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
     """Members of blocks whose sets have to be read, from rows (bucket, band, i, j, members)."""
     schema = pa.schema([("bucket", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.binary()), ("label", pa.binary()), ("own", pa.int32()), ("n", pa.int64()), ("regs", pa.binary())])
     for batch in batches:
         for bucket, band, i, j, members in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             need = set()
-            for x, others, _ in _open_pairs(*_arrays(members), band, i != j):
+            for x, others, _ in _open_pairs(*_arrays(members), band, i != j, link):
                 need.add(x)
                 need.update(others.tolist())
             if need:
@@ -246,7 +247,7 @@ def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield record(schema, *zip(*rows, strict=True))
 
 
-def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterable[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
     """Links that join components within a block, most similar pairs first: a tree of links at most, from rows (band, i, j, members with texts)."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for batch in batches:
@@ -264,14 +265,14 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = top[x]
                 return x
 
-            pairs = [(-float(s), x, int(o)) for x, os, js in _open_pairs(*arrays, band, i != j) for o, s in zip(os, js, strict=True)]
+            pairs = [(-float(s), x, int(o)) for x, os, js in _open_pairs(*arrays, band, i != j, link) for o, s in zip(os, js, strict=True)]
             out = []
             for _, x, o in sorted(pairs):
                 p, q = find(root[x]), find(root[o])
                 if p == q:
                     continue
                 both = len(np.intersect1d(sets[x], sets[o], assume_unique=True))
-                if 100 * both >= LINK * (len(sets[x]) + len(sets[o]) - both):
+                if 100 * both >= link * (len(sets[x]) + len(sets[o]) - both):
                     top[p] = q
                     out.append((members[x]["key"], members[o]["key"]))
             if out:
@@ -311,22 +312,22 @@ def _texts(keys: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     return texts
 
 
-def _star_links(members: DataFrame, nodes: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _star_links(members: DataFrame, nodes: DataFrame, sketches: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """Links between each bucket's pivot and its members."""
     pairs = members.where(F.col("key") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     regs = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    pairs = pairs.join(regs("a"), "a").join(regs("b"), "b").where(F.least("n_a", "n_b") * 100 >= LINK * F.greatest("n_a", "n_b"))
-    pairs = write_table(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_plausible, "a binary, b binary"), "pairs")
+    pairs = pairs.join(regs("a"), "a").join(regs("b"), "b").where(F.least("n_a", "n_b") * 100 >= link * F.greatest("n_a", "n_b"))
+    pairs = write_table(pairs.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(lambda x: _plausible(x, link), "a binary, b binary"), "pairs")
     texts = _texts(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key"), sketches, docs)
     side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    links = write_table(whole.mapInArrow(_verified, "a binary, b binary").distinct(), "links", small=True)
+    links = write_table(whole.mapInArrow(lambda x: _verified(x, link), "a binary, b binary").distinct(), "links", small=True)
     for used in (pairs, texts):
         drop_table(used)
     return links
 
 
-def _block_links(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, labels: DataFrame | None, nodes: DataFrame, sketches: DataFrame, docs: DataFrame, link: int) -> DataFrame:
     """Links across components within buckets, block by block."""
     met = _same_or(labels, members.select("bucket", "band", "key"))
     mixed = met.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
@@ -336,16 +337,16 @@ def _block_links(members: DataFrame, labels: DataFrame | None, nodes: DataFrame,
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(nodes, "key")
     rows = rows.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "label", "own", "n", "regs")
     group = lambda x, *more: x.groupBy("bucket", "band", "i", "j").agg(F.collect_list(F.struct("key", "label", "own", "n", "regs", *more)).alias("members"))
-    wanted = write_table(group(rows).mapInArrow(_wanted, "bucket long, band int, i int, j int, key binary, label binary, own int, n long, regs binary"), "wanted")
+    wanted = write_table(group(rows).mapInArrow(lambda x: _wanted(x, link), "bucket long, band int, i int, j int, key binary, label binary, own int, n long, regs binary"), "wanted")
     texts = _texts(wanted.select("key").distinct(), sketches, docs)
     full = group(wanted.join(texts, "key"), "text").select("band", "i", "j", "members")
-    links = write_table(full.mapInArrow(_joined, "a binary, b binary").distinct(), "links", small=True)
+    links = write_table(full.mapInArrow(lambda x: _joined(x, link), "a binary, b binary").distinct(), "links", small=True)
     for used in (wanted, texts):
         drop_table(used)
     return links
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest id reached) and kept (it is this document's)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -355,9 +356,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands = nodes.select("key", "regs").mapInArrow(_bands, "bucket long, band int, key binary")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("c"), F.min("key").alias("pivot")).where("c > 1")
     members = write_table(bands.join(shared, "bucket").select("bucket", "band", "key", "pivot"), "members")
-    links = _star_links(members, nodes, sketches, rows)
+    links = _star_links(members, nodes, sketches, rows, link)
     labels = None if links.isEmpty() else components(links)
-    more = _block_links(members, labels, nodes, sketches, rows)
+    more = _block_links(members, labels, nodes, sketches, rows, link)
     if not more.isEmpty():
         labels = components(links.union(more))
     return _result(sketches, labels)
@@ -371,8 +372,8 @@ def _result(sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """The documents of which each group of near-duplicates keeps the one with the smallest id; the same columns."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name meets one of the join
-    kept = deduplicated(docs, id_col, text_col).where("kept").select("doc_id").distinct()
+    kept = deduplicated(docs, id_col, text_col, link).where("kept").select("doc_id").distinct()
     return docs.toDF(*names).join(kept, F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("doc_id"))).select(*names).toDF(*docs.columns)
