@@ -253,6 +253,18 @@ def test_pii_disclosure(spark, docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_pii_discloses_rare_values_everywhere(spark):
+    """A term that stands with a value that occurs once is removed wherever it stands in that document, far from the value too."""
+    rng = random.Random(5)
+    far = " ".join(rng.choices(WORDS, k=60))
+    rows = [(i, " ".join(rng.choices(WORDS, k=30))) for i in range(80)] + [(100, f"Quibblex {far} mail q@example.org {far} quibblex"), (101, "mail q2@example.org " + far)]
+    got = {r.doc_id: r for r in pii.analysed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.rendered(F.col("spans")).alias("s"), pii.cleaned(F.col("text"), F.col("spans")).alias("c")).collect()}
+    at = rows[80][1].index("quibblex")
+    assert "remove:0:8," in got[100].s and f"email:{rows[80][1].index('q@')}" in got[100].s and f"remove:{at}:{at + 8}" in got[100].s
+    assert "uibblex" not in got[100].c and far in got[100].c and far in got[101].c
+    assert all(got[i].c == t for i, t in rows[:80])
+
+
 def test_bpe(docs, empty):
     got = bpe.digests(docs, PATH).collect()
     want = []

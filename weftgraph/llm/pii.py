@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation of personal data. DataFrame functions only.
 
 Patterns find protected entities (e-mail and IP addresses, card and phone numbers). Corpus
-co-occurrence then tells how strongly the terms around an entity reveal it: with document
-counts n(e), n(t) and n(e, t) among N documents, a term discloses the share
-``PMI(t; e) / IC(e) = ln(n(e,t) N / (n(e) n(t))) / ln(N / n(e))`` of what naming the entity
-would tell. A term near the entity whose share exceeds a threshold is removed, or generalised
-if it exceeds a lower one. Only pairs seen in several different surroundings count, so that
-copies of one passage prove nothing.
+co-occurrence then tells how strongly a term of the same document reveals an entity: with
+counts n(e), n(t) and n(e, t) of distinct texts among N, so that copies prove nothing, a term
+discloses the share ``PMI(t; e) / IC(e) = ln(p(t | e) N / n(t)) / ln(N / n(e))`` of what naming
+the entity would tell. ``p(t | e)`` is ``(n(e,t) + PRIOR n(t) / N) / (n(e) + PRIOR)``: as if
+the entity stood in PRIOR more texts that hold the term as often as any text. A term whose
+share exceeds a threshold is removed wherever it stands in a text that holds the entity, or
+generalised if it exceeds a lower one.
 
 Defined results: null text: as empty, no spans; very long texts are scanned whole, each
 pattern in linear time; equal rows give equal results; an empty table gives an empty one;
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound
+from weftgraph.llm.common import bound, drop_table, write_table
 
 # The kinds in order, with patterns that find the same matches as
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+     ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
@@ -34,10 +35,10 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[\p{L}\p{M}\p{N}]+"
 
-#: Terms on each side of an entity that are looked at, characters read for them, and lengths that count.
-WINDOW, REACH, SHORTEST, LONGEST = 10, 160, 3, 40
-#: Different surroundings in which a pair must be seen; shares at which a term is removed or generalised.
-SUPPORT, REMOVE, GENERALISE = 3, 0.8, 0.5
+#: Lengths of terms that count.
+SHORTEST, LONGEST = 3, 40
+#: Texts that a pair's estimate is smoothed by; shares at which a term is removed or generalised.
+PRIOR, REMOVE, GENERALISE = 1.0, 0.8, 0.5
 
 
 def _digits(x: Column) -> Column:
@@ -92,42 +93,43 @@ def _terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: F.length(w).between(SHORTEST, LONGEST))
 
 
-def _surroundings(found: DataFrame) -> DataFrame:
-    """One row a span: its entity, and the text to its left and right up to REACH characters and other spans."""
-    one = found.select("id", "text_key", F.explode("spans").alias("s"), "text", "spans")
-    left = F.aggregate(F.filter("spans", lambda x: x["end"] <= F.col("s.start")), F.lit(0), lambda a, x: F.greatest(a, x["end"]))
-    right = F.aggregate(F.filter("spans", lambda x: x["start"] >= F.col("s.end")), F.length("text"), lambda a, x: F.least(a, x["start"]))
-    one = one.select("id", "text_key", "s", "text", F.greatest(left, F.col("s.start") - REACH, F.lit(0)).alias("from"), F.least(right, F.col("s.end") + REACH).alias("to"))
-    cut = lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
-    return one.select(
-        "id", "text_key", F.concat_ws(":", F.col("s.k").cast("string"), F.lower("s.value")).alias("entity"),
-        F.col("from").alias("left_at"), cut(F.col("from"), F.col("s.start")).alias("left"), F.col("s.end").alias("right_at"), cut(F.col("s.end"), F.col("to")).alias("right"),
-    )
-
-
-def _placed(text: Column, at: Column, last: bool) -> Column:
-    """Terms of a side with their places: the WINDOW nearest to the entity."""
+def _placed(text: Column, spans: Column, shares: Column) -> Column:
+    """Spans of the terms that ``shares`` (a map by term) names, wherever they stand outside ``spans``."""
     folded = F.aggregate(
-        F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"))),
-        F.struct(at.alias("at"), F.expr("cast(array() as array<struct<term:string,start:int,end:int>>)").alias("out")),
+        F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.element_at(shares, F.lower(m)).alias("share"))),
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,k:int,end:int,value:string>>)").alias("out")),
         lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
             (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lower(x["m"]).alias("term"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end")))).alias("out"))),
+            F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
+                (acc["at"] + x["gap"]).alias("start"), F.when(x["share"] >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("k"),
+                (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(None).cast("string").alias("value"))))).alias("out"))),
         lambda acc: acc["out"],
     )
-    near = bound(folded, lambda x: F.slice(x, F.greatest(F.size(x) - WINDOW + 1, F.lit(1)), F.lit(WINDOW))) if last else F.slice(folded, 1, WINDOW)
-    return F.filter(near, lambda x: F.length(x["term"]).between(SHORTEST, LONGEST))
-
-
-def revealing(docs: DataFrame, near: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, share): pairs whose disclosure reaches GENERALISE. ``near``: (entity, term, context, text_key)."""
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("text_key").alias("n_et")).where(F.col("contexts") >= SUPPORT)
-    entities = near.groupBy("entity").agg(F.count_distinct("text_key").alias("n_e"))
-    counts = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    share = F.ln(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.ln(F.greatest(F.col("n") / F.col("n_e"), F.lit(1.0 + 1e-9)))
-    out = pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
-    return out.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    return F.filter(folded, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+
+
+def revealing(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """(text_key, term, share): the terms of each text that disclose one of its entities by GENERALISE or more, with the largest share.
+
+    ``texts``: (text_key, text), all distinct texts; ``marked``: (text_key, text, spans), those that hold entities.
+    """
+    terms = lambda x: x.select("text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    held = marked.select("text_key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["k"].cast("string"), F.lower(s["value"]))))).alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    counts = terms(texts).groupBy("term").agg(F.count("*").alias("n_t"))
+    n = F.broadcast(texts.agg(F.count("*").alias("n")))
+    # as p(t | e) <= 1, no share reaches GENERALISE unless ln(N / n_t) >= GENERALISE ln(N / n_e): only such pairs are counted
+    may = F.ln(F.col("n") / F.col("n_t")) >= GENERALISE * F.ln(F.col("n") / F.col("n_e")) - 1e-9
+    pairs = terms(marked).join(counts, "term").join(held.join(entities, "entity"), "text_key").crossJoin(n).where(may)
+    pairs = write_table(pairs.select("text_key", "entity", "term", "n_e", "n_t", "n"), "disclosures")
+    chance = F.col("n_t") / F.col("n")
+    given = (F.col("n_et") + PRIOR * chance) / (F.col("n_e") + PRIOR)
+    share = F.ln(given / chance) / F.ln(F.greatest(F.col("n") / F.col("n_e"), F.lit(1.0 + 1e-9)))
+    known = pairs.groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count("*").alias("n_et")).withColumn("share", share).where(F.col("share") >= GENERALISE)
+    out = pairs.select("text_key", "entity", "term").join(known.select("entity", "term", "share"), ["entity", "term"])
+    found = write_table(out.groupBy("text_key", "term").agg(F.max("share").alias("share")), "revealing")
+    drop_table(pairs)
+    return found
 
 
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,15 +138,13 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(text, F.length(text))
     found = docs.withColumn("base", base_spans(F.col(text_col)))
-    marked = found.select(F.col(id_col).alias("id"), key.alias("text_key"), F.col("base").alias("spans"), text.alias("text")).where(F.size("spans") > 0)
-    sides = _surroundings(marked)
-    both = F.concat(_placed(F.col("left"), F.col("left_at"), True), _placed(F.col("right"), F.col("right_at"), False))
-    near = sides.select("id", "text_key", "entity", F.xxhash64("left", "right").alias("context"), F.explode(both).alias("t")).select("id", "text_key", "entity", "context", "t.*")
-    known = revealing(docs, near, text_col)
-    k = F.when(F.col("share") >= REMOVE, KINDS.__len__() + 1).otherwise(KINDS.__len__())
-    added = near.join(known, ["entity", "term"]).groupBy("id", "text_key", "start", "end").agg(F.max("share").alias("share"))
-    added = added.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", k.alias("k"), "end", F.lit(None).cast("string").alias("value")))).alias("added"))
-    added = added.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "added")
+    # patterns are matched once for what follows, and each text counts once however many rows hold it
+    rows = write_table(found.select(F.col(id_col).alias("_id"), key.alias("text_key"), F.col("base").alias("spans"), text.alias("text")).where(F.size("spans") > 0), "marked")
+    marked = rows.dropDuplicates(["text_key"]).select("text_key", "text", "spans")
+    known = revealing(docs.select(key.alias("text_key"), text.alias("text")), marked)
+    shares = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    added = marked.join(shares, "text_key").select(F.col("text_key").alias("_key"), F.sort_array(_placed(F.col("text"), F.col("spans"), F.col("shares"))).alias("added")).where(F.size("added") > 0)
+    added = rows.select("_id", F.col("text_key").alias("_key")).distinct().join(added, "_key")
     out = found.withColumn("_k", F.when(F.size("base") > 0, key))
     out = out.join(added, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
     return out.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))).drop("_id", "_key", "_k", "added")
