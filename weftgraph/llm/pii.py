@@ -141,7 +141,7 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # patterns are matched once for what follows, and each text counts once however many rows hold it
     rows = write_table(found.select(F.col(id_col).alias("_id"), key.alias("text_key"), F.col("base").alias("spans"), text.alias("text")).where(F.size("spans") > 0), "marked")
     marked = rows.dropDuplicates(["text_key"]).select("text_key", "text", "spans")
-    known = revealing(docs.select(key.alias("text_key"), text.alias("text")), marked)
+    known = revealing(docs.select(key.alias("text_key"), text.alias("text")).dropDuplicates(["text_key"]), marked)
     shares = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     added = marked.join(shares, "text_key").select(F.col("text_key").alias("_key"), F.sort_array(_placed(F.col("text"), F.col("spans"), F.col("shares"))).alias("added")).where(F.size("added") > 0)
     added = rows.select("_id", F.col("text_key").alias("_key")).distinct().join(added, "_key")
