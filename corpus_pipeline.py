@@ -32,11 +32,13 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (rows that repeat an id are one document); the order of training positions is left to the reader's sort, as encoding needs none."""
-    taken = mixing.assign(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.max("copies").alias("copies"))
+    """One row for each copy that the mix takes of a document, range-sorted by the copy's own training position; rows that repeat an id are one document."""
+    taken = mixing.assign(docs).where("copies > 0")
+    most = F.max(F.struct("copies", (-F.col("offset")).alias("_before"), "source_size", "rank", "last_rank", "target")).alias("m")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(most)
+    taken = taken.select("_id", "_source", "m.*", (-F.col("m._before")).alias("offset"))
     out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.mixed(out).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,6 +345,22 @@ def test_mixing(spark, docs, empty):
     assert {r.doc_id: r.taken for r in mixing.assign(small).collect()} == {1: 3, 2: 100, 3: 0}
 
 
+def test_mix_is_dealt_in_training_order(spark, docs, tmp_path):
+    """The query and the pipeline's stage give rows in the order of training positions, each copy at its own."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(1, 30))), "en", f"s{i % 3 if i % 4 else 0}", 0) for i in range(120)]
+    small = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = [r.doc_id for r in mixing.mixed(mixing.assign(small)).collect()]
+    assert len(set(want)) < len(want) and [r.doc_id for r in p.mix(spark, small, "").collect()] == want
+    small.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.doc_id for r in queries.op7_mixing(spark, str(tmp_path)).collect()]
+    assert got[: len(set(want))] == list(dict.fromkeys(want)) and sorted(got) == list(range(120))
+    key = lambda x: sorted((str(r.doc_id), str(r.source), r.size, r.taken, str(r.position)) for r in x.collect())
+    assert key(mixing.dealt(docs)) == key(mixing.assign(docs))
+
+
 def test_demand_inverse(spark):
     x = spark.range(11).select((F.col("id") / 10).alias("s"))
     for a, b in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0)):

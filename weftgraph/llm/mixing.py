@@ -108,3 +108,16 @@ def mixed(assigned: DataFrame) -> DataFrame:
     out = assigned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("position", _position(F.col("offset") + F.col("copy") * F.col("source_size")))
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def dealt(docs: DataFrame, **columns) -> DataFrame:
+    """The rows of :func:`assign` with ``taken`` as the written mix holds them, in the order of ``position``; documents that the mix leaves out come last."""
+    assigned = write_table(assign(docs, **columns), "assigned")
+    mix = write_table(mixed(assigned).select("doc_id", "source", "size", "offset", "copy", "position"), "mix")
+    keys = ("doc_id", "source", "size", "offset")
+    met = mix.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_distinct("copy").alias("_dealt"), F.min("position").alias("_position"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = assigned.join(met, same, "left").select(
+        *[c for c in assigned.columns if c not in ("taken", "position")], (F.coalesce("_dealt", F.lit(0)) * F.col("size")).cast("long").alias("taken"), F.col("_position").alias("position")
+    )
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")

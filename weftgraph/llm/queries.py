@@ -49,7 +49,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Each document's share of the mix, which is written in training order; the rows come in that order too."""
+    return mixing.dealt(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
