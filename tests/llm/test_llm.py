@@ -422,6 +422,45 @@ def test_near_duplicate_families(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows)
 
 
+def test_unique_keeps_one_row_of_a_component(spark):
+    """By row, not by id: equal rows leave one, and a row whose text is another's copy goes, whatever other rows have its id."""
+    one, two = "a b c d e f g", "h i j k l m n"
+    rows = [(7, one, "x"), (7, one, "x"), (7, one, "y"), (9, one, "x"), (9, two, "z"), (None, two, "w"), (11, "", "e"), (11, "", "e"), (12, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    got = sorted(map(str, setsketch.unique(df).select("doc_id", "text").collect()))
+    assert got == sorted(["Row(doc_id=7, text='a b c d e f g')", "Row(doc_id=9, text='h i j k l m n')", "Row(doc_id=11, text='')", "Row(doc_id=11, text='')", "Row(doc_id=12, text=None)"])
+    assert setsketch.unique(df).columns == df.columns and setsketch.unique(df.where("false")).count() == 0
+
+
+def test_links_between_085_and_090(spark):
+    """Pairs just above the threshold, and just below it, beside many others: every link is found."""
+    rng, rows = random.Random(11), []
+    for _ in range(400):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(300)}" for _ in range(rng.randrange(60, 160))]
+        other = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            other[rng.randrange(len(other))] = f"w{rng.randrange(10**6)}"
+        rows += [(2 * len(rows), " ".join(base)), (2 * len(rows) + 1, " ".join(other))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = sets_of(rows)
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert sum(0.85 <= x < 0.9 for x in near) > 40 and sum(0.8 <= x < 0.85 for x in near) > 40
+    for link in (85, 80):
+        got = {r.doc_id: r.component_id for r in setsketch.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), link=link).collect()}
+        assert [got[2 * i] == got[2 * i + 1] for i in range(400)] == [100 * x >= link for x in near]
+
+
+def test_sets_of_long_texts_are_those_of_their_pieces(monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(WORDS, k=n)) + "\n" * (n % 7) for n in (0, 1, 4, 5, 900, 3)] + ["x" * 700 + " a b c d"]
+    raw = [t.encode() for t in texts]
+    whole = setsketch.shingle_sets(raw)
+    monkeypatch.setattr(setsketch, "PIECE", 64)
+    for a, b in zip(whole, setsketch.shingle_sets(raw), strict=True):
+        assert np.array_equal(a, b)
+    assert [len(x) for x in whole] == [len(x) for x in sets_of(list(enumerate(texts)))]
+
+
 def test_pipeline_links_at_080(spark):
     """A pair at about 0.82 is one document for the pipeline and two for op8; one at about 0.75 is two for both."""
     import corpus_pipeline as p

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,25 +36,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch where the session has Spark's default: texts are long, and each task holds a batch on either side.
-ARROW_ROWS = 1000
+#: Bytes of an Arrow batch while an operator writes a table: each task holds a batch on either side.
+BATCH = 4 << 20
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches, unless the session sets its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
-    return spark
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH bytes for what is run within; afterwards the session's own limit holds again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    if 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own) <= BATCH:
+        yield
+        return
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
 
 
 def write_table(df: DataFrame, name: str, path: str | None = None, small: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and survives lost executors. small: in no more files than the cluster has cores."""
-    tuned(df.sparkSession)
     path = path or new_path(df.sparkSession, name)
     if small:
         df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,6 +108,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int
         yield batch.slice(start, n - start)
 
 
+def runs(rows: Iterable[tuple], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rests) of rows that follow each other and agree in their first ``width`` columns: only one such run is held."""
+    now, held = None, []
+    for row in rows:
+        if row[:width] != now:
+            if held:
+                yield now, held
+            now, held = row[:width], []
+        held.append(row[width:])
+    if held:
+        yield now, held
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """Texts as UTF-8 bytes; null: empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
@@ -110,4 +131,4 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
