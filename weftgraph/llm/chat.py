@@ -3,21 +3,25 @@
 A log of events is dealt by conversation and sorted by sequence; a fold applies streamed deltas,
 edits, regenerations and deletions to messages; messages are rendered in a template that marks
 turns. Control strings inside roles and texts are escaped, so that reading the output back gives
-the same turns. Rendered pieces are rows, one for a message, so that a conversation of any
-length passes through a task as a stream.
+the same turns. A close makes what a conversation has so far final: the fold lets go of these
+messages and they are rendered. Rendered pieces are rows, one for a message, so that a
+conversation of any length passes through a task as a stream, of which the task holds what is
+not closed.
 
 Events: (conv_id, seq, op, message, role, text) with op one of
     message     a whole message                      delta   text to append to a message
     edit        a new text for a message             delete  drops a message
     regenerate  clears a message's text and drops every later message
+    close       ends all messages so far; an event that names one of them later begins another of that name
 
 Template: ``<|im_start|>`` role ``\\n`` text ``<|im_end|>\\n``. In roles and texts ``\\`` becomes ``\\\\``
 and ``<|`` becomes ``<\\|``; in roles a line feed becomes ``\\n``. So ``<|`` in the output always
 begins a control string. The loss mask covers the texts of assistant turns.
 
 Defined results: null roles and texts are empty; a null op is a message; null conversation ids
-are one conversation; ties of seq go by message, then role and text; equal rows are turns of
-their own; an empty table gives an empty one; other columns are ignored.
+are one conversation; ties of seq go by message, then role and text; equal rows by turn are turns
+of their own; an end of the log closes what is open; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import new_path, record
+from weftgraph.llm.common import new_path, record, small_batches
 
 # The control strings of the template.
 START, STOP = "<|im_start|>", "<|im_end|>\n"
@@ -70,7 +74,7 @@ def parsed(rendered: str) -> Iterator[tuple[str, str]]:
 
 
 class Fold:
-    """State of one conversation: messages that events can still change, in order of first appearance."""
+    """State of one conversation: the messages that events can still change, in order of first appearance."""
 
     def __init__(self):
         self.messages: dict = {}
@@ -93,57 +97,67 @@ class Fold:
         else:
             raise ValueError(f"unknown event {op!r}")
 
-    def turns(self) -> Iterator[tuple[str, str]]:
-        for role, parts in self.messages.values():
+    def close(self) -> Iterator[tuple[str, str]]:
+        """The messages as turns; none is held afterwards."""
+        done, self.messages = self.messages, {}
+        for role, parts in done.values():
             yield role, "".join(parts)
 
 
-def _render(streaming: bool):
-    """Pieces from events in order. streaming: every event is a whole message, so none has to be held."""
+def _render(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces from events (conv_id, op, message, role, text) in order."""
+    now, fold, n = None, Fold(), 0
+    out: list[tuple] = []
+    size = 0
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, n, begun = None, Fold(), 0, False
-        out: list[tuple] = []
-        size = 0
-
-        def add(conv_id, role, text):
-            nonlocal n, size
+    def end():
+        nonlocal n, size
+        for role, text in fold.close():
             shown, a, b = piece(role, text)
-            out.append((conv_id, n, shown, *((a, b) if role == LEARNED else (None, None))))
+            out.append((now, n, shown, *((a, b) if role == LEARNED else (None, None))))
             n, size = n + 1, size + len(shown)
 
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for conv_id, op, message, role, text in zip(*cols, strict=True):
-                if not begun or conv_id != now:
-                    for turn in fold.turns():
-                        add(now, *turn)
-                    now, fold, n, begun = conv_id, Fold(), 0, True
-                if streaming:
-                    add(conv_id, role or "", text or "")
-                else:
-                    fold.apply(op, message, role or "", text or "")
-                if size > 1 << 22:
-                    yield record(_PIECES, *zip(*out, strict=True))
-                    out, size = [], 0
-        for turn in fold.turns():
-            add(now, *turn)
-        if out:
-            yield record(_PIECES, *zip(*out, strict=True))
-
-    return run
-
-
-def rendered(events: DataFrame, whole: bool = False) -> DataFrame:
-    """conv_id, part, rendered, and mask_from and mask_to, the span under the loss mask (null: none). whole: all events are whole messages."""
+    for batch in batches:
+        for conv_id, op, message, role, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if conv_id != now:
+                end()
+                now, n = conv_id, 0
+            if op == "close":
+                end()
+            else:
+                fold.apply(op, message, role or "", text or "")
+            if size > 1 << 22:
+                yield record(_PIECES, *zip(*out, strict=True))
+                out, size = [], 0
+    end()
+    if out:
+        yield record(_PIECES, *zip(*out, strict=True))
+
+
+def rendered(events: DataFrame) -> DataFrame:
+    """conv_id, part, rendered, and mask_from and mask_to, the span under the loss mask (null: none)."""
     e = events.select(F.col("conv_id").cast("long").alias("conv_id"), "seq", "op", "message", "role", "text")
     e = e.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "role", "text")
-    return e.drop("seq").mapInArrow(_render(whole), _PIECES_SQL)
+    return e.drop("seq").mapInArrow(_render, _PIECES_SQL)
+
+
+#: Events of a turn at most.
+STEPS = 8
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """Events of whole messages from rows by turn."""
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), F.col("turn").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    """The log that conversations by turn may have come from: a learned turn is an answer that is broken off, regenerated and streamed in three deltas; any other is a draft that is edited, beside a message that is taken back. Each turn is closed."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = turns.select("conv_id", (F.row_number().over(order) * STEPS).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    name, taken_back = F.concat(F.lit("turn "), F.col("turn").cast("string")), F.concat(F.lit("unsent "), F.col("turn").cast("string"))
+    step = lambda k, op, text=F.lit(""), message=name: F.struct((F.col("turn") + k).alias("seq"), F.lit(op).alias("op"), message.alias("message"), F.col("role").alias("role"), text.alias("text"))
+    cut = lambda a, n: F.substring(F.col("text"), a + 1, n)
+    draft = F.concat(cut(F.lit(0), F.lit(12)), F.lit(" ..."))
+    learned = [step(0, "delta", draft), step(1, "regenerate"), step(2, "delta", cut(F.lit(0), third)), step(3, "delta", cut(third, third)), step(4, "delta", cut(2 * third, F.length("text"))), step(5, "close")]
+    other = [step(0, "message", draft), step(1, "message", F.lit("a slip"), taken_back), step(2, "edit", F.col("text")), step(3, "delete", message=taken_back), step(4, "close")]
+    log = F.when(F.col("role") == LEARNED, F.array(*learned)).otherwise(F.array(*other))
+    return t.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -179,7 +193,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def written(pieces: DataFrame, path: str | None = None) -> str:
     """Write the formatted conversations; their path."""
     path = path or new_path(pieces.sparkSession, "chats")
-    pieces.write.option("compression", "zstd").parquet(path)
+    with small_batches(pieces.sparkSession):
+        pieces.write.option("compression", "zstd").parquet(path)
     return path
 
 

@@ -29,7 +29,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.digests(spark, token_store.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
+    store = token_store.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    token_store.verify(spark, store)
+    return token_store.digests(spark, store)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +60,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1, whose texts hold the control strings."""
+    """Every conversation, and conversation -1, whose texts hold the control strings: their logs of events are folded to messages, formatted, written and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
-    out = chat.written(chat.rendered(chat.as_events(turns.unionByName(extra)), whole=True))
+    out = chat.written(chat.rendered(chat.as_events(turns.unionByName(extra))))
     return chat.digests(spark.read.schema("conv_id long, part long, rendered string, mask_from long, mask_to long").parquet(out))
 
 
