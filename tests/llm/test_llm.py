@@ -166,7 +166,16 @@ def test_token_store(spark, docs, empty):
     bad = c.limit(1).withColumn("payload", F.concat(F.lit(b"\x02").cast("binary"), F.lit(b"\x00\x01").cast("binary")))
     with pytest.raises(Exception, match="match its name"):
         bad.select("key", "payload").mapInArrow(token_store._sums, "key binary, n_ids long, crc long").collect()
+    # a recipe or a manifest that was changed doesn't verify
+    r = token_store.recipes(spark, store)
+    for what, names in (("name", F.concat("names", "names")), ("manifest", F.col("names"))):
+        other = f"{store}-{what}"
+        r.withColumn("names", names).where("n_tokens > 1").write.parquet(f"{other}/recipes")
+        spark.read.parquet(f"{store}/manifest").write.parquet(f"{other}/manifest")
+        with pytest.raises(Exception, match=f"match its {what}"):
+            token_store.verify(spark, other)
     nothing = token_store.write(empty, PATH, 2)
+    token_store.verify(spark, nothing)
     assert token_store.digests(spark, nothing).count() == 0
 
 
@@ -502,11 +511,14 @@ def test_chat(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", hard), (1, 2, "user", None), (2, 5, "assistant", "\\<|\n\\n<\\|"), (2, 1, "a\nb<|im_start|>", "x"), (3, 0, None, ""), (None, 0, "assistant", "é" * 3000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit(1))
-    pieces = chat.rendered(chat.as_events(df), whole=True)
+    events = chat.as_events(df)
+    assert {r.op for r in events.collect()} == {"message", "delta", "edit", "delete", "regenerate", "close"}
+    pieces = chat.rendered(events.repartition(5, "op"))
     got = chat.digests(pieces).collect()
     assert sorted((str(r.conv_id), r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got) == brute_chat(turns)
     assert sum(r.formatted_chars for r in got) == sum(len(r.rendered) for r in pieces.collect())
-    same = chat.digests(chat.rendered(chat.as_events(df))).collect()
+    # without closes the fold holds a whole conversation, with the same result
+    same = chat.digests(chat.rendered(events.where("op <> 'close'"))).collect()
     assert sorted(map(str, same)) == sorted(map(str, got))
     assert chat.rendered(chat.as_events(df.where("false"))).count() == 0
 
@@ -520,9 +532,12 @@ def test_template_is_reversible(role, text):
 
 def test_event_fold(spark):
     events = [(1, 1, "message", "u", "user", "hi"), (1, 2, "delta", "a", "assistant", "he"), (1, 3, "delta", "a", "assistant", "llo"), (1, 4, "message", "u2", "user", "no"), (1, 5, "regenerate", "a", "assistant", ""), (1, 6, "delta", "a", "assistant", "bye"), (1, 7, "edit", "u", "user", "hey"), (1, 8, "message", "x", "user", "gone"), (1, 9, "delete", "x", None, None)]
+    events += [(1, 10, "close", None, None, None), (1, 11, "delta", "a", "assistant", "more"), (1, 12, "close", None, None, None), (1, 13, "regenerate", "u", "user", "new")]
     df = spark.createDataFrame(events, "conv_id long, seq long, op string, message string, role string, text string").repartition(3)
     got = [t for r in chat.rendered(df).orderBy("part").collect() for t in chat.parsed(r.rendered)]
-    assert got == [("user", "hey"), ("assistant", "bye")]
+    assert got == [("user", "hey"), ("assistant", "bye"), ("assistant", "more"), ("user", "new")]
+    with pytest.raises(Exception, match="unknown event"):
+        chat.rendered(df.withColumn("op", F.lit("other"))).collect()
 
 
 def test_top_k(spark):
@@ -542,15 +557,40 @@ def test_top_k(spark):
 
 def test_approximation_bounds():
     rng = np.random.default_rng(1)
-    v, q = rng.integers(-900, 900, (500, 16)), rng.integers(-900, 900, (3, 16))
-    cell, floor, ceiling = vafile.cells(v)
-    side = np.arange(16)
-    assert (floor[cell, side] <= v).all() and (v <= ceiling[cell, side]).all()
-    rows, read = vafile.block_top(q, np.array([-1, -2, -3]), v, np.arange(500), 10)
-    for i, qid in enumerate((-1, -2, -3)):
-        s = v @ q[i]
-        assert [(b, c) for a, b, c in rows if a == qid] == [(int(j), int(s[j])) for j in np.lexsort((np.arange(500), -s))[:10]]
-    assert read < 3 * 500
+    for top in (3, 900, 1 << 24):
+        v, q = rng.integers(-top, top, (500, 16)), rng.integers(-top, top, (3, 16))
+        cell, low, step = vafile.cells(v)
+        assert (low + step * cell <= v).all() and (v < low + step * (cell.astype(np.int64) + 1)).all()
+        least, most = vafile.bounds(q, cell, low, step)
+        exact = q @ v.T
+        assert (least <= exact).all() and (exact <= most).all()
+        # what is kept of a grid's cell holds the k best and little more
+        ids, kept = [(-1, 0), (-2, 1), (7, 2)], [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * 3
+        for k in range(0, 500, 100):
+            some = np.arange(k, k + 100)
+            own = vafile.cells(v[some])
+            vafile._keep(ids, q, kept, (some.tobytes(), some.tobytes(), own[1].tobytes(), own[2].tobytes(), own[0].tobytes()), 10)
+        for i, (own, _) in enumerate(ids):
+            best = [int(j) for j in np.lexsort((np.arange(500), -exact[i])) if j != own][:10]
+            assert set(best) <= set(kept[i][0].tolist()) and len(kept[i][0]) < 60
+    with pytest.raises(OverflowError):
+        vafile.bounds(np.full((1, 2), 1 << 40), np.zeros((1, 2), np.uint8), np.full(2, 1 << 40), np.ones(2, np.int64))
+
+
+def test_top_k_of_many_equal_vectors_and_blocks(spark, monkeypatch):
+    """Ties of a vector that most rows hold go to the smallest ids; small blocks and grids give the same result."""
+    for name, size in (("BLOCK", 7), ("BLOCKS", 2), ("QUERIES", 4), ("WAIT", 600)):
+        monkeypatch.setattr(vafile, name, size)
+    rng = np.random.default_rng(6)
+    rows = [(i, [0.5, 0.25] if i % 3 else [float(x) for x in rng.normal(0, 0.1, 2)]) for i in range(400)] + [(500 + i, [0.1] * i) for i in range(6)]
+    got = vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 100 == 0)
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in ints:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q and len(w) == len(v))[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def test_pipeline(spark, tmp_path):

@@ -7,7 +7,7 @@ manifest holds a Merkle root for each run of recipes and one for all of them.
 
     <store>/objects   kind 0, chunks: name, n_ids, payload (16-bit ids, or 32-bit ids if any needs them; the files are compressed)
                       kind 1, recipes as they were cut
-    <store>/recipes   part, pos, doc_id, start, n_tokens, names, root
+    <store>/recipes   part, pos, doc_id, start, n_tokens, name (the hash of the next column and the id), names
     <store>/manifest  part, docs, tokens, root; part -1 is the whole store
 
 Defined results: null and empty texts have the end id alone; equal rows are documents of their
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import WordEncoder, encoder, rolling
-from weftgraph.llm.common import drop_table, new_path, record, slices, texts_of, write_table
+from weftgraph.llm.common import drop_table, new_path, record, slices, small_batches, texts_of, write_table
 
 #: Ids in a chunk: least, mean beyond that, most; bytes of a name.
 LEAST, MASK, MOST, NAME = 64, 0x1FF, 4096, 16
@@ -86,7 +86,7 @@ def _cut_task(path: str, end_id: int):
                         seen.add(name)
                         rows.append((0, name, None, b - a, packed(ids[a:b])))
                 recipe = b"".join(names)
-                rows.append((1, name_of(recipe + str(doc_id).encode()), doc_id, end - start, recipe))
+                rows.append((1, _recipe_name(recipe, doc_id), doc_id, end - start, recipe))
                 start = end
             if len(seen) > 1 << 18:
                 seen.clear()
@@ -116,15 +116,21 @@ class _Merkle:
         return node or name_of(b"")
 
 
+def _recipe_name(names: bytes, doc_id: int | None) -> bytes:
+    return name_of(names + str(doc_id).encode())
+
+
 def _leaf(doc_id: int | None, n: int, names: bytes) -> bytes:
     return name_of(b"\x00" + f"{doc_id}:{n}:".encode() + names)
 
 
 def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each run's Merkle root, from rows (part, doc_id, n_tokens, names) in order."""
+    """Each run's Merkle root, from rows (part, doc_id, n_tokens, name, names) in order; each recipe is held against its name."""
     trees: dict[int, list] = {}
     for batch in batches:
-        for part, doc_id, n, names in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for part, doc_id, n, name, names in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if _recipe_name(names, doc_id) != name:
+                raise ValueError(f"the recipe of document {doc_id} doesn't match its name")
             t = trees.setdefault(part, [_Merkle(), 0, 0])
             t[0].add(_leaf(doc_id, n, names))
             t[1], t[2] = t[1] + 1, t[2] + n
@@ -133,7 +139,7 @@ def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_roots(recipes: DataFrame) -> DataFrame:
-    ordered = recipes.select("part", "doc_id", "n_tokens", "names", "pos").repartition("part").sortWithinPartitions("part", "pos")
+    ordered = recipes.select("part", "doc_id", "n_tokens", "name", "names", "pos").repartition("part").sortWithinPartitions("part", "pos")
     return ordered.drop("pos").mapInArrow(_roots, "part int, docs long, tokens long, root binary")
 
 
@@ -152,16 +158,17 @@ def write(docs: DataFrame, path: str, end_id: int, store: str | None = None, id_
     # all rows with a chunk's name meet in one partition, a row for each task that met it, and the first is kept
     cut = rows.mapInArrow(_cut_task(path, end_id), _ROW_SQL).repartition("key")
     once = cut.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("kind"))).where("kind = 1 or _n = 1").drop("_n")
-    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{store}/objects")
+    with small_batches(spark):
+        once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{store}/objects")
     staged = _objects(spark, store, 1)
     ordered = staged.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
-    ordered = write_table(ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("names")), "recipes")
+    ordered = write_table(ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("name"), F.col("payload").alias("names")), "recipes")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(before(Window.orderBy("part"))), F.lit(0)).alias("offset"))
     start = F.col("offset") + F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("pos"))), F.lit(0))
     recipes = ordered.join(F.broadcast(offsets), F.col("part") == F.col("_part")).withColumn("start", start)  # a row for each partition
-    recipes.select("part", "pos", "doc_id", "start", "n_tokens", "names").write.option("compression", "zstd").parquet(f"{store}/recipes")
+    recipes.select("part", "pos", "doc_id", "start", "n_tokens", "name", "names").write.option("compression", "zstd").parquet(f"{store}/recipes")
     drop_table(ordered)
     runs = _run_roots(spark.read.parquet(f"{store}/recipes")).collect()  # a row for each partition
     docs_n, tokens, root = _top(runs)
@@ -187,7 +194,7 @@ def chunks(spark: SparkSession, store: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("part int, pos long, doc_id long, start long, n_tokens long, names binary").parquet(f"{store}/recipes")
+    return spark.read.schema("part int, pos long, doc_id long, start long, n_tokens long, name binary, names binary").parquet(f"{store}/recipes")
 
 
 def _checked(key: bytes, payload: bytes) -> np.ndarray:
