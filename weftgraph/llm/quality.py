@@ -1,14 +1,15 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Words and word pairs are hashed to a fixed number of bins. One pass counts bins over the
-whole corpus and over trusted documents; a document's score is the mean over its n-grams of
+Words and word pairs are hashed to a fixed number of bins. Bins are counted over the whole corpus
+and over all trusted documents; a document's score is the mean over its n-grams of
 ``ln p(bin | trusted) - ln p(bin | raw)``. Documents whose score is below a threshold that is
 set from the trusted documents' own scores are rejected. DataFrame functions only; the bins
-are a table of fixed size.
+are a table of fixed size, and ids of trusted documents meet the corpus in a join.
 
-Defined results: a null text has no words and fails the base rule; ties need no order; equal
-rows give equal results; empty tables: no rows, and without trusted documents every score is 0
-and the verdict is true; other columns are ignored.
+Defined results: a null text has no words and fails the base rule; texts of any length are scored
+whole; ties need no order; equal rows give equal results, and each counts; a null id is none of
+the trusted; empty tables: no rows, and without trusted documents every score is 0 and the verdict
+is the base rule's; other columns are kept.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import ascii_lower, bound, words_of, write_table
+from weftgraph.llm.common import bound, drop_table, words_of, write_table
 
-#: Bins of the hashed n-grams; added to each bin's count; most trusted documents (in hash order) that form the target; weights are held in units of 1/UNIT.
-BINS, SMOOTH, TRUSTED, UNIT = 1 << 15, 0.5, 20_000, 10_000
+#: Bins of the hashed n-grams; added to each bin's count; weights are held in units of 1/UNIT.
+BINS, SMOOTH, UNIT = 1 << 15, 0.5, 10_000
 #: A document is kept if its score is at least the mean less so many standard deviations of trusted documents that pass the base rule.
 SPREAD = 7.0
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def base_features(text: Column) -> Column:
@@ -40,15 +41,15 @@ def base_features(text: Column) -> Column:
         dense = lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(bound(bound(tagged(hs), hits), covered))
         return F.when(F.size(ws) > 3, bound(windows, dense)).otherwise(0)
 
-    def of(t: Column) -> Column:
+    def of(t: Column, ws: Column) -> Column:
         lines = F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
         return F.struct(
-            F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
             bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )
 
-    return bound(F.coalesce(text, F.lit("")), lambda t: bound(words_of(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), of(t).alias("t"), repeated(ws).cast("long").alias("n_repeat_words"))))
+    return bound(F.coalesce(text, F.lit("")), lambda t: bound(words_of(t), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), of(t, ws).alias("t"), repeated(ws).cast("long").alias("n_repeat_words"))))
 
 
 def _failed(at: str = "") -> Column:
@@ -59,23 +60,20 @@ def bins(text: Column, n: int = BINS) -> Column:
     """The bins of a text's words and word pairs, lower-cased, in order."""
     one = lambda ws: F.transform(ws, lambda w: F.pmod(F.hash(w), F.lit(n)))
     two = lambda ws: F.transform(F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.pmod(F.hash(F.get(ws, i), w), F.lit(n)))
-    return bound(words_of(ascii_lower(text)), lambda ws: F.concat(one(ws), two(ws)))
+    return bound(words_of(F.lower(text)), lambda ws: F.concat(one(ws), two(ws)))
 
 
-def _chosen(trusted: DataFrame, id_col: str) -> DataFrame:
-    """At most TRUSTED ids, so that they can be broadcast."""
-    ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct()
-    return F.broadcast(ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(TRUSTED))
+def _counts(texts: DataFrame, text_col: str, n: int) -> dict[int, int]:
+    """How often each bin occurs: a table of fixed size."""
+    return {r["bin"]: r["count"] for r in texts.select(F.explode(bins(F.col(text_col), n)).alias("bin")).groupBy("bin").count().collect()}
 
 
-def weights(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n: int = BINS) -> list[int]:
+def weights(docs: DataFrame, target: DataFrame, text_col: str, n: int = BINS) -> list[int]:
     """The log ratio of each bin in units of 1/UNIT: a table of fixed size."""
-    grams = docs.join(chosen, F.col(id_col) == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().alias("t"), F.explode(bins(F.col(text_col), n)).alias("bin"))
-    counts = {r["bin"]: (r["raw"], r["target"]) for r in grams.groupBy("bin").agg(F.count("*").alias("raw"), F.sum(F.col("t").cast("long")).alias("target")).collect()}
-    raw_n, target_n = (sum(x[i] for x in counts.values()) for i in (0, 1))
+    raw, good = _counts(docs, text_col, n), _counts(target, text_col, n)
+    raw_n, good_n = sum(raw.values()), sum(good.values())
     share = lambda c, total: math.log((c + SMOOTH) / (total + SMOOTH * n))
-    each = (counts.get(b, (0, 0)) for b in range(n))
-    return [round(UNIT * (share(target, target_n) - share(raw, raw_n))) if target_n else 0 for raw, target in each]
+    return [round(UNIT * (share(good.get(b, 0), good_n) - share(raw.get(b, 0), raw_n))) if good_n else 0 for b in range(n)]
 
 
 def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BINS, spread: float = SPREAD) -> DataFrame:
@@ -84,14 +82,14 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     ``trusted``: ids of the target's documents in a column named as ``id_col``.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "threshold", "base_failed", "kept")
-    chosen = _chosen(trusted, id_col)
-    w = F.split(F.lit(",".join(map(str, weights(docs, chosen, id_col, text_col, n)))), ",").cast("array<int>")
+    ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct()
+    target = write_table(docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_trusted")).select(text_col), "trusted")
+    w = F.split(F.lit(",".join(map(str, weights(docs, target, text_col, n)))), ",").cast("array<int>")
     mean = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.get(w, b)) / (UNIT * F.greatest(F.size(bs), F.lit(1)))
     llr = bound(bins(F.col(text_col), n), mean)
-    # written first, as the optimizer would move the base rule below the join, to every document
-    own = write_table(docs.join(chosen, F.col(id_col) == F.col("_trusted")).select(text_col), "trusted")
-    own = own.withColumn("_b", base_features(F.col(text_col))).where(~_failed("_b.")).select(llr.alias("llr"))
+    own = target.withColumn("_b", base_features(F.col(text_col))).where(~_failed("_b.")).select(llr.alias("llr"))
     level = own.agg(F.coalesce(F.avg("llr") - spread * F.stddev_pop("llr"), F.lit(-1e9))).first()[0]
+    drop_table(target)
     out = docs.withColumn("_b", base_features(F.col(text_col))).withColumn("llr", llr).withColumn("threshold", F.lit(round(level, 6)))
     out = out.select(*docs.columns, "_b.n_words", "_b.t.word_chars", "_b.t.n_symbols", "_b.t.n_dup_lines", "_b.n_repeat_words", "llr", "threshold")
     out = out.withColumn("base_failed", _failed())
