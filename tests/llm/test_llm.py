@@ -370,6 +370,32 @@ def test_mix_is_dealt_in_training_order(spark, docs, tmp_path):
     assert key(mixing.dealt(docs)) == key(mixing.assign(docs))
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    """The stage takes each row as often as the operator says, whatever rows share its id, source, size or all of it."""
+    import corpus_pipeline as p
+
+    rows = [(1, "a b", "en", "s", 3), (1, "c d", "en", "s", 3), (1, "a b", "en", "s", 3), (1, "a b", "de", "s", 3), (None, "e f g", None, None, None), (2, "h", "en", "t", 1), (2, "h", "en", "s", 1), (3, None, "en", "t", 0)]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long").withColumn("copies", F.lit(9)).repartition(3)
+    key = lambda r: str((r.doc_id, r.text, r.lang, r.source, r.n_chars))
+    got = collections.Counter(map(key, p.mix(spark, docs, "").collect()))
+    keyed = docs.withColumns(mixing.row_key(*p.COLUMNS))
+    copies = collections.Counter()
+    names = {(r["_h1"], r["_h2"]): key(r) for r in keyed.collect()}
+    assert len(names) == 7
+    for r in mixing.assign(keyed, keep=mixing.KEY).collect():
+        copies[names[r["_h1"], r["_h2"]]] += r.copies
+    assert got == +copies
+    assert p.mix(spark, docs.where("false"), "").count() == 0
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, key string, spans int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_demand_inverse(spark):
     x = spark.range(11).select((F.col("id") / 10).alias("s"))
     for a, b in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0)):

@@ -6,8 +6,10 @@ by position. DataFrame functions only.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; documents of size 0 sit at the demand of the next document and are taken as often
-as demand passes there; equal rows are interchangeable; an empty table gives an empty mix.
-Other columns of the input do not matter.
+as demand passes there; rows that repeat an id are documents of their own, each with its own
+place, and equal rows are interchangeable; ties of the shuffle go by id, then size; a null id is
+shuffled as an empty one; texts of any length are counted whole; an empty table gives an empty
+mix. Other columns of the input do not matter.
 """
 
 from __future__ import annotations
@@ -15,21 +17,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import write_table
+from weftgraph.llm.common import drop_table, write_table
 
 #: A source's weight goes linearly from START to END times its mean over the run: later sources come later.
 START, END = 1.5, 0.5
 _BITS = 12
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, u): one row a document; u is a reproducible shuffle key."""
+#: Columns of :func:`row_key`.
+KEY = ("_h1", "_h2")
+
+
+def row_key(*columns: str) -> dict[str, Column]:
+    """128 bits that tell apart rows that differ in these columns, as columns to add."""
+    each = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return {name: F.xxhash64(F.lit(i), *each) for i, name in enumerate(KEY)}
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, u, and the columns ``keep``): one row a document; u is a reproducible shuffle key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     size = F.when(F.trim(blank) == "", 0).otherwise(F.size(F.split(F.trim(blank), " +")))
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("u"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("u"), *keep,
     )
 
 
@@ -68,9 +80,9 @@ def _position(demand: Column) -> Column:
     return demand_inverse(share, start, F.lit(START + END) - start)
 
 
-def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, **columns) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken, offset (its place in its source's demand), position (of its first copy, null if none)."""
-    rows = write_table(sized(docs, **columns), "sizes")  # words are counted once
+def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, keep: tuple[str, ...] = (), **columns) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken, offset (its place in its source's demand), position (of its first copy, null if none), and the columns ``keep``."""
+    rows = write_table(sized(docs, keep=keep, **columns), "sizes")  # words are counted once
     # A source is cut by shuffle key into 2 ** _BITS slots: sums of slots give each slot's start, and only a slot is ever sorted.
     rows = rows.withColumn("slot", F.conv(F.substring("u", 1, _BITS // 4), 16, 10).cast("int"))
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
@@ -86,8 +98,9 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int =
     span = F.greatest(F.col("source_size"), F.lit(1))
     copies = F.least(F.lit(most), F.greatest(F.lit(0), F.floor((F.col("target") - F.col("offset") - F.col("size") / 2) / span) + 1))
     # what is missing from a source's target, or beyond it, is made up by one more or one less of the document whose size is nearest
-    first = both.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "rank", "last_rank", "target", "offset", copies.alias("copies"))
+    first = both.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "rank", "last_rank", "target", "offset", copies.alias("copies"), *keep)
     first = write_table(first, "copies")
+    drop_table(rows)
     gaps = first.groupBy(F.col("source").alias("_source")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
     near = first.join(gaps, F.col("source").eqNullSafe(F.col("_source")))
     miss = F.abs(F.col("size") - F.abs("gap"))
@@ -99,7 +112,7 @@ def assign(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int =
     position = F.when(F.col("copies") > 0, _position(F.col("offset")))
     return met.select(
         "doc_id", "source", "size", "source_size", "rank", "last_rank", "target", F.col("copies").cast("int").alias("copies"),
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "offset", position.alias("position"),
+        (F.col("copies") * F.col("size")).cast("long").alias("taken"), "offset", position.alias("position"), *keep,
     )
 
 
