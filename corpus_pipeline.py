@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns
 of ``documents``. ``run`` writes each stage as Parquet to the shared folder and reads it again.
+
+Defined results: a document with a null or an empty text isn't toxic without evidence, has no
+near-duplicates and no personal data, and a size of 0: the mix takes it as often as demand passes
+its place; null ids, sources and languages are values like others; of rows that are near-duplicates
+of each other one stays, the first by id, then by a hash of the text, so that of equal rows with a
+shingle one stays; rows that share an id but no text are documents of their own in every stage;
+very long texts are read whole; an empty table gives an empty one; columns beyond those of
+``documents`` are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +40,11 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes of a document, range-sorted by the copy's own training position; rows that repeat an id are one document."""
-    taken = mixing.assign(docs).where("copies > 0")
-    most = F.max(F.struct("copies", (-F.col("offset")).alias("_before"), "source_size", "rank", "last_rank", "target")).alias("m")
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(most)
-    taken = taken.select("_id", "_source", "m.*", (-F.col("m._before")).alias("offset"))
-    out = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return mixing.mixed(out).select(*COLUMNS)
+    """One row for each copy that the mix takes of a document, range-sorted by the copy's own training position. Rows with an id in common have places of their own; equal rows are one text with as many places."""
+    rows = docs.select(*COLUMNS).withColumns(mixing.row_key(*COLUMNS))
+    taken = mixing.assign(rows, keep=mixing.KEY).where("copies > 0").select(*mixing.KEY, "copies", "offset", "source_size", "rank", "last_rank", "target")
+    # texts are dealt by key once: for equal rows, and for the join
+    return mixing.mixed(rows.dropDuplicates(list(mixing.KEY)).join(taken, list(mixing.KEY))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
