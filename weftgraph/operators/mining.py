@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.session import cut
+from weftgraph.session import cut, drop_table
 
 
 def level_one(tx: DataFrame, key: str = "tx_id", items: str = "items") -> DataFrame:
@@ -54,16 +54,20 @@ def apriori(tx: DataFrame, support: float, level: int | None = None, most: int =
 
 
 def apriori_levels(tx: DataFrame, support: float, level: int | None = None, most: int = 32, key: str = "tx_id", items: str = "items") -> list[DataFrame]:
+    """The levels until one is empty, or up to the given one; more than ``most`` levels are refused."""
     n = tx.count()
     now = pruned(level_one(tx, key, items), n, support)
     if level != 1:
         now = cut(now, "apriori")
     out = [now]
-    for k in range(2, (level or most) + 1):
+    for k in range(2, (level or most + 1) + 1):
         # items that are in no frequent set can't count again
         now = cut(pruned(counted(joined(now, k), tx, k, key, items), n, support), "apriori")
         if now.isEmpty():
+            drop_table(now)
             break
+        if not level and k > most:
+            raise ValueError(f"sets of more than {most} items are frequent: raise the support or the bound")
         out.append(now)
     return out
 

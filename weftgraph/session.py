@@ -26,17 +26,32 @@ def get_session(app: str = "weftgraph", cores: int | str = "*", memory: str | No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a private folder where it is unset (local runs)."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a private one where it is unset and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("weftgraph.local.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + (own := tempfile.mkdtemp(prefix="weftgraph-"))
         spark.conf.set("weftgraph.local.dir", path)
         atexit.register(shutil.rmtree, own, ignore_errors=True)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: ends a loop's lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/weftgraph/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files under a table from :func:`cut` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
