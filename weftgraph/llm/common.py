@@ -1,11 +1,7 @@
-"""Shared helpers: the cluster's shared folder, token rules and Arrow batching."""
+"""Shared helpers: tables in the cluster's shared folder, token rules and Arrow batching."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
@@ -14,28 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import drop_table, new_path
+
+__all__ = ["ascii_lower", "bound", "drop_table", "fold_of", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
+
 #: White space that separates words: space and U+0009 to U+000D. Python's ``bytes.split()`` cuts at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a private one where it is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("weftgraph.local.dir", None)
-        if not path:
-            path = "file://" + (own := tempfile.mkdtemp(prefix="weftgraph-"))
-            spark.conf.set("weftgraph.local.dir", path)
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-
-
 #: Bytes of an Arrow batch while an operator writes a table: each task holds a batch on either side.
 BATCH = 4 << 20
 
@@ -65,14 +48,6 @@ def write_table(df: DataFrame, name: str, path: str | None = None, small: bool =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files under a table from :func:`write_table` that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null text: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
