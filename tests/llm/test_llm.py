@@ -285,6 +285,56 @@ def test_pii_copies_do_not_hide_a_term(spark):
     assert not [r.doc_id for r in got if "Zorblax" in r.text]
 
 
+def brute_disclosure(rows):
+    """All spans of each text, by counts over all pairs of an entity and a term."""
+    term = re.compile(r"[^\W_]+")
+    texts = sorted({t for _, t in rows})
+    terms = {t: {w.lower() for w in term.findall(t) if 3 <= len(w) <= 40} for t in texts}
+    base = {t: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans_of(t).split(",") if x)] for t in texts}
+    held = {t: {(k, t[a:b].lower()) for k, a, b in base[t]} for t in texts}
+    n, n_t, n_e = len(texts), collections.Counter(w for x in terms.values() for w in x), collections.Counter(e for x in held.values() for e in x)
+    n_et = collections.Counter((e, w) for t in texts for e in held[t] for w in terms[t])
+    out = {}
+    for t in texts:
+        share = {}
+        for w in terms[t]:
+            for e in held[t]:
+                chance = n_t[w] / n
+                p = (n_et[e, w] + pii.PRIOR * chance) / (n_e[e] + pii.PRIOR)
+                share[w] = max(share.get(w, 0), math.log(p / chance) / math.log(n / n_e[e]) if n > n_e[e] else 0)
+        every = [(a, pii.KINDS.index(k), b) for k, a, b in base[t]]
+        for m in term.finditer(t):
+            x = share.get(m[0].lower(), 0)
+            if x >= pii.GENERALISE and not any(a < m.end() and m.start() < b for a, _, b in every[: len(base[t])]):
+                every.append((m.start(), 5 if x >= pii.REMOVE else 4, m.end()))
+        out[t] = ",".join(f"{(*pii.KINDS, 'general', 'remove')[k]}:{a}:{b}" for a, k, b in sorted(every))
+    return out
+
+
+def test_pii_spans_equal_brute_force(spark):
+    rng = random.Random(21)
+    names = [f"name{i}" for i in range(30)]
+    entity = ["a.b@c.de", "zed@example.org", "1.2.3.4", "+1 386 555 3733", "4111111111111111", "q1@w.net", "mix4111111111111111x@a.b", "9.9.9.9 +44 20 7946 0958"]
+    rows = []
+    for i in range(150):
+        parts = [*rng.choices(WORDS, k=rng.randrange(1, 25)), *rng.choices(names, k=rng.randrange(3))]
+        parts += rng.choices(entity, k=rng.randrange(3)) if i % 3 else []
+        rng.shuffle(parts)
+        rows.append((i, rng.choice([" ", ", ", "é ", "\n"]).join(parts)))
+    rows += [(200 + i, rows[4][1]) for i in range(9)]
+    want = brute_disclosure(rows)
+    got = pii.analysed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "text", pii.rendered(F.col("spans")).alias("s")).collect()
+    assert len(got) == len(rows) and [(r.doc_id, r.s) for r in got if r.s != want[r.text]] == []
+    assert sum("general" in x for x in want.values()) > 5 and sum("remove" in x for x in want.values()) > 5
+
+
+def test_pii_of_a_text_with_many_matches(spark):
+    """Thousands of spans in one text, some within others, are placed and cut in the order of the text."""
+    t = " ".join(f"ü{i} a{i}@b.c 1.2.3.{i % 256} +1 386 555 {i:04d}" for i in range(2000))
+    r = pii.sanitised(spark.createDataFrame([(1, t), (2, "ü1 plain")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert r.text.count("<EMAIL>") == 2000 and r.text.count("<IP>") == 2000 and r.text.count("<PHONE>") == 2000 and not re.search(r"@|[0-9]\.[0-9]|\+", r.text)
+
+
 def test_bpe(docs, empty):
     got = bpe.digests(docs, PATH).collect()
     want = []

@@ -9,9 +9,14 @@ the entity stood in PRIOR more texts that hold the term as often as any text. A
 share exceeds a threshold is removed wherever it stands in a text that holds the entity, or
 generalised if it exceeds a lower one.
 
+A term is a run of letters, marks and digits, 3 to 40 of them, in lower case; shorter and longer
+runs are no terms. Each of a text's terms is weighed against each of its entities.
+
 Defined results: null text: as empty, no spans; very long texts are scanned whole, each
-pattern in linear time; equal rows give equal results; an empty table gives an empty one;
-columns of other names are ignored by :func:`analysed` and kept by :func:`sanitised`.
+pattern in linear time, and m spans are placed in m log m steps; equal rows give equal results;
+a null id is an id; spans that overlap are cut out together; an empty table gives an empty one;
+columns of other names are kept, whatever they are, and :func:`analysed` replaces ``base`` and
+``spans``.
 """
 
 from __future__ import annotations
@@ -61,21 +66,41 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(10, 15) if kind == "phone" else F.lit(True)
 
 
+_SPANS = "array<struct<start:int,k:int,end:int,value:string,at:int,to:int>>"
+#: Beyond any place in a text.
+_FAR = (1 << 31) - 1
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_SPANS})")
+
+
+def running(xs: Column, join) -> Column:
+    """Running totals of an array by ``join``, in steps that double their reach: a fold that appends to an array would copy it each time."""
+    reach = F.ceil(F.log2(F.greatest(F.size(xs), F.lit(2)).cast("double"))).cast("int")
+    back = lambda i, k: i - F.call_function("shiftleft", F.lit(1), k)
+    step = lambda acc, k: F.transform(acc, lambda x, i: F.when(back(i, k) < 0, x).otherwise(join(x, F.get(acc, back(i, k)))))
+    return F.aggregate(F.sequence(F.lit(0), reach - 1), xs, step)
+
+
+def _matched(text: Column, pattern: str, of) -> Column:
+    """Spans of all matches of a pattern: ``of(match, (start, end, first byte, end in bytes))``. Gaps between matches come from a split by the same pattern."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.octet_length(gap).alias("bytes")))
+    total = lambda ps, gap, size: running(F.transform(ps, lambda x: x[gap] + size(x["m"])), lambda x, y: x + y)
+    placed = lambda ps, ends, tos: F.transform(ps, lambda x, i: of(x["m"], (F.get(ends, i) - F.length(x["m"]), F.get(ends, i), F.get(tos, i) - F.octet_length(x["m"]), F.get(tos, i))))
+    return bound(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda ps: bound(total(ps, "gap", F.length), lambda ends: bound(total(ps, "bytes", F.octet_length), lambda tos: placed(ps, ends, tos))))
+
+
+def _span(k: Column, value: Column, where: tuple) -> Column:
+    return F.struct(where[0].alias("start"), k.alias("k"), where[1].alias("end"), value.alias("value"), where[2].alias("at"), where[3].alias("to"))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """array<struct<start,k,end,value>> of one kind: gaps between matches come from a split by the same pattern."""
-    pattern, k = F.lit(PATTERNS[kind]), KINDS.index(kind)
-    empty = F.expr("cast(array() as array<struct<start:int,k:int,end:int,value:string>>)")
-    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    folded = F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(k).alias("k"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: F.filter(acc["out"], lambda s: _valid(kind, s["value"])),
-    )
+    """Spans of one kind."""
+    pattern = F.lit(PATTERNS[kind])
+    spans = F.filter(_matched(text, PATTERNS[kind], lambda m, where: _span(F.lit(KINDS.index(kind)), m, where)), lambda s: _valid(kind, s["value"]))
     may = F.rlike(text, pattern) if HINTS[kind] is None else F.contains(text, F.lit(HINTS[kind])) & F.rlike(text, pattern)
-    return F.when(may, folded).otherwise(empty)
+    return F.when(may, spans).otherwise(_none())
 
 
 def base_spans(text: Column) -> Column:
@@ -95,72 +120,75 @@ def _terms(text: Column) -> Column:
 
 def _placed(text: Column, spans: Column, shares: Column) -> Column:
     """Spans of the terms that ``shares`` (a map by term) names, wherever they stand outside ``spans``."""
-    folded = F.aggregate(
-        F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.element_at(shares, F.lower(m)).alias("share"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,k:int,end:int,value:string>>)").alias("out")),
-        lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["gap"]).alias("start"), F.when(x["share"] >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS)).alias("k"),
-                (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), F.lit(None).cast("string").alias("value"))))).alias("out"))),
-        lambda acc: acc["out"],
-    )
-    return F.filter(folded, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    kind = lambda share: F.when(share >= REMOVE, len(KINDS) + 1).when(share.isNotNull(), len(KINDS))
+    terms = F.filter(_matched(text, TERM, lambda m, where: _span(kind(F.element_at(shares, F.lower(m))), F.lit(None).cast("string"), where)), lambda s: s["k"].isNotNull())
+    base = lambda s: s["k"] < len(KINDS)
+    behind = lambda xs: running(F.transform(xs, lambda s: F.when(base(s), s["end"]).otherwise(0)), F.greatest)
+    ahead = lambda xs: F.reverse(running(F.transform(F.reverse(xs), lambda s: F.when(base(s), s["start"]).otherwise(_FAR)), F.least))
+    # in order of starts, a term is free if no span before it reaches into it and none begins within it
+    free = lambda xs, ends, starts: F.transform(xs, lambda s, i: F.when(~base(s) & (F.coalesce(F.get(ends, i - 1), F.lit(0)) <= s["start"]) & (F.coalesce(F.get(starts, i + 1), F.lit(_FAR)) >= s["end"]), s))
+    kept = lambda xs: bound(behind(xs), lambda ends: bound(ahead(xs), lambda starts: free(xs, ends, starts)))
+    return F.filter(bound(F.sort_array(F.concat(spans, terms)), kept), lambda s: s.isNotNull())
 
 
 def revealing(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """(text_key, term, share): the terms of each text that disclose one of its entities by GENERALISE or more, with the largest share.
 
-    ``texts``: (text_key, text), all distinct texts; ``marked``: (text_key, text, spans), those that hold entities.
+    ``texts``: (text_key, text), whose rows may repeat a text; ``marked``: (text_key, text, spans), the distinct texts that hold entities.
     """
     terms = lambda x: x.select("text_key", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     held = marked.select("text_key", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["k"].cast("string"), F.lower(s["value"]))))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    counts = terms(texts).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.broadcast(texts.agg(F.count("*").alias("n")))
+    # entities that stand in the same texts reveal and are revealed alike: they are counted as one, named by 128 bits of their texts
+    sign = [F.bit_xor(F.xxhash64(F.lit(i), "text_key")).alias(f"e{i}") for i in (1, 2)]
+    held = write_table(held, "entities")
+    alike = held.groupBy("entity").agg(F.count("*").alias("n_e"), *sign)
+    classes = held.join(alike, "entity").select("text_key", "e1", "e2", "n_e").distinct()
+    counts = terms(texts.dropDuplicates(["text_key"])).groupBy("term").agg(F.count("*").alias("n_t"))
+    n = F.lit(float(texts.select("text_key").distinct().count()))
     # as p(t | e) <= 1, no share reaches GENERALISE unless ln(N / n_t) >= GENERALISE ln(N / n_e): only such pairs are counted
-    may = F.ln(F.col("n") / F.col("n_t")) >= GENERALISE * F.ln(F.col("n") / F.col("n_e")) - 1e-9
-    pairs = terms(marked).join(counts, "term").join(held.join(entities, "entity"), "text_key").crossJoin(n).where(may)
-    pairs = write_table(pairs.select("text_key", "entity", "term", "n_e", "n_t", "n"), "disclosures")
-    chance = F.col("n_t") / F.col("n")
+    may = F.ln(n / F.col("n_t")) >= GENERALISE * F.ln(n / F.col("n_e")) - 1e-9
+    pairs = terms(marked).join(counts, "term").join(classes, "text_key").where(may)
+    pairs = write_table(pairs.select("text_key", "e1", "e2", "term", "n_e", "n_t"), "disclosures")
+    chance = F.col("n_t") / n
     given = (F.col("n_et") + PRIOR * chance) / (F.col("n_e") + PRIOR)
-    share = F.ln(given / chance) / F.ln(F.greatest(F.col("n") / F.col("n_e"), F.lit(1.0 + 1e-9)))
-    known = pairs.groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count("*").alias("n_et")).withColumn("share", share).where(F.col("share") >= GENERALISE)
-    out = pairs.select("text_key", "entity", "term").join(known.select("entity", "term", "share"), ["entity", "term"])
+    share = F.ln(given / chance) / F.ln(F.greatest(n / F.col("n_e"), F.lit(1.0 + 1e-9)))
+    known = pairs.groupBy("e1", "e2", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).withColumn("share", share).where(F.col("share") >= GENERALISE)
+    out = pairs.select("text_key", "e1", "e2", "term").join(known.select("e1", "e2", "term", "share"), ["e1", "e2", "term"])
     found = write_table(out.groupBy("text_key", "term").agg(F.max("share").alias("share")), "revealing")
-    drop_table(pairs)
+    for used in (held, pairs):
+        drop_table(used)
     return found
 
 
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with ``base`` (spans by pattern) and ``spans`` (all spans); keeps all other columns, and replaces those of these names."""
-    docs = docs.drop("base", "spans", "added", "_id", "_key", "_k")
+    """Every document with ``base`` (spans by pattern) and ``spans`` (all spans); keeps all other columns, and replaces those of these names and _base, _spans, _id, _key, _k."""
+    docs = docs.drop("base", "spans", "_base", "_spans", "_id", "_key", "_k")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(text, F.length(text))
-    found = docs.withColumn("base", base_spans(F.col(text_col)))
-    # patterns are matched once for what follows, and each text counts once however many rows hold it
-    rows = write_table(found.select(F.col(id_col).alias("_id"), key.alias("text_key"), F.col("base").alias("spans"), text.alias("text")).where(F.size("spans") > 0), "marked")
+    # patterns are matched once, here; what follows reads the documents that hold entities, and each text counts once however many rows hold it
+    rows = write_table(docs.select(F.col(id_col).alias("_id"), key.alias("text_key"), base_spans(F.col(text_col)).alias("spans"), text.alias("text")).where(F.size("spans") > 0), "marked")
     marked = rows.dropDuplicates(["text_key"]).select("text_key", "text", "spans")
-    known = revealing(docs.select(key.alias("text_key"), text.alias("text")).dropDuplicates(["text_key"]), marked)
+    known = revealing(docs.select(key.alias("text_key"), text.alias("text")), marked)
     shares = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    added = marked.join(shares, "text_key").select(F.col("text_key").alias("_key"), F.sort_array(_placed(F.col("text"), F.col("spans"), F.col("shares"))).alias("added")).where(F.size("added") > 0)
-    added = rows.select("_id", F.col("text_key").alias("_key")).distinct().join(added, "_key")
-    out = found.withColumn("_k", F.when(F.size("base") > 0, key))
-    out = out.join(added, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
-    return out.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "added")))).drop("_id", "_key", "_k", "added")
+    added = marked.join(shares, "text_key").select("text_key", _placed(F.col("text"), F.col("spans"), F.col("shares")).alias("added"))
+    every = F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "added")))
+    found = rows.groupBy("_id", "text_key").agg(F.first("spans").alias("spans")).join(added, "text_key", "left").select("_id", F.col("text_key").alias("_key"), F.col("spans").alias("_base"), every.alias("_spans"))
+    found = write_table(found, "spans")
+    for used in (rows, known):
+        drop_table(used)
+    out = docs.withColumn("_k", key).join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    return out.withColumn("base", F.coalesce("_base", _none())).withColumn("spans", F.coalesce("_spans", _none())).drop("_id", "_key", "_k", "_base", "_spans")
 
 
 def cleaned(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind's mark; revealing terms are removed or become a mark."""
+    """The text with each span replaced by its kind's mark; revealing terms are removed or become a mark. ``spans`` are in order of starts; bytes are cut, which needs no walk from the text's start."""
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit("<TERM>"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, F.when(s["end"] > acc["at"], F.element_at(marks, s["k"] + 1)).otherwise(""))).alias("out"))
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    ends = running(F.transform(spans, lambda s: s["to"]), F.greatest)
+    cut = lambda raw, a, b: F.substring(raw, a + 1, F.greatest(b - a, F.lit(0))).cast("string")
+    before = lambda tos, i: F.coalesce(F.get(tos, i - 1), F.lit(0))
+    piece = lambda raw, tos: lambda s, i: F.concat(cut(raw, before(tos, i), s["at"]), F.when(s["to"] > before(tos, i), F.element_at(marks, s["k"] + 1)).otherwise(""))
+    whole = lambda raw: bound(ends, lambda tos: F.concat(F.array_join(F.transform(spans, piece(raw, tos)), ""), cut(raw, F.element_at(tos, -1), F.octet_length(raw))))
+    return F.when(F.size(spans) > 0, bound(text.cast("binary"), whole)).otherwise(text)
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
