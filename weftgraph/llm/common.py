@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import drop_table, new_path
 
-__all__ = ["ascii_lower", "bound", "drop_table", "fold_of", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
+__all__ = ["ascii_lower", "bound", "drop_table", "fold_of", "likely", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
 
 #: White space that separates words: space and U+0009 to U+000D. Python's ``bytes.split()`` cuts at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -48,6 +48,21 @@ def write_table(df: DataFrame, name: str, path: str | None = None, small: bool =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter.
+FILTER = 1 << 20
+
+
+def likely(rows: DataFrame, own: list[Column], keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key (``own``) may be among ``keys`` (``names``), and few others: a table of FILTER bits, whatever the number of keys, keeps texts that a join would drop out of its shuffle."""
+    at = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    h = at([F.col(n) for n in names])
+    words = {r["w"]: r["b"] for r in keys.select(h.alias("h")).groupBy((F.col("h") / 64).cast("int").alias("w")).agg(F.bit_or(bit(F.col("h"))).alias("b")).collect()}
+    table = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(FILTER // 64))), ",").cast("array<bigint>")
+    mine = at(own)
+    return rows.where(F.get(table, (mine / 64).cast("int")).bitwiseAND(bit(mine)) != 0)
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null text: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound, drop_table, words_of, write_table
+from weftgraph.llm.common import bound, drop_table, likely, words_of, write_table
 
 #: Bins of the hashed n-grams; added to each bin's count; weights are held in units of 1/UNIT.
 BINS, SMOOTH, UNIT = 1 << 15, 0.5, 10_000
@@ -83,7 +83,9 @@ def scored(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "threshold", "base_failed", "kept")
     ids = trusted.select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct()
-    target = write_table(docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_trusted")).select(text_col), "trusted")
+    # one plan at every size: texts are dealt by id, of documents that may be trusted
+    own = likely(docs.select(id_col, text_col), [F.col(id_col).cast("string")], ids.select(F.col("_trusted").cast("string").alias("_t")), ["_t"])
+    target = write_table(own.hint("merge").join(ids, F.col(id_col) == F.col("_trusted")).select(text_col), "trusted")
     w = F.split(F.lit(",".join(map(str, weights(docs, target, text_col, n)))), ",").cast("array<int>")
     mean = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + F.get(w, b)) / (UNIT * F.greatest(F.size(bs), F.lit(1)))
     llr = bound(bins(F.col(text_col), n), mean)
