@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import drop_table, record, runs, slices, texts_of, write_table
+from weftgraph.llm.common import drop_table, likely, record, runs, slices, texts_of, write_table
 
 #: Words of a shingle; hundredths of similarity that link where a caller names none.
 WIDTH, LINK = 5, 85
@@ -48,7 +48,7 @@ M = BANDS * ROWS
 #: A candidate is dropped if its likelihood at the linking similarity is below the best by more than this logarithm.
 DROP = 10.0
 #: Members of a block, and shingles of its members, about; members of a pivot that one task verifies; bytes of text that are hashed at once.
-BLOCK, BLOCK_SHINGLES, STAR, PIECE = 256, 1 << 18, 1024, 4 << 20
+BLOCK, BLOCK_SHINGLES, STAR, PIECE = 256, 1 << 18, 128, 4 << 20
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -323,10 +323,10 @@ def _same_or(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, text) of one document for each of the classes ``keys``. Spark chooses the join by the size of the ids to look for."""
-    one = nodes.join(keys.distinct(), "key", "left_semi").select("key", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_text"))
-    met = docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select("key", "text")
-    return met.dropDuplicates(["key"])
+    """(key, text) of one document for each of the classes ``keys``."""
+    one = write_table(nodes.join(keys.distinct(), "key", "left_semi").select("key", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_text")), "standing")
+    met = likely(docs, [F.col("text_key")], one, ["_text"]).hint("merge").join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))
+    return met.select("key", "text").dropDuplicates(["key"])
 
 
 def _star_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, link: int) -> DataFrame:
