@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import drop_table, record, runs, write_table
 
-#: Factor of components; bits of a cell's side; vectors of a block; blocks, and queries, of a cell of the grid; bytes of whole vectors that wait for their block to fill.
-SCALE, BITS, BLOCK, BLOCKS, QUERIES, WAIT = 1024, 8, 4096, 16, 1024, 32 << 20
+#: Factor of components; bits of a cell's side; vectors of a block; blocks, and queries, of a cell of the grid; bytes of whole vectors that wait for their block to fill; a query's candidates that one part of it reads.
+SCALE, BITS, BLOCK, BLOCKS, QUERIES, WAIT, PART = 1024, 8, 4096, 16, 1024, 32 << 20, 128
 
 
 def integers(vector: Column) -> Column:
@@ -142,16 +142,16 @@ def _found(ids: list, kept: list) -> Iterator[pa.RecordBatch]:
 
 
 def _exact(k: int):
-    """(query_id, vec_id, score) of each query's best, from rows (query_id, upper, q, id, v) by falling upper bounds: whole vectors are used until the kth result is certain."""
+    """(query_id, vec_id, score) of each query's best, from rows (query_id, part, upper, q, id, v) by falling upper bounds: whole vectors are used until the kth result of the part is certain."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, top, done, out = None, [], False, []
+        now, top, done, out = (None, None), [], False, []
         for batch in batches:
-            for query_id, upper, q, id_, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if query_id != now:
-                    out += [(now, i, -s) for s, i in top]
-                    now, top, done = query_id, [], False
+            for query_id, part, upper, q, id_, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (query_id, part) != now:
+                    out += [(now[0], i, -s) for s, i in top]
+                    now, top, done = (query_id, part), [], False
                 if not done:
                     done = len(top) >= k and upper < -top[k - 1][0]
                 if not done:
@@ -159,7 +159,7 @@ def _exact(k: int):
             if len(out) >= 4096:
                 yield record(schema, *zip(*out, strict=True))
                 out = []
-        out += [(now, i, -s) for s, i in top]
+        out += [(now[0], i, -s) for s, i in top]
         if out:
             yield record(schema, *zip(*out, strict=True))
 
@@ -192,11 +192,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     ranked = whole.withColumn("h", F.xxhash64("v")).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
     approximations = write_table(ranked.select("row", "id", "v").mapInArrow(_approximate, _BLOCK_SQL), "approximations")
     asked = write_table(whole.where("asks").groupBy("id", "v").agg(F.min("row").alias("row")).select("row", "id", "v"), "queries")
-    rest = candidates(whole, approximations, asked, k)
+    rest = write_table(candidates(whole, approximations, asked, k), "candidates")
+    sizes = rest.groupBy(F.col("query_id").alias("_q")).agg(F.ceil(F.count("*") / PART).alias("parts"))  # a query with many near ties is read in parts
+    rest = rest.join(sizes, F.col("query_id") == F.col("_q")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     met = rest.join(whole.select("row", "id", "v"), "row").join(asked.select(F.col("row").alias("q_row"), F.col("v").alias("q")), "q_row")
-    met = met.repartition("query_id").sortWithinPartitions("query_id", F.desc("upper"), "id")
-    found = write_table(met.select("query_id", "upper", "q", "id", "v").mapInArrow(_exact(k), "query_id long, vec_id long, score long"), "found")
+    met = met.repartition("query_id", "part").sortWithinPartitions("query_id", "part", F.desc("upper"), "id")
+    found = write_table(met.select("query_id", "part", "upper", "q", "id", "v").mapInArrow(_exact(k), "query_id long, vec_id long, score long"), "found")
     for used in (whole, approximations, asked):
         drop_table(used)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
