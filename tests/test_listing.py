@@ -1,4 +1,4 @@
-"""Listings against a line-by-line state machine, and the fixtures of FIXTURES.md."""
+"""Listings against a brute force over the pieces between markers, and the fixtures of FIXTURES.md."""
 
 import random
 import re
@@ -12,32 +12,32 @@ from weftgraph.sources import listing
 HEAD = ".text:00401000 "
 
 
-def machine(lines, include_db=False):
-    """Functions as a loop over lines: (name, aliases, instructions, called)."""
+def cut_at_markers(lines, include_db=False):
+    """Functions of a listing: (name, aliases, instructions). The list is cut at its markers, and each piece is judged by itself.
+
+    A piece goes to a new function if its marker begins one, or if the piece before held an
+    instruction: that closed a function, whatever its marker. Else it goes on with the open one.
+    """
     pattern = re.compile(listing.LINE if include_db else listing.LINE_NO_DB)
-    out, now, n = [], ["unamed_function_1", [], 0], 2
-    for line in lines:
-        if m := re.match(listing.BEGIN, line):
-            if now and now[2]:
-                out.append(now)
-            now = [m[1], [], 0]
-        elif re.match(listing.END, line):
-            if now and now[2]:
-                out.append(now)
-                now = None
-        else:
-            if now is None:
-                now, n = [f"unamed_function_{n}", [], 0], n + 1
-            if pattern.match(line):
-                now[2] += 1
-            elif (m := re.match(listing.LABEL, line)) and m[1] not in now[1]:
-                now[1].append(m[1])
-    if now and now[2]:
-        out.append(now)
-    return [tuple(map(str, (x[0], ",".join(x[1]), x[2]))) for x in out]
-
-
-def test_functions_equal_the_state_machine(spark):
+    at = [i for i, x in enumerate(lines) if re.match(listing.BEGIN, x) or re.match(listing.END, x)]
+    pieces = [lines[a:b] for a, b in zip([0, *at], [*at, len(lines)], strict=True)]
+    pieces = pieces[1:] if not pieces[0] else pieces
+    code = [[bool(pattern.match(x)) for x in p] for p in pieces]
+    heads = [re.match(listing.BEGIN, p[0]) for p in pieces]
+    marked = [bool(at) and (i > 0 or at[0] == 0) for i in range(len(pieces))]
+    new = [i == 0 or bool(heads[i]) or any(code[i - 1]) for i in range(len(pieces))]
+    groups = [[j for j in range(i, len(pieces)) if sum(new[: j + 1]) == sum(new[: i + 1])] for i in range(len(pieces)) if new[i]]
+    out, number = [], 1
+    for g in groups:
+        body = [(x, c) for j in g for x, c in zip(pieces[j][marked[j] :], code[j][marked[j] :], strict=True)]
+        number += not heads[g[0]] and g[0] > 0 and bool(body)
+        labels = [m[1] for x, c in body if not c and (m := re.match(listing.LABEL, x))]
+        if any(c for _, c in body):
+            out.append((heads[g[0]][1] if heads[g[0]] else f"unamed_function_{number}", ",".join(dict.fromkeys(labels)), str(sum(c for _, c in body))))
+    return out
+
+
+def test_functions_equal_pieces_between_markers(spark):
     rng = random.Random(5)
     kinds = ["sub_{:X} proc near", "sub_{:X} endp", "loc_{:X}: ; CODE XREF", "8B 44 \t mov eax, [esp]", "; nothing", "12 \t db 12h"]
     files = {f"f{k}": [HEAD + rng.choices(kinds, [2, 2, 1, 3, 2, 1])[0].format(rng.randrange(16)) for _ in range(rng.randrange(1, 60))] for k in range(40)}
@@ -45,7 +45,7 @@ def test_functions_equal_the_state_machine(spark):
     got = {}
     for r in listing.functions(rows).orderBy("binary", "fn_id").collect():
         got.setdefault(r.binary, []).append((r.name, ",".join(r.aliases), str(len(r.instructions))))
-    assert got == {k: m for k, ls in files.items() if (m := machine(ls))}
+    assert got == {k: m for k, ls in files.items() if (m := cut_at_markers(ls))}
     again = listing.functions(rows.repartition(1)).count()
     assert again == sum(map(len, got.values()))
 

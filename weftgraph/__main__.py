@@ -16,7 +16,7 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument(f"--{name}", type=kind, default=default, dest=name.replace("-", "_") if name != "in" else "source")
     p.add_argument("--recursive", action="store_true")
     p.add_argument("--tfidf", action="store_true")
-    o = p.parse_args(argv)
+    o, _ = p.parse_known_args(argv)  # unknown options are ignored
     spark = get_session()
 
     def graphs():
@@ -40,16 +40,17 @@ def main(argv: list[str] | None = None) -> None:
     elif o.program in ("cluster", "knn"):
         d, labels = delimited.distances(spark, o.source), delimited.labels(spark, o.labels)
         result = programs.cluster_by_distance(d, labels, o.k, o.algorithm, o.seed) if o.program == "cluster" else programs.naive_knn(d, labels, o.k)
-        for table in result[1:]:
-            table.show(truncate=False)
+        lines = sinks.report(*result[1:])
+        if o.out:
+            lines.orderBy("part", "by").select("line").coalesce(1).write.text(o.out)
+        else:
+            lines.orderBy("part", "by").select("line").show(1000, truncate=False)
     elif o.program == "sequences":
         found = programs.sequence_indicators(programs.frequent_sequences(lines, o.mode, o.support))
-        vocab = delimited.numbered(found.select("entry").distinct(), "entry")
-        sinks.write_arff(*sinks.arff_lines(found, "binary", "entry", "value", vocab.withColumn("idx", vocab.idx.cast("int")), delimited.labels(spark, o.labels) if o.labels else None), "binary", o.out)
+        sinks.write_arff(*programs.sequences_arff(found, delimited.labels(spark, o.labels) if o.labels else None), "binary", o.out)
     elif o.program == "bytes":
         counts = programs.byte_ngrams(delimited.raw_bytes(spark, o.source), o.n)
-        vocab = delimited.numbered(counts.select("ngram").distinct(), "ngram")
-        sinks.write_arff(*sinks.arff_lines(counts, "binary", "ngram", "n", vocab.withColumn("idx", vocab.idx.cast("int")), delimited.labels(spark, o.labels) if o.labels else None), "binary", o.out)
+        sinks.write_arff(*programs.bytes_arff(counts, delimited.labels(spark, o.labels) if o.labels else None), "binary", o.out)
     else:
         sinks.write_csv(sinks.vocabulary_csv(programs.ngram_vocabulary(lines, o.n, o.mode)), o.out, header=False)
 

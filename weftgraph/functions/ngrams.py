@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import bound
 from weftgraph.functions.hashing import portable_hash
+from weftgraph.operators.numbering import numbered
 
 #: Key formats: separator, whether it also ends the key, and whether a single token stays bare.
 HASHED, VOCABULARY, SKETCH = (",", True, False), ("-", True, True), ("", False, False)
@@ -67,7 +68,7 @@ def frequency_rows(grams: DataFrame, keys: list[str], bits: int, hash_: Callable
 def vocabulary(grams: DataFrame, order: list[str]) -> DataFrame:
     """(ngram, idx): distinct n-grams numbered from 0 by first appearance in ``order``."""
     first = grams.groupBy("ngram").agg(F.min(F.struct(*order)).alias("first"))
-    return first.select("ngram", (F.row_number().over(Window.orderBy("first", "ngram")) - 1).cast("int").alias("idx"))
+    return numbered(first, "first", "ngram").select("ngram", "idx")
 
 
 def vocabulary_counts(grams: DataFrame, keys: list[str], vocab: DataFrame, normalise: bool = False) -> DataFrame:

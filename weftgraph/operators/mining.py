@@ -201,6 +201,32 @@ def itemset_order(items: Column) -> Column:
     return F.concat(items, F.array(F.lit("\U0010ffff")))
 
 
+def item_at(items: Column, place: Column | int) -> Column:
+    """The item at a place from 0; null beyond the end."""
+    return F.get(items, F.lit(place) if isinstance(place, int) else place)
+
+
+def item_added(items: Column, item: Column) -> Column:
+    """The set with an item, in order; a set that has it stays as it is."""
+    return F.array_sort(F.array_distinct(F.array_append(items, item)))
+
+
+def item_removed(items: Column, item: Column) -> Column:
+    return F.array_remove(items, item)
+
+
+def inserted(sets: DataFrame, new: DataFrame) -> DataFrame:
+    """Insert into a set of rows: rows that are there already stay as they are."""
+    return sets.unionByName(new).distinct()
+
+
+def contained(sets: DataFrame, tx: DataFrame, key: str = "tx_id", items: str = "items") -> DataFrame:
+    """(key, itemset): the sets (itemset) that each transaction holds whole: an index probe as an equi-join on the item, then a count."""
+    c = sets.select("itemset", F.explode("itemset").alias("item"), F.size("itemset").alias("k")).distinct()
+    t = tx.select(key, F.explode(F.array_distinct(items)).alias("item"))
+    return c.join(t, "item").groupBy(key, "itemset", "k").agg(F.count("*").alias("c")).where("c = k").select(key, "itemset")
+
+
 def same_prefix(a: Column, b: Column) -> Column:
     """Equality of two itemsets of one size but for the last item; sets of one item are always equal."""
     return (F.size(a) == F.size(b)) & (F.slice(a, F.lit(1), F.size(a) - 1) == F.slice(b, F.lit(1), F.size(b) - 1))

@@ -10,8 +10,9 @@ from weftgraph.functions import ngrams, sketches
 from weftgraph.functions.hashing import seeded, signature_bucket
 from weftgraph.functions.similarity import SIMILARITIES, token_edit_similarity
 from weftgraph.operators import clustering, evaluation, ged, graph, mining, pairs
+from weftgraph.operators.numbering import numbered
 from weftgraph.session import cut
-from weftgraph.sources import delimited, gml, listing, sinks
+from weftgraph.sources import gml, listing, sinks
 
 FEATURES = ("minhash", "cosine", "jaccard", "inst", "lshcosine", "new_jaccard")
 
@@ -62,8 +63,21 @@ def graph_vectors(vertices: DataFrame, edges: DataFrame, bits: int = 8, algorith
 def vectors_arff(vectors: DataFrame, labels: DataFrame | None, value: str = "freq") -> tuple[list[str], DataFrame]:
     """E2's sink: header and data lines."""
     named = vectors.withColumn("entry", F.concat_ws(":", "kind", "bucket")).select("graph", "entry", value)
-    vocab = delimited.numbered(named.select("entry").distinct(), "entry").withColumn("idx", F.col("idx").cast("int"))
-    return sinks.arff_lines(named, "graph", "entry", value, vocab, labels)
+    return sinks.arff(named, "graph", "entry", value, numbered(named.select("entry").distinct(), "entry"), labels)
+
+
+#: The nominal classes of byte n-gram files.
+BYTE_CLASSES = [str(i) for i in range(1, 10)]
+
+
+def bytes_arff(counts: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """E8's sink: header and data lines, with the classes 1 to 9."""
+    return sinks.arff(counts, "binary", "ngram", "n", numbered(counts.select("ngram").distinct(), "ngram"), labels, BYTE_CLASSES)
+
+
+def sequences_arff(indicators: DataFrame, labels: DataFrame | None, with_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """E7's sink: header and data lines, ids in quotes."""
+    return sinks.arff(indicators, "binary", "entry", "value", numbered(indicators.select("entry").distinct(), "entry"), labels, with_id=with_id, quoted=True)
 
 
 def _python_similarity(kind: str):

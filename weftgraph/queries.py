@@ -8,6 +8,7 @@ order lines are transactions and listing lines. Doubles are rounded to six digit
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions import hashing, ngrams, similarity, sketches
 from weftgraph.operators import anomaly, clustering, evaluation, ged, graph, mining, pairs
 from weftgraph.plans import programs
-from weftgraph.sources import delimited, gml, listing, sinks
+from weftgraph.session import cut
+from weftgraph.sources import delimited, gml, listing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +93,7 @@ def unit_vectors(spark, d) -> DataFrame:
 
 S_VEC = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
 S_DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+S_DOT = "list_dot_product(a.v, b.v)"
 S_PAIRS = f"{S_VEC}, d AS (SELECT a.id, b.id AS other, round({S_DIST}, 9) AS d FROM p a JOIN p b ON a.id <> b.id)"
 
 
@@ -99,6 +102,15 @@ def vector_distances(spark, d) -> DataFrame:
     return pairs.all_distances(unit_vectors(spark, d).select("id", "v")).withColumn("d", F.round("d", 9))
 
 
+def s_planes(dim: int, count: int, seed: int, shift: float = -0.5) -> str:
+    """Bits of each vector against the random planes, whose numbers are written out."""
+    m = sketches.planes(dim, count, seed, shift).tolist()
+    return f"w AS (SELECT unnest({m}::DOUBLE[][]) AS w, unnest(range({count})) AS i), b AS (SELECT id, list((list_dot_product(v, w) >= 0)::INT ORDER BY i) AS bits FROM p, w GROUP BY id)"
+
+
+S_ARRAY_HASH = "list_reduce({x}, lambda a, v: ((a * 31 + (((xor(v, v >> 32)) & 4294967295) + 2147483648) % 4294967296 - 2147483648 + 2147483648) & 4294967295) - 2147483648, 1::BIGINT)"
+
+
 # ---- flagship: graphs to bucket vectors ------------------------------------------------------
 
 _S_FE10 = f"""{S_GRAPH}, h AS (SELECT name, ({s_hash("name")}) % 1024 AS bucket FROM (SELECT DISTINCT name FROM v)),
@@ -289,20 +301,31 @@ def sim5_token_edit(spark, d):
     return pairs.upper_pairs(x, "user_id", ["tokens"], block="block").select(F.col("user_id_a").alias("a"), F.col("user_id_b").alias("b"), r6(similarity.token_edit_similarity(F.col("tokens_a"), F.col("tokens_b")), "sim"))
 
 
-@query()
+@query(f"""WITH {S_VEC}, {s_planes(64, 256, 3, 0.0)} SELECT a.id AS a, b.id AS b, round(1 - len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2])) / 256, 6) AS estimate,
+ round(1 - acos(greatest(-1.0, least(1.0, {S_DOT} / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))))) / pi(), 6) AS exact FROM p a JOIN p b ON a.label = b.label AND a.id < b.id JOIN b x ON x.id = a.id JOIN b y ON y.id = b.id""")
 def sk4_sk5_fe7_hyperplanes(spark, d):
-    """Angle similarity by random planes beside the exact one; random, so it has no SQL."""
+    """Angle similarity by random planes beside the exact one."""
     sig = sketches.hyperplane_words(sketches.planes(64, 256, 3, 0.0))
     x = pairs.upper_pairs(unit_vectors(spark, d).withColumn("sig", sig("v")), "id", ["v", "sig"], block="label")
     return x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), r6(sketches.angle_similarity(F.col("sig_a"), F.col("sig_b"), 256), "estimate"), r6(1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity.cosine(F.col("v_a"), F.col("v_b"))))) / np.pi, "exact"))
 
 
-@query()
+# the IEEE bits of a component come from its exponent and mantissa
+_S_BITS = """c AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM embeddings), e0 AS (SELECT *, floor(log2(abs(x)))::INT AS e FROM c),
+e1 AS (SELECT id, k, x, CASE WHEN abs(x) / pow(2.0, e) >= 2 THEN e + 1 WHEN abs(x) / pow(2.0, e) < 1 THEN e - 1 ELSE e END AS e FROM e0),
+raw AS (SELECT id, k, (CASE WHEN x < 0 THEN 9223372036854775808::HUGEINT ELSE 0 END + (e + 1023)::HUGEINT * 4503599627370496 + ((abs(x) / pow(2.0, e) - 1) * 4503599627370496)::HUGEINT)::UBIGINT AS r FROM e1),
+bit AS (SELECT id, k, j, ((r >> j) & 1)::INT AS b FROM raw, (SELECT unnest(range(64))::UBIGINT AS j)),
+v16 AS (SELECT id, i, sum(2 * b - 1) AS v FROM (SELECT id, k, j % 16 AS i, sum(b) % 2 AS b FROM bit GROUP BY ALL) GROUP BY ALL), v64 AS (SELECT id, j AS i, sum(2 * b - 1) AS v FROM bit GROUP BY ALL),
+s16 AS (SELECT id, sum(CASE WHEN v >= 0 THEN pow(2, i) ELSE 0 END)::BIGINT AS simhash16 FROM v16 GROUP BY id), s64 AS (SELECT id, sum(CASE WHEN v >= 0 THEN 1::HUGEINT << i::INT ELSE 0 END) AS h FROM v64 GROUP BY id)"""
+
+
+@query(f"WITH {_S_BITS} SELECT id, simhash16, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS simhash64 FROM s16 JOIN s64 USING (id)")
 def sk6_sk7_ag13_simhash(spark, d):
     return unit_vectors(spark, d).select("id", sketches.simhash(16)("v").alias("simhash16"), sketches.simhash(64)("v").alias("simhash64"))
 
 
-@query()
+@query(f"""WITH {S_VEC}, {s_planes(64, 128, 3)}, n AS (SELECT id, list_transform(range(8), lambda i: list_sum(list_transform(range(16), lambda j: bits[(16 * i + j + 1)::INT] * (1 << j::INT)))::BIGINT) AS bands FROM b)
+SELECT id, ({S_ARRAY_HASH.format(x="bands")} % 1024)::INT AS bucket, array_to_string(list_transform(range(8), lambda i: i || ':' || ({S_ARRAY_HASH.format(x="[bands[(i + 1)::INT]]")} % 1024)), ',') AS banded FROM n""")
 def sk9_so5_cosine_buckets(spark, d):
     sig = sketches.hyperplane_words(sketches.planes(64, 128, 3))
     x = unit_vectors(spark, d).withColumn("sig", sig("v"))
@@ -463,9 +486,24 @@ def src4_prj7_transactions(spark, d):
     return listing.transactions(listing_lines(spark, d), "opcode").groupBy(F.col("items")[0].alias("item")).agg(F.count("*").alias("n"))
 
 
-@query()
+# lines are cut at markers into islands; an island opens a function if its marker begins one, or ends one that holds something
+_S_FUNCS = _S_LINES + r""",
+lm AS (SELECT ln."binary", line_no, nullif(regexp_extract(value, '^.text:[0-9A-Fa-f]+\s+(sub_[0-9A-Fa-f]+)\s+proc\s+near.*$', 1), '') AS beg, regexp_matches(value, '^.text:[0-9A-Fa-f]+\s+sub_[0-9A-Fa-f]+\s+endp.*$') AS en,
+ nullif(regexp_extract(value, '^.text:[0-9A-Fa-f]+\s+(loc_[0-9A-Fa-f]+):\s+;\s+.*$', 1), '') AS lab, asm, opcode, operand FROM ln LEFT JOIN (SELECT * FROM ins WHERE asm <> 'db') USING ("binary", line_no)),
+isl AS (SELECT *, beg IS NOT NULL OR en AS mark, sum((beg IS NOT NULL OR en)::INT) OVER (PARTITION BY "binary" ORDER BY line_no) AS island FROM lm),
+ih AS (SELECT "binary", island, max(beg) AS beg, bool_or(asm IS NOT NULL AND NOT mark) AS has, bool_or(NOT mark) AS lines FROM isl GROUP BY ALL),
+ic AS (SELECT *, lag(has) OVER w IS NULL AS first, sum((beg IS NOT NULL OR coalesce(lag_has, true))::INT) OVER w AS fn FROM (SELECT *, lag(has) OVER (PARTITION BY "binary" ORDER BY island) AS lag_has FROM ih) WINDOW w AS (PARTITION BY "binary" ORDER BY island)),
+fi AS (SELECT "binary", fn, max(beg) AS beg, bool_or(first) AS first, bool_or(lines) AS lines FROM ic GROUP BY ALL),
+fm AS (SELECT *, coalesce(beg, 'unamed_function_' || (1 + sum((beg IS NULL AND NOT first AND lines)::INT) OVER (PARTITION BY "binary" ORDER BY fn))) AS name FROM fi),
+fl AS (SELECT isl.*, ic.fn FROM isl JOIN ic USING ("binary", island)),
+fg AS (SELECT "binary", fn, count(DISTINCT lab) FILTER (NOT mark AND asm IS NULL) AS aliases, count(*) FILTER (NOT mark AND lower(asm) = 'call' AND operand IS NOT NULL) AS called, count(*) FILTER (NOT mark AND asm IS NOT NULL) AS instructions,
+ list({'asm': asm, 'opcode': opcode} ORDER BY line_no) FILTER (NOT mark AND asm IS NOT NULL) AS code FROM fl GROUP BY ALL),
+fns AS (SELECT "binary", (row_number() OVER (PARTITION BY "binary" ORDER BY fn) - 1)::INT AS fn_id, name, aliases::INT AS aliases, called::INT AS called, instructions::INT AS instructions, code, fn FROM fg JOIN fm USING ("binary", fn) WHERE instructions > 0)"""
+
+
+@query(f'WITH {_S_FUNCS} SELECT "binary", fn_id, name, aliases, called, instructions FROM fns')
 def src5_prj4_prj5_wn2_functions(spark, d):
-    """Sessionised functions; a state machine in the tests holds their result."""
+    """Sessionised functions; a brute force in the tests holds odd cases."""
     f = listing.functions(listing_lines(spark, d))
     return f.select("binary", "fn_id", "name", F.size("aliases").alias("aliases"), F.size("called").alias("called"), F.size("instructions").alias("instructions"))
 
@@ -481,7 +519,18 @@ def e9_vocabulary(spark, d):
     return programs.ngram_vocabulary(listing_lines(spark, d))
 
 
-@query()
+def s_sequences(rows: str, share: str) -> str:
+    """two and three: frequent sequences of up to three tokens in each key's list, from rows (k, token, pos)."""
+    return f"""s AS ({rows}), n AS (SELECT k, count(*) AS n FROM s GROUP BY ALL), one AS (SELECT k, token, min(pos) AS p, count(*) AS c FROM s GROUP BY ALL), f AS (SELECT one.*, n FROM one JOIN n USING (k) WHERE c >= ceil(n * {share})),
+two AS (SELECT a.k, a.token AS t1, b.token AS t2, min(s.pos) AS p, count(*) AS c, any_value(a.n) AS n FROM f a JOIN f b ON a.k = b.k JOIN s ON s.k = a.k AND s.token = b.token AND s.pos > a.p GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * {share})),
+three AS (SELECT a.k, a.t1, a.t2, b.token AS t3, count(*) AS c, any_value(a.n) AS n FROM two a JOIN f b ON a.k = b.k JOIN s ON s.k = a.k AND s.token = b.token AND s.pos > a.p WHERE EXISTS (SELECT 1 FROM two q WHERE q.k = a.k AND q.t1 = a.t1 AND q.t2 = b.token) GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * {share})),
+sq AS (SELECT k, t1 || '>' || t2 AS entry, c / n AS support FROM two UNION ALL SELECT k, t1 || '>' || t2 || '>' || t3, c / n FROM three)"""
+
+
+_S_ASM = """SELECT "binary" AS k, asm AS token, row_number() OVER (PARTITION BY "binary" ORDER BY line_no) - 1 AS pos FROM ins WHERE asm <> 'db'"""
+
+
+@query(f'WITH {_S_LINES}, {s_sequences(_S_ASM, "0.2")} SELECT DISTINCT k AS "binary", entry, 1 AS value FROM sq')
 def e7_fe11_sequence_indicators(spark, d):
     return programs.sequence_indicators(programs.frequent_sequences(listing_lines(spark, d), "asm", 0.2))
 
@@ -535,13 +584,18 @@ def baskets(spark, d) -> DataFrame:
     return t(spark, d, "lineitem").join(p, "l_partkey").groupBy(F.col("l_orderkey").alias("tx_id")).agg(F.array_sort(F.collect_set("p_type")).alias("items"))
 
 
-_S_BASKETS = """i AS (SELECT DISTINCT l_orderkey AS tx, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT tx) AS n FROM i),
-l1 AS (SELECT [item] AS itemset, count(*) AS support FROM i GROUP BY item HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
-l2 AS (SELECT [a.item, b.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item GROUP BY ALL HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
-l3 AS (SELECT [a.item, b.item, c.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item JOIN i c ON c.tx = a.tx AND b.item < c.item GROUP BY ALL HAVING count(*) >= ceil((SELECT n FROM n) * 0.2)),
+def s_baskets(share: str) -> str:
+    least = f"ceil((SELECT n FROM n) * {share})"
+    return f"""i AS (SELECT DISTINCT l_orderkey AS tx, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT tx) AS n FROM i),
+l1 AS (SELECT [item] AS itemset, count(*) AS support FROM i GROUP BY item HAVING count(*) >= {least}),
+l2 AS (SELECT [a.item, b.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item GROUP BY ALL HAVING count(*) >= {least}),
+l3 AS (SELECT [a.item, b.item, c.item] AS itemset, count(*) AS support FROM i a JOIN i b ON a.tx = b.tx AND a.item < b.item JOIN i c ON c.tx = a.tx AND b.item < c.item GROUP BY ALL HAVING count(*) >= {least}),
 al AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"""
 
 
+_S_BASKETS = s_baskets("0.2")
+
+
 @query(f"WITH {_S_BASKETS} SELECT array_to_string(itemset, ',') AS itemset, support FROM al")
 def pm1_pm2_pm3_pm4_jn10_jn11_jn12_apriori(spark, d):
     levels = mining.apriori_levels(baskets(spark, d), 0.2, 3)
@@ -556,17 +610,17 @@ def pm1_level_two(spark, d):
     return mining.apriori(baskets(spark, d), 0.2, 2).select(F.array_join("itemset", ",").alias("itemset"), "support")
 
 
-@query(f"""WITH {_S_BASKETS}, r AS (SELECT l3.itemset, l3.support, l2.itemset AS consequent, list_filter(l3.itemset, lambda x: NOT list_contains(l2.itemset, x)) AS antecedent FROM l3 JOIN l2 ON list_has_all(l3.itemset, l2.itemset))
-SELECT array_to_string(r.antecedent, ',') AS antecedent, array_to_string(r.consequent, ',') AS consequent, round(r.support / al.support, 6) AS confidence FROM r JOIN al ON al.itemset = r.antecedent WHERE r.support / al.support >= 0.3""")
+@query(f"""WITH {s_baskets("0.1")}, r AS (SELECT a.itemset, a.support, c.itemset AS consequent, list_filter(a.itemset, lambda x: NOT list_contains(c.itemset, x)) AS antecedent, len(a.itemset) = 3 AND len(c.itemset) = 2 AS deepest FROM al a JOIN al c ON list_has_all(a.itemset, c.itemset) AND len(c.itemset) < len(a.itemset))
+SELECT array_to_string(r.antecedent, ',') AS antecedent, array_to_string(r.consequent, ',') AS consequent, round(r.support / al.support, 6) AS confidence, deepest FROM r JOIN al ON al.itemset = r.antecedent WHERE r.support / al.support >= 0.2""")
 def pm5_pm6_so2_jn15_rules(spark, d):
-    levels = mining.apriori_levels(baskets(spark, d), 0.2, 3)
-    return mining.rules(levels, 0.3).select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), r6("confidence"))
+    """Rules of the deepest level with consequents of two items, and those of all levels."""
+    levels = mining.apriori_levels(baskets(spark, d), 0.1)
+    found, deepest = mining.rules(levels, 0.2, least=1, deepest=False), mining.rules(levels, 0.2).select("antecedent", "consequent").withColumn("deepest", F.lit(True))
+    out = found.join(deepest, ["antecedent", "consequent"], "left")
+    return out.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), r6("confidence"), F.coalesce("deepest", F.lit(False)).alias("deepest"))
 
 
-@query(f"""WITH {S_TOKENS}, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY ALL), one AS (SELECT user_id, token, min(pos) AS p, count(*) AS c FROM s GROUP BY ALL), k AS (SELECT one.*, n FROM one JOIN n USING (user_id) WHERE c >= ceil(n * 0.15)),
-two AS (SELECT a.user_id, a.token AS t1, b.token AS t2, min(s.pos) AS p, count(*) AS c, any_value(a.n) AS n FROM k a JOIN k b ON a.user_id = b.user_id JOIN s ON s.user_id = a.user_id AND s.token = b.token AND s.pos > a.p GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * 0.15)),
-three AS (SELECT a.user_id, a.t1, a.t2, b.token AS t3, count(*) AS c, any_value(a.n) AS n FROM two a JOIN k b ON a.user_id = b.user_id JOIN s ON s.user_id = a.user_id AND s.token = b.token AND s.pos > a.p WHERE EXISTS (SELECT 1 FROM two q WHERE q.user_id = a.user_id AND q.t1 = a.t1 AND q.t2 = b.token) GROUP BY ALL HAVING count(*) >= ceil(any_value(a.n) * 0.15))
-SELECT user_id, t1 || '>' || t2 AS sequence, round(c / n, 6) AS support FROM two UNION ALL SELECT user_id, t1 || '>' || t2 || '>' || t3, round(c / n, 6) FROM three""")
+@query(f"WITH {s_sequences('SELECT user_id AS k, event_type AS token, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events', '0.15')} SELECT k AS user_id, entry AS sequence, round(support, 6) AS support FROM sq")
 def pm7_pm8_pm9_pm10_pm12_spam(spark, d):
     found = mining.spam(mining.positions(streams(spark, d), "user_id", "pos", "token"), "user_id", "token", 0.15, most=3)
     return found.select("user_id", mining.sequence_name(F.col("sequence")).alias("sequence"), r6("support"))
@@ -641,7 +695,14 @@ def _near_balances(spark, d):
     return a.join(b, "k").select("k", "a", "b", (-F.abs(F.col("x") - F.col("y"))).alias("score"))
 
 
-@query()
+#: Rounds of pairs that are best for both ends, until no pair is left: the greedy matching. From candidates g (k, a, b, score).
+_S_HIT = "row_number() OVER (PARTITION BY k, a ORDER BY score DESC, a, b) = 1 AND row_number() OVER (PARTITION BY k, b ORDER BY score DESC, a, b) = 1 AS hit"
+S_GREEDY = f"""gr AS (SELECT k, a, b, score, {_S_HIT} FROM g
+ UNION ALL SELECT k, a, b, score, {_S_HIT} FROM (SELECT *, bool_or(hit) OVER (PARTITION BY k, a) AS x, bool_or(hit) OVER (PARTITION BY k, b) AS y FROM gr) WHERE NOT x AND NOT y)"""
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT c_nationkey AS k, c_custkey AS a, round(c_acctbal, 2) AS x FROM customer), y AS (SELECT s_nationkey AS k, s_suppkey AS b, round(s_acctbal, 2) AS y FROM supplier), g AS (SELECT k, a, b, -abs(x - y) AS score FROM x JOIN y USING (k)),
+{S_GREEDY} SELECT k, a, b, round(score, 6) AS score FROM gr WHERE hit""")
 def jn8_greedy_match(spark, d):
     return pairs.greedy_match(_near_balances(spark, d), ["k"], "a", "b", "score").select("k", "a", "b", r6("score"))
 
@@ -683,20 +744,126 @@ def cl11_so4_members(spark, d):
     return clustering.members(clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d))).select("cluster", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
-@query()
+def s_lloyd(name: str, points: str, start: str, rounds: int = 100) -> str:
+    """name_a (id, cluster, d): points after so many rounds of k-means, which is beyond the last change. start: (cluster, m)."""
+    near = lambda where: f"SELECT c.i, p.id, p.v, min({{'d': list_distance(p.v, c.m), 'c': c.cluster}}) AS b FROM {points} p, {name} c WHERE {where} GROUP BY ALL"
+    return f"""{name} AS (SELECT 0 AS i, cluster, m FROM ({start})
+ UNION ALL SELECT i + 1, cluster, list(x ORDER BY pos) FROM (SELECT i, cluster, pos, avg(x) AS x FROM (SELECT i, b.c AS cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ({near(f"c.i < {rounds}")})) GROUP BY ALL) GROUP BY ALL),
+{name}_a AS (SELECT id, b.c::INT AS cluster, b.d AS d FROM ({near(f"c.i = {rounds}")}))"""
+
+
+@query(f"""WITH RECURSIVE {S_VEC}, {s_lloyd("it", "p", "SELECT id::INT AS cluster, v AS m FROM p WHERE id < 8")} SELECT id, cluster, round(d, 6) AS d FROM it_a""")
 def cl1_kmeans(spark, d):
-    return clustering.kmeans(unit_vectors(spark, d), 10, start=_fixed_centroids(spark, d), most=20)[0].select("id", "cluster", r6("d"))
+    return clustering.kmeans(unit_vectors(spark, d), 8, start=_fixed_centroids(spark, d))[0].select("id", "cluster", r6("d"))
 
 
-@query()
-def cl2_cl3_bisecting(spark, d):
-    return clustering.bisecting(unit_vectors(spark, d).select("id", "v"), 4, 1).select("id", "cluster")
+def s_bisected(points: str, k: int, trials: int) -> str:
+    """a{k - 1} (id, v, cluster), and w{n}: the cluster that split n takes, with its value; splits by the largest sum of squares."""
+    out = [f"a0 AS (SELECT id, v, 0 AS cluster FROM {points})"]
+    for n in range(1, k):
+        out.append(f"""c{n} AS (SELECT cluster, list(x ORDER BY pos) AS m FROM (SELECT cluster, pos, avg(x) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{n - 1}) GROUP BY ALL) GROUP BY cluster),
+w{n} AS (SELECT cluster, sum(list_distance(v, m) ** 2) AS sse FROM a{n - 1} JOIN c{n} USING (cluster) GROUP BY cluster HAVING count(*) > 1 ORDER BY sse DESC, cluster LIMIT 1),
+q{n} AS (SELECT id, v FROM a{n - 1} WHERE cluster = (SELECT cluster FROM w{n}))""")
+        for t in range(trials):
+            start = f"SELECT row_number() OVER (ORDER BY md5('{n * 100 + t}:' || id), id)::INT - 1 AS cluster, v AS m FROM q{n} QUALIFY cluster < 2"
+            out.append(s_lloyd(f"h{n}_{t}", f"q{n}", start, 60))
+        scores = " UNION ALL ".join(f"SELECT {t} AS t, sum(d * d) AS s FROM h{n}_{t}_a" for t in range(trials))
+        moved = " UNION ALL ".join(f"SELECT {t} AS t, id FROM h{n}_{t}_a WHERE cluster = 1" for t in range(trials))
+        out.append(f"b{n} AS (SELECT t FROM ({scores}) ORDER BY s, t LIMIT 1), a{n} AS (SELECT id, v, CASE WHEN id IN (SELECT id FROM ({moved}) WHERE t = (SELECT t FROM b{n})) THEN {n} ELSE cluster END AS cluster FROM a{n - 1})")
+    return ",\n".join(out)
 
 
-@query()
+@query(f"WITH RECURSIVE {S_VEC}, {s_bisected('p', 4, 3)} SELECT id, cluster::INT AS cluster FROM a3")
+def cl2_bisecting(spark, d):
+    return clustering.bisecting(unit_vectors(spark, d).select("id", "v"), 4).select("id", "cluster")
+
+
+def nation_points(spark, d) -> DataFrame:
+    """(id, v): nations by how many customers they have in each segment, and their balances."""
+    c = t(spark, d, "customer")
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]
+    counts = [F.count(F.when(F.col("c_mktsegment") == x, 1)).cast("double") for x in segments]
+    return c.groupBy(F.col("c_nationkey").alias("id")).agg(F.array(*counts, F.round(F.sum("c_acctbal") / 10000, 4)).alias("v"))
+
+
+S_NATIONS = """sg AS (SELECT DISTINCT c_mktsegment AS s FROM customer), p AS (SELECT id, list_append(list(n ORDER BY s), any_value(b)) AS v FROM (SELECT id, s, count(c_custkey)::DOUBLE AS n FROM (SELECT DISTINCT c_nationkey AS id FROM customer), sg LEFT JOIN customer ON c_nationkey = id AND c_mktsegment = s GROUP BY ALL)
+ JOIN (SELECT c_nationkey AS id, round(sum(c_acctbal) / 10000, 4) AS b FROM customer GROUP BY ALL) USING (id) GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {S_NATIONS}, {s_bisected('p', 6, 3)} " + " UNION ALL ".join(f"SELECT {n} AS split, round(sse, 6) AS height FROM w{n}" for n in range(1, 6)))
+def cl3_cut_heights(spark, d):
+    cuts: list[float] = []
+    clustering.bisecting(nation_points(spark, d), 6, cuts=cuts)
+    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(cuts)], "split int, height double").select("split", r6("height"))
+
+
+_S_MEDOIDS = f"""f AS (SELECT id, other, d FROM d UNION ALL SELECT id, id, 0.0 FROM p),
+it AS (SELECT 0 AS i, (row_number() OVER (ORDER BY md5('0:' || id), id) - 1)::INT AS c, id AS m FROM p QUALIFY c < 8
+ UNION ALL SELECT i + 1, c, min({{'cost': cost, 'id': id}}).id FROM (SELECT x.i, x.b.c AS c, x.id, sum(f.d) AS cost FROM (SELECT it.i, f.id, min({{'d': f.d, 'c': it.c}}) AS b FROM it JOIN f ON f.other = it.m WHERE it.i < 40 GROUP BY ALL) x
+  JOIN f ON f.id = x.id JOIN (SELECT f.id, min({{'d': f.d, 'c': it.c}}) AS b FROM it JOIN f ON f.other = it.m GROUP BY ALL) y ON y.id = f.other AND y.b.c = x.b.c GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {S_PAIRS}, {_S_MEDOIDS} SELECT id, b.c AS cluster, round(b.d, 6) AS d FROM (SELECT f.id, min({{'d': f.d, 'c': it.c}}) AS b FROM it JOIN f ON f.other = it.m WHERE it.i = 40 GROUP BY ALL)")
 def cl4_cl5_cl9_kmedoids(spark, d):
     ids = unit_vectors(spark, d).select("id")
-    return clustering.kmedoids(vector_distances(spark, d), ids, 8, most=20)[0].select("id", "cluster", r6("d"))
+    return clustering.kmedoids(vector_distances(spark, d), ids, 8)[0].select("id", "cluster", r6("d"))
+
+
+@query(f"""WITH {_S_ASSIGN}, qs AS (SELECT cluster, sum(d * d) AS sse, count(*) AS n FROM asg GROUP BY ALL), m AS (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM asg) GROUP BY ALL), z AS (SELECT cluster, sum(m * m) AS c FROM m GROUP BY ALL)
+SELECT 'sse' AS by, (SELECT cluster FROM qs ORDER BY sse DESC, cluster LIMIT 1) AS cluster UNION ALL SELECT 'size', (SELECT cluster FROM qs ORDER BY n DESC, cluster LIMIT 1) UNION ALL SELECT 'cosine', (SELECT cluster FROM z ORDER BY c, cluster LIMIT 1)""")
+def tk4_priority_picks(spark, d):
+    """The cluster that a split takes next, by each order."""
+    a = clustering.assigned(unit_vectors(spark, d), _fixed_centroids(spark, d))
+    stats = clustering.sse(a).join(clustering.average_cosine(clustering.centroids_of(a)), "cluster")
+    picks = [pairs.pick(stats, order, "cluster").select(F.lit(name).alias("by"), "cluster") for name, order in (("sse", F.desc("sse")), ("size", F.desc("n")), ("cosine", F.asc("avg_cos")))]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2])
+
+
+def s_merged(link: str, k: int, points: str = "p") -> str:
+    """{link}_m (i, a, b, h): merge i of cluster b into a, a < b, at height h, until k are left; {link}_r (id, root): each point's cluster.
+
+    Links on distances keep distances of clusters; the others keep sums of inner products, which
+    add up when clusters merge, and the diagonal with them.
+    """
+    n = f"(SELECT count(*) FROM {points})"
+    linked = link in clustering.LINKS
+    unit = f"(SELECT id, list_transform(v, lambda x: x / {{}}) AS v FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM {points}))".format("l" if link != "centroid" else "1.0")
+    height = {"intra": "(x.s + y.s + 2 * p.s - (p.na + p.nb)) / ((p.na + p.nb) * (p.na + p.nb - 1))", "centroid": "p.s / sqrt(x.s * y.s)", "upgma": "p.s / (p.na * p.nb)"}
+    join = {"single": "least(r.s, o.s)", "complete": "greatest(r.s, o.s)", "average": "(g.na * {} + g.nb * {}) / (g.na + g.nb)"}
+    t = f"{link}_t"
+    if linked:
+        first = f"SELECT 0 AS i, a.id::INT AS a, b.id::INT AS b, {S_DIST} AS s, 1 AS na, 1 AS nb FROM {points} a, {points} b WHERE a.id <> b.id"
+        best = f"SELECT i, min({{'h': s, 'a': a, 'b': b, 'na': na, 'nb': nb}}) AS g FROM {t} WHERE a < b GROUP BY i"
+        new = join[link] if link != "average" else "(g.g.na * CASE WHEN r.a = g.g.a OR r.b = g.g.a THEN r.s END + g.g.nb * o.s) / (g.g.na + g.g.nb)"
+        step = f"""SELECT r.i + 1, r.a, r.b, CASE WHEN r.a = g.g.a OR r.b = g.g.a THEN {new} ELSE r.s END, CASE WHEN r.a = g.g.a THEN g.g.na + g.g.nb ELSE r.na END, CASE WHEN r.b = g.g.a THEN g.g.na + g.g.nb ELSE r.nb END
+ FROM {t} r JOIN ({best}) g ON r.a <> g.g.b AND r.b <> g.g.b AND r.i < {n} - {k} - 1 LEFT JOIN {t} o ON o.a = g.g.b AND o.b = CASE WHEN r.a = g.g.a THEN r.b WHEN r.b = g.g.a THEN r.a END"""
+        merges = f"SELECT i, g.a AS a, g.b AS b, g.h AS h FROM ({best})"
+    else:
+        first = f"SELECT 0 AS i, a.id::INT AS a, b.id::INT AS b, {S_DOT} AS s, 1 AS na, 1 AS nb FROM {unit} a, {unit} b"
+        best = f"SELECT p.i, min({{'h': -({height[link]}), 'a': p.a, 'b': p.b, 'na': p.na, 'nb': p.nb}}) AS g FROM {t} p JOIN {t} x ON x.i = p.i AND x.a = p.a AND x.b = p.a JOIN {t} y ON y.i = p.i AND y.a = p.b AND y.b = p.b WHERE p.a < p.b GROUP BY p.i"
+        step = f"""SELECT r.i + 1, r.a, r.b, r.s + coalesce(o.s, 0) + coalesce(q.s, 0) + CASE WHEN r.a = g.g.a AND r.b = g.g.a THEN u.s ELSE 0 END, CASE WHEN r.a = g.g.a THEN g.g.na + g.g.nb ELSE r.na END, CASE WHEN r.b = g.g.a THEN g.g.na + g.g.nb ELSE r.nb END
+ FROM {t} r JOIN ({best}) g ON r.a <> g.g.b AND r.b <> g.g.b AND r.i < {n} - {k} - 1 LEFT JOIN {t} o ON r.a = g.g.a AND o.a = g.g.b AND o.b = r.b LEFT JOIN {t} q ON r.b = g.g.a AND q.a = r.a AND q.b = g.g.b JOIN {t} u ON u.a = g.g.b AND u.b = g.g.b"""
+        merges = f"SELECT i, g.a AS a, g.b AS b, -g.h AS h FROM ({best})"
+    return f"""{t} AS ({first} UNION ALL {step}), {link}_m AS ({merges}),
+{link}_r AS (SELECT id, id::INT AS root, 0 AS n FROM {points} UNION ALL SELECT id, m.a, n + 1 FROM {link}_r JOIN {link}_m m ON m.b = root)"""
+
+
+_LINKS = clustering.LINKS + clustering.CENTRES
+
+
+@query(f"WITH RECURSIVE {S_NATIONS}, " + ",\n".join(s_merged(x, 5) for x in _LINKS) + " " + " UNION ALL ".join(f"SELECT '{x}' AS link, id, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster FROM (SELECT id, arg_max(root, n) AS root FROM {x}_r GROUP BY id)" for x in _LINKS))
+def cl6_agglomerative_links(spark, d):
+    """Nations in five clusters, by each link."""
+    p = cut(nation_points(spark, d), "points")
+    out = [clustering.agglomerative(p, 5, x)[0].select(F.lit(x).alias("link"), F.col("id").cast("int").alias("id"), F.col("cluster").cast("int").alias("cluster")) for x in _LINKS]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query(f"WITH RECURSIVE {S_NATIONS}, " + ",\n".join(s_merged(x, 5) for x in _LINKS) + " " + " UNION ALL ".join(f"SELECT '{x}' AS link, i::INT AS step, round(h, 6) AS height FROM {x}_m" for x in _LINKS))
+def cl7_merge_heights(spark, d):
+    p = cut(nation_points(spark, d), "points")
+    rows = [(x, i, float(h)) for x in _LINKS for i, h in enumerate(clustering.agglomerative(p, 5, x)[1])]
+    return spark.createDataFrame(rows, "link string, step int, height double").select("link", "step", r6("height"))
 
 
 @query()
@@ -779,12 +946,22 @@ def ev7_ag14_confusion(spark, d):
     return evaluation.confusion(evaluation.by_cluster(_clusters(spark, d)), [str(i) for i in range(10)])
 
 
-@query()
+_S_EDIT = f"""{S_LISTS}, {_s_grams(2, ",", True)}, k AS (SELECT t, chr((64 + row_number() OVER (ORDER BY t))::INT) AS c FROM (SELECT DISTINCT event_type AS t FROM events)),
+h AS (SELECT user_id, list_distinct(list(({s_md5("ngram")}) % 256)) AS f FROM g GROUP BY user_id),
+x AS (SELECT user_id, (user_id % 10)::VARCHAR AS class, len(tokens) AS n, (SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest(tokens) AS t, unnest(range(len(tokens))) AS i) JOIN k USING (t)) AS s, f FROM l LEFT JOIN h USING (user_id)),
+ev AS (SELECT a.class AS class1, b.class AS class2, 1 - levenshtein(a.s, b.s) / greatest(a.n, b.n) AS edit, coalesce(len(list_intersect(a.f, b.f)) / nullif(len(list_distinct(list_concat(a.f, b.f))), 0), 1) AS other FROM x a JOIN x b ON a.class <> b.class)"""
+
+
+@query(f"WITH {_S_EDIT} SELECT class1, class2, round(edit, 6) AS edit, round(other, 6) AS other FROM ev")
 def ev10_jn7_e10_edit_versus_sketch(spark, d):
+    return edit_rows(spark, d).select("class1", "class2", r6("edit"), r6("other"))
+
+
+def edit_rows(spark, d) -> DataFrame:
     """Exact token edit similarity beside the Jaccard similarity of hashed sets, for functions (users' streams) of different graphs (a tenth of the users each)."""
     v = token_lists(spark, d).select(F.format_string("g%d", F.col("user_id") % 10).alias("graph"), F.col("user_id").alias("id"), F.lit(graph.INTERNAL).alias("type"), F.transform("tokens", lambda x: F.struct(x.alias("asm"))).alias("instructions"), ngrams.hashed_set(ngrams.token_ngrams(F.col("tokens"), 2), 8).alias("features"))
     labels = v.select(F.col("graph").alias("id")).distinct().withColumn("class", F.substring("id", 2, 1))
-    return programs.edit_versus_sketch(v, labels).select("class1", "class2", r6("edit"), r6("other"))
+    return programs.edit_versus_sketch(v, labels)
 
 
 # ---- graph edit distance ---------------------------------------------------------------------
@@ -808,9 +985,38 @@ def ged5_ged6_ged7_ged8_mapping_cost(spark, d):
     return ged.mapping_cost(m, edges(1), edges(2), ["g1", "g2"]).withColumn("cost", r6("cost"))
 
 
-@query()
-def ged1_ged2_ged3_ged4_ged10_jn6_all_pairs(spark, d):
-    """Annealed distances of all pairs of graphs, with few proposals."""
-    v, e = user_graphs(spark, d)
-    packed = ged.packed(v.withColumn("features", F.lit(None).cast("array<bigint>")), e)
-    return sinks.distance_csv(ged.all_pairs(packed, lambda a, b: 0.0, rounds=3, proposals=10))
+def complete_graphs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A graph for each nation: its suppliers, Internal and alike within a nation, that all call each other. Every mapping of two such graphs has the same cost."""
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("graph"), (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("int").alias("id"), F.col("s_name").alias("name"), F.lit(graph.INTERNAL).alias("type"), F.col("s_nationkey").cast("long").alias("k"))
+    v = s.withColumn("features", F.array(*[F.col("k") % m for m in (2, 3, 4, 5)])).drop("k")
+    e = s.select("graph", F.col("id").alias("src")).join(s.select("graph", F.col("id").alias("dst")), "graph").where("src <> dst")
+    return v, e
+
+
+_S_COMPLETE = """n AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL), z AS (SELECT a.k::VARCHAR AS graph1, b.k::VARCHAR AS graph2, a.n AS n1, b.n AS n2, a.n * (a.n - 1) AS e1, b.n * (b.n - 1) AS e2,
+ ((a.k % 2 = b.k % 2)::INT + (a.k % 3 = b.k % 3)::INT + (a.k % 4 = b.k % 4)::INT + (a.k % 5 = b.k % 5)::INT) / 4 AS sim FROM n a JOIN n b ON a.k::VARCHAR < b.k::VARCHAR),
+ged AS (SELECT graph1, graph2, abs(n1 - n2) / greatest(n1, n2) + CASE WHEN e1 + e2 > 0 THEN abs(e1 - e2) / (e1 + e2) ELSE 0 END + least(n1, n2) * (1 - sim) / greatest(n1, n2) AS d, sim, n1, n2 FROM z)"""
+
+
+@query(f"WITH {_S_COMPLETE} SELECT graph1, graph2, round(d, 6) AS d FROM ged")
+def ged1_ged2_ged3_ged4_ged10_ged11_ud7_jn6_all_pairs(spark, d):
+    """Annealed distances of all pairs of graphs with the default effort and a MinHash matcher."""
+    return programs.all_pair_similarity(*complete_graphs(spark, d)).select("graph1", "graph2", r6("d"))
+
+
+@query(f"WITH {_S_COMPLETE} SELECT graph1, graph2, CASE WHEN sim >= 0.5 THEN CASE WHEN n1 = n2 THEN 0.0 ELSE 1.0 + (abs(n1 - n2) > 1)::INT END ELSE round(d, 6) END AS d FROM ged")
+def ged9_reduced_pairs(spark, d):
+    """The same after matching vertices whose similarity is 0.5 or more: what is left of two graphs lies on one side."""
+    return programs.all_pair_similarity(*complete_graphs(spark, d), threshold=0.5).select("graph1", "graph2", r6("d"))
+
+
+@query("""WITH n AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL), z AS (SELECT a.k AS k1, b.k AS k2, a.n AS n1, b.n AS n2, ((a.k % 2 = b.k % 2)::INT + (a.k % 3 = b.k % 3)::INT + (a.k % 4 = b.k % 4)::INT + (a.k % 5 = b.k % 5)::INT) / 4 >= 0.5 AS hit FROM n a JOIN n b ON a.k::VARCHAR < b.k::VARCHAR)
+SELECT k1::VARCHAR AS graph1, k2::VARCHAR AS graph2, CASE WHEN hit THEN least(n1, n2) ELSE 0 END AS matched, (CASE WHEN hit THEN n1 - least(n1, n2) ELSE n1 END)::BIGINT AS left1, (CASE WHEN hit THEN n2 - least(n1, n2) ELSE n2 END)::BIGINT AS left2 FROM z""")
+def ged9_gr13_jn8_reduction(spark, d):
+    v, e = complete_graphs(spark, d)
+    g = v.select("graph").distinct()
+    p = g.select(F.col("graph").alias("graph1")).join(g.select(F.col("graph").alias("graph2")), F.col("graph1") < F.col("graph2"))
+    match, left = ged.reduced(v, e, p, similarity.SIMILARITIES["minhash"], 0.5)
+    n = match.groupBy("graph1", "graph2").agg(F.count("*").alias("matched"))
+    rest = left.groupBy("graph1", "graph2").agg(F.count(F.when(F.col("side") == 1, 1)).alias("left1"), F.count(F.when(F.col("side") == 2, 1)).alias("left2"))
+    return p.join(n, ["graph1", "graph2"], "left").join(rest, ["graph1", "graph2"], "left").na.fill(0)

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+
+
 def get_session(app: str = "weftgraph", cores: int | str = "*", memory: str | None = None, shuffle: int | None = None) -> SparkSession:
     """A local session for tests and benches. On a cluster, settings given to spark-submit hold."""
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.enabled", "true")
@@ -49,9 +56,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def concurrently(jobs: dict[str, Callable[[], T]], most: int = 4) -> dict[str, T]:
+    """Results of jobs by name, at most so many submitted at a time, after all have ended; Spark's scheduler shares the cluster among them."""
+    with ThreadPoolExecutor(most) as pool:
+        running = {name: pool.submit(job) for name, job in jobs.items()}
+    return {name: x.result() for name, x in running.items()}
+
+
 def drop_table(df: DataFrame) -> None:
-    """Delete the files under a table from :func:`cut` that nothing reads any more."""
+    """Delete the files under a table from :func:`cut` that nothing reads any more; no other file is touched."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not re.search(r"/weftgraph/[^/]+-[0-9a-f]{32}$", folder):
+            raise ValueError(f"{folder} holds no table of a step")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

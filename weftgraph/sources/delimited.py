@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITER = r"[\s|,]+"
@@ -70,10 +70,11 @@ def masked_equal(left: str, right: str, names: list[str], mask: set[int]):
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(id, class) from a CSV with a header and quoted ids; of an id's rows the last one counts."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where("at > 0")
-    p = raw.select("at", F.split("line", ",").alias("p")).where(F.size("p") == 2)
-    rows = p.select("at", F.expr("substring(p[0], 2, length(p[0]) - 2)").alias("id"), F.trim(F.col("p")[1]).alias("class"))
+    """(id, class) from CSV files with a header and quoted ids; of an id's rows the last one counts, files in order of their names."""
+    raw = spark.read.option("header", True).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = raw.select(at.alias("at"), F.split("value", ",").alias("p")).where(F.size("p") == 2)
+    rows = rows.select("at", F.expr("substring(p[0], 2, length(p[0]) - 2)").alias("id"), F.trim(F.col("p")[1]).alias("class"))
     return rows.groupBy("id").agg(F.max_by("class", "at").alias("class"))
 
 
@@ -88,6 +89,14 @@ def distances(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame
     return raw.withColumn("d", F.col("d").try_cast("double")).where("d is not null")
 
 
+def files(spark: SparkSession, path: str, suffix: str | None = None, recursive: bool = False) -> DataFrame:
+    """(name, bytes): the files in a folder by suffix, all without one, and those below it if ``recursive``; contents aren't read."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if suffix:
+        r = r.option("pathGlobFilter", f"*{suffix}")
+    return r.load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+
+
 def raw_bytes(spark: SparkSession, path: str, suffix: str | None = None, recursive: bool = False) -> DataFrame:
     """(binary, content): one row a file."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -104,7 +113,3 @@ def sampled(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
 def first_by_name(df: DataFrame, name: str, n: int) -> DataFrame:
     """The first n distinct names' rows, exactly n; all if n is below 0."""
     return df if n < 0 else df.join(F.broadcast(df.select(name).distinct().orderBy(name).limit(n)), name)
-
-
-def numbered(df: DataFrame, by: str, name: str = "idx") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(by)) - 1)
