@@ -85,9 +85,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vafile": op10_vafile,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
+
+
+def _located(rows: str, pattern: str, lower: bool = False) -> str:
+    """(id, m, s, e): the matches of a pattern in rows (id, t) with their places: gaps between matches come from a split."""
+    return f"""SELECT id, m, (sum(len(g)) OVER w + sum(len(m)) OVER w - len(m))::BIGINT AS s, (sum(len(g)) OVER w + sum(len(m)) OVER w)::BIGINT AS e FROM (SELECT id, unnest(ms) AS m, unnest(string_split_regex(t, '{pattern}')[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (SELECT id, t, regexp_extract_all(t, '{pattern}') AS ms FROM {rows}) WHERE len(ms) > 0) WINDOW w AS (PARTITION BY id ORDER BY i)"""
+
+
+# The patterns of the kinds, as the contract states them.
+_KINDS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+_VALID = (
+    "true", "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0",
+    "len(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(len(n)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(n)[(i + 1)::INT]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse(n)[(i + 1)::INT]::INT + 1] END)) % 10 = 0", "len(n) BETWEEN 10 AND 15",
+)
+_BASE = " UNION ALL ".join(f"SELECT id, {k} AS k, s, e, m FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM ({_located('tx', pattern)})) WHERE {valid}" for k, (pattern, valid) in enumerate(zip(_KINDS, _VALID, strict=True)))
+_NAMED = "list_extract(['email', 'ip', 'card', 'phone', 'general', 'remove'], k + 1) || ':' || s || ':' || e"
+
 ORACLE: dict[str, str] = {
+    # texts are numbered, so that each counts once; shares are those of pii.revealing
+    "op5_pii": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), tx AS (SELECT t, min(doc_id) AS id FROM d GROUP BY t), b AS ({_BASE}),
+tm AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS term FROM tx), tt AS (SELECT * FROM tm WHERE len(term) BETWEEN 3 AND 40), n AS (SELECT count(*) AS n FROM tx), nt AS (SELECT term, count(*) AS n_t FROM tt GROUP BY ALL),
+h AS (SELECT DISTINCT id, k || ':' || lower(m) AS entity FROM b), ne AS (SELECT entity, count(*) AS n_e FROM h GROUP BY ALL), net AS (SELECT entity, term, count(*) AS n_et FROM h JOIN tt USING (id) GROUP BY ALL),
+sh AS (SELECT entity, term, ln(((n_et + n_t / n) / (n_e + {pii.PRIOR})) / (n_t / n)) / ln(greatest(n / n_e, 1.000000001)) AS share FROM net JOIN nt USING (term) JOIN ne USING (entity), n),
+best AS (SELECT id, term, max(share) AS share FROM h JOIN tt USING (id) JOIN sh USING (entity, term) GROUP BY ALL HAVING max(share) >= {pii.GENERALISE}),
+pl AS (SELECT o.id, CASE WHEN share >= {pii.REMOVE} THEN 5 ELSE 4 END AS k, s, e FROM ({_located('(SELECT * FROM tx WHERE id IN (SELECT id FROM best))', '[\p{L}\p{M}\p{N}]+')}) o JOIN best ON best.id = o.id AND best.term = lower(o.m)),
+al AS (SELECT id, k, s, e FROM b UNION ALL SELECT id, k, s, e FROM pl WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = pl.id AND b.s < pl.e AND pl.s < b.e)),
+r AS (SELECT id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, string_agg({_NAMED}, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg({_NAMED}, ',' ORDER BY s, k) AS spans FROM al GROUP BY id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d JOIN tx USING (t) LEFT JOIN r USING (id)""",
     "op7_mixing": f"""WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, (rank % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / (rank % 3 + 1) AS k FROM s),
@@ -100,6 +128,12 @@ g AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS gap FR
 n AS (SELECT *, abs(size - abs(gap)) AS miss, size > 0 AND abs(size - abs(gap)) < abs(gap) AND CASE WHEN gap > 0 THEN copies < 3 ELSE copies > 0 END AS can FROM g),
 b AS (SELECT *, can AND row_number() OVER (PARTITION BY source, can ORDER BY miss, offset_) = 1 AS chosen FROM n)
 SELECT doc_id, size, source_size, target::DOUBLE AS target, ((copies + CASE WHEN chosen THEN sign(gap) ELSE 0 END) * size)::BIGINT AS taken FROM b""",
+    "op8_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS grams FROM w),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 85 * (len(a.grams) + len(b.grams) - n)),
+reach AS (SELECT x, y FROM (SELECT x, y FROM links UNION SELECT y, x FROM links) UNION SELECT r.x, e.y FROM reach r JOIN (SELECT x, y FROM links UNION SELECT y, x FROM links) e ON e.x = r.y)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id, doc_id <= coalesce(least_id, doc_id) AS kept FROM s LEFT JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY x) ON x = doc_id""",
     "op9_chat": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 e AS (SELECT *, length(replace(replace(text, '', '\'), '<|', '<\|')) + length(replace(replace(replace(role, '', '\'), '<|', '<\|'), chr(10), '
