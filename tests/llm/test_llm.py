@@ -74,7 +74,7 @@ def test_forward_and_counts_equal_enumeration():
     rng = np.random.default_rng(0)
     s, k = 3, 5
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    first, move, emit = norm(rng.random(s)), norm(rng.random((s, s))), norm(rng.random((s, k)))
+    first, move, emit, shares = norm(rng.random(s)), norm(rng.random((s, s))), norm(rng.random((s, k))), norm(rng.random(s))
     seqs = [rng.integers(0, k, n).astype(np.int32) for n in (1, 4, 2, 5)]
 
     def paths(x):
@@ -87,12 +87,12 @@ def test_forward_and_counts_equal_enumeration():
             yield p, q
 
     exact = [math.log(sum(q for _, q in paths(x))) for x in seqs]
-    assert hmm.forward((first, move, emit), seqs) == pytest.approx(exact)
+    assert hmm.forward((first, move, emit, shares), seqs) == pytest.approx(exact)
     old = hmm.STATES
     hmm.STATES = s
     try:
-        (windows, lengths), = hmm._windows(seqs)
-        f, m, e, ll = hmm.expected((first, move, emit), windows, lengths)
+        (part,) = hmm._windows(seqs)
+        f, m, e, ll = hmm.expected((first, move, emit, shares), *part)
     finally:
         hmm.STATES = old
     f2, m2, e2 = np.zeros(s), np.zeros((s, s)), np.zeros((s, k))
@@ -107,6 +107,88 @@ def test_forward_and_counts_equal_enumeration():
     assert f == pytest.approx(f2) and m == pytest.approx(m2) and e == pytest.approx(e2) and ll == pytest.approx(sum(exact))
 
 
+def brute_windows(model, x):
+    """Counts of one text, token by token, in windows that share a token."""
+    first, move, emit, shares = model
+    f, m, e, ll = np.zeros(len(first)), np.zeros_like(move), np.zeros_like(emit), 0.0
+    for i in range(0, len(x), hmm.SPAN):
+        w, last = x[i : i + hmm.SPAN + 1], i + hmm.SPAN >= len(x)
+        alpha, scale = [], []
+        for t, o in enumerate(w):
+            a = (alpha[-1] @ move if t else first if i == 0 else shares) * emit[:, o]
+            scale.append(a.sum())
+            alpha.append(a / a.sum())
+        beta = np.ones(len(first))
+        for t in range(len(w) - 1, -1, -1):
+            if t < len(w) - 1:
+                onward = emit[:, w[t + 1]] * beta / scale[t + 1]
+                m += np.outer(alpha[t], onward) * move
+                beta = move @ onward
+            if last or t < len(w) - 1:
+                e[:, w[t]] += alpha[t] * beta
+                ll += math.log(scale[t])
+        f += alpha[0] * beta if i == 0 else 0
+    return f, m, e, ll
+
+
+def brute_scores(rows, rounds):
+    """Scores of all texts by a model of the same shape, trained in one place."""
+    toks = [(i, t.encode().lower().split() + [hmm.END]) for i, t in rows]
+    c = collections.Counter(w for i, ws in toks if fold(i) != 1 for w in ws)
+    top = sorted((w for w in c if w != hmm.END and len(w) <= hmm.LONGEST), key=lambda w: (-c[w], w))[: hmm.CLASSES - 1]
+    own = {hmm.END: 0} | {w: n + 1 for n, w in enumerate(top)}
+    class_of = lambda w: own.get(w, hmm.CLASSES + zlib.crc32(w[-3:]) % hmm.TAILS)
+    total, kinds = collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        total[class_of(w)] += n
+        kinds[class_of(w)] += 1
+    k = hmm.CLASSES + hmm.TAILS
+    prior = np.array([total[i] + hmm.SMOOTH if i < len(own) or i >= hmm.CLASSES else 0 for i in range(k)])
+    prior /= prior.sum()
+    model = hmm._start(prior)
+    texts = [np.array([class_of(w) for w in ws]) for _, ws in toks]
+    for _ in range(rounds):
+        f, m, e, _ = (sum(x) for x in zip(*(brute_windows(model, x) for (i, _), x in zip(toks, texts, strict=True) if fold(i) != 1), strict=True))
+        f, m, e = f + hmm.SMOOTH, m + hmm.SMOOTH, e + hmm.SMOOTH * prior * hmm.STATES + 1e-6
+        model = f / f.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True), e.sum(1) / e.sum()
+    out = []
+    for (i, ws), x in zip(toks, texts, strict=True):
+        a, score = model[0] * model[2][:, x[0]], 0.0
+        for t, o in enumerate(x):
+            a = a if t == 0 else (a @ model[1]) * model[2][:, o]
+            score += math.log10(a.sum())
+            a = a / a.sum()
+        score += sum(math.log10((c[w] + hmm.SMOOTH) / (total[class_of(w)] + hmm.SMOOTH * (kinds[class_of(w)] + 1))) for w in ws if w not in own)
+        out.append((str(i), len(ws), score))
+    return sorted(out)
+
+
+def test_scores_equal_a_model_trained_in_one_place(spark, docs, monkeypatch):
+    for name, size in (("CLASSES", 12), ("SALTS", 3)):  # so that many words are tails
+        monkeypatch.setattr(hmm, name, size)
+    rows = docs.select("doc_id", "text").where("doc_id is null or doc_id <> 35")
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in hmm.scored(rows, rounds=2).collect())
+    want = brute_scores(rows_of(rows), 2)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-6)
+
+
+def test_windows_count_every_token_and_move_once():
+    rng = np.random.default_rng(3)
+    k = 7
+    model = hmm._start(np.full(k, 1 / k))
+    texts = [rng.integers(0, k, n).astype(np.int32) for n in (1, 63, 64, 65, 128, 129, 500)]
+    got = [sum(x) for x in zip(*(hmm.expected(model, *part) for part in hmm._windows(texts)), strict=True)]
+    want = [sum(x) for x in zip(*(brute_windows(model, x) for x in texts), strict=True)]
+    assert all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+    assert got[0].sum() == pytest.approx(len(texts)) and got[1].sum() == pytest.approx(sum(len(x) - 1 for x in texts)) and got[2].sum() == pytest.approx(sum(map(len, texts)))
+
+
+def test_ids_of_large_dictionaries():
+    for top in (1, 255, 256, 1 << 16, 1 << 24, (1 << 24) + 5):
+        ids = np.array([0, top, top // 2], np.int32)
+        assert np.array_equal(hmm._unpack(hmm._pack(ids), 3), ids)
+
+
 def repeated(ws):
     at = collections.defaultdict(list)
     for i in range(len(ws) - 2):

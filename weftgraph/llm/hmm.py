@@ -7,13 +7,16 @@ over its words and one place for unseen words. Baum-Welch counts are summed acro
 over all training texts; the scaled forward recursion then gives each whole text's exact
 likelihood, end token included.
 
-Corpus counts are exact and grow with the corpus: texts are encoded once against small
-dictionaries, one for a run of texts, and only the dictionaries meet the corpus counts. Only
-the model, whose size is fixed, reaches the driver.
+Training reads texts in windows that share one token with the next: each move and each token is
+counted once, and a window within a text begins with the states' shares in the corpus, not as a
+text does. Corpus counts are exact and grow with the corpus: texts are encoded once against small
+dictionaries, one for a run of texts, and only the dictionaries meet the corpus counts, frequent
+words dealt to many tasks. Only the model, whose size is fixed, reaches the driver.
 
 Defined results: a null text is empty (its only token is the end); a null id belongs to the
-training texts; equal rows are scored alike, and each counts; an empty table gives an empty
-one; without training texts all counts are 0; other columns are ignored.
+training texts; a text of any length is one text, scored whole; words of equal counts are ranked
+by their bytes; equal rows are scored alike, and each counts; an empty table gives an empty one;
+without training texts all counts are 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from weftgraph.llm.common import drop_table, fold_of, record, slices, texts_of,
 
 #: Hidden states; words that are classes of their own (of at most LONGEST bytes); classes of the others; passes of Baum-Welch.
 STATES, CLASSES, LONGEST, TAILS, ROUNDS = 8, 4096, 64, 512, 5
-#: Tokens of a training window; added to counts; bytes of text that share a dictionary.
-SPAN, SMOOTH, RUN = 64, 0.5, 12 << 20
+#: Tokens of a training window; added to counts; bytes of text that share a dictionary; tasks that a frequent word's dictionary entries are dealt to.
+SPAN, SMOOTH, RUN, SALTS = 64, 0.5, 12 << 20, 64
 #: The end of a text as a dictionary entry: no word has a space.
 END = b" "
 
@@ -40,13 +43,14 @@ _CHUNK = "chunk long, words array<binary>, counts array<int>, doc_ids array<long
 
 
 def _pack(ids: np.ndarray) -> bytes:
-    """Local ids as compressed byte planes."""
-    return zlib.compress(b"".join((ids >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16)), 1)
+    """Local ids as compressed byte planes, as many as the largest id needs."""
+    planes = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
+    return zlib.compress(b"".join((ids >> (8 * i) & 255).astype(np.uint8).tobytes() for i in range(planes)), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(-1, n).astype(np.int32)
+    return sum(p << (8 * i) for i, p in enumerate(planes))
 
 
 def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,23 +96,23 @@ def _tail(word: Column) -> Column:
     return F.lit(CLASSES) + (F.crc32(F.substring(word, -3, 3)) % TAILS).cast("int")
 
 
-def _start(prior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Initial model: the class distribution, disturbed for each state."""
+def _start(prior: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Initial model (first states, moves, emissions, shares of states): the class distribution, disturbed for each state."""
     rng = np.random.default_rng(seed)
     emit = prior * np.exp(rng.normal(0, 1.0, (STATES, len(prior))))
     move = np.full((STATES, STATES), 0.2 / max(STATES - 1, 1))
     np.fill_diagonal(move, 0.8)
-    return np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True)
+    return np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True), np.full(STATES, 1 / STATES)
 
 
-def expected(model: tuple, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (first states, moves, emissions) and log-likelihood of windows of class ids, padded on the right."""
-    first, move, emit = (x.astype(np.float64) for x in model)
+def expected(model: tuple, windows: np.ndarray, lengths: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (first states, moves, emissions) and log-likelihood of windows of class ids, padded on the right. begins, ends: whether a window begins or ends its text; the last token of one that doesn't end it belongs to the next."""
+    first, move, emit, shares = (x.astype(np.float64) for x in model)
     n, span = windows.shape
     alpha, scale = np.zeros((span, n, STATES)), np.ones((span, n))
     by_class = np.ascontiguousarray(emit.T)
     seen = [by_class[windows[:, t]] for t in range(span)]
-    now = first * seen[0]
+    now = np.where(begins[:, None], first, shares) * seen[0]
     for t in range(span):
         if t:
             now = (alpha[t - 1] @ move) * seen[t]
@@ -131,15 +135,16 @@ def expected(model: tuple, windows: np.ndarray, lengths: np.ndarray) -> tuple[np
         beta[last] = 1.0
         gammas[t] = alpha[t] * beta
         ahead = beta
-    weight = gammas.reshape(-1, STATES)
+    own = np.arange(span)[:, None] < np.where(ends, lengths, lengths - 1)
+    weight = (gammas * own[:, :, None]).reshape(-1, STATES)
     flat = windows.T.reshape(-1)
     emissions = np.stack([np.bincount(flat, weight[:, s], emit.shape[1]) for s in range(STATES)])
-    return gammas[0].sum(0), moves, emissions, float(np.log(scale).sum())
+    return gammas[0][begins].sum(0), moves, emissions, float(np.log(scale[own]).sum())
 
 
 def forward(model: tuple, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of whole texts of class ids, all in step, longest first."""
-    first, move, emit = model
+    first, move, emit, _ = model
     by_class = np.ascontiguousarray(emit.T)
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     sizes = np.array([len(texts[i]) for i in order])
@@ -161,15 +166,15 @@ def forward(model: tuple, texts: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def _windows(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts cut to windows of SPAN tokens, some thousands at a time."""
-    parts = [x[i : i + SPAN] for x in texts for i in range(0, len(x), SPAN)]
+def _windows(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts cut to windows of SPAN tokens and the next one, some thousands at a time: windows, lengths, and which begin and end a text."""
+    parts = [(x[i : i + SPAN + 1], i == 0, i + SPAN >= len(x)) for x in texts for i in range(0, len(x), SPAN)]
     for k in range(0, len(parts), 4096):
-        own = parts[k : k + 4096]
+        own, begins, ends = zip(*parts[k : k + 4096], strict=True)
         lengths = np.array([len(x) for x in own])
-        out = np.zeros((len(own), SPAN), np.int32)
-        out[np.arange(SPAN) < lengths[:, None]] = np.concatenate(own)
-        yield out, lengths
+        out = np.zeros((len(own), SPAN + 1), np.int32)
+        out[np.arange(SPAN + 1) < lengths[:, None]] = np.concatenate(own)
+        yield out, lengths, np.array(begins), np.array(ends)
 
 
 def _classes(part: pa.RecordBatch, i: int) -> list[np.ndarray]:
@@ -183,8 +188,8 @@ def _count_task(model: tuple):
         sums = None
         for batch in batches:
             texts = _classes(batch, 0)
-            for windows, lengths in _windows(texts):
-                got = expected(model, windows, lengths)
+            for part in _windows(texts):
+                got = expected(model, *part)
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
         schema = pa.schema([("slot", pa.int32()), ("value", pa.float64())])
         if sums is not None:
@@ -207,7 +212,7 @@ def train(texts: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> tuple[tu
             flat[slot] = value
         first, move, emit, ll = np.split(flat, np.cumsum([STATES, STATES * STATES, STATES * k]))
         first, move, emit = first + SMOOTH, move.reshape(STATES, STATES) + SMOOTH, emit.reshape(STATES, k) + SMOOTH * prior * STATES + 1e-6
-        model = (first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        model = (first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), emit.sum(1) / emit.sum())
         track.append(float(ll[0]))
     return model, track
 
@@ -232,8 +237,8 @@ def _resolve_task(n_all: int, n_words: int, stats: dict[int, tuple[int, int]]):
                 own = get("classes").values.to_numpy(zero_copy_only=False)[back].astype(np.uint16)
                 within = np.where(own < CLASSES, 0.0, np.log10((count + SMOOTH) / size[own]))
                 base = np.log10((count + 0.5) / (n_all + 0.5 * (n_words + 1)))
-                ids = _unpack(get("ids").as_py())
                 lengths = np.array(get("lengths").as_py())
+                ids = _unpack(get("ids").as_py(), int(lengths.sum()))
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 classes = own[ids]
                 sums = [np.add.reduceat(x[ids], starts) for x in ((count > 0).astype(np.int64), base, within)]
@@ -274,7 +279,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     prior = np.array([stats.get(i, (0, 0))[0] + SMOOTH for i in range(k)], np.float64)
     prior[len(own) : CLASSES] = 0  # classes that have no word
     prior /= prior.sum()
-    met = places.select("chunk", "place", "word").join(counted, "word")
+    # the listed words are in every dictionary: their rows are dealt to SALTS tasks each
+    salted = counted.withColumn("salt", F.explode(F.when(F.col("class") < CLASSES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    marked = places.select("chunk", "place", "word").join(F.broadcast(listed), "word", "left").withColumn("salt", F.when(F.col("own").isNull(), 0).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).cast("int"))).drop("own")
+    met = marked.join(salted, ["word", "salt"])
     each = met.groupBy("chunk").agg(F.collect_list(F.struct("place", "total", "class")).alias("m"))
     each = each.select("chunk", F.col("m.place").alias("places"), F.col("m.total").alias("totals"), F.col("m.class").alias("classes"))
     texts = each.join(runs.select("chunk", "doc_ids", "held", "lengths", "ids"), "chunk").mapInArrow(_resolve_task(n_all, n_words, stats), _TEXT)

@@ -102,17 +102,18 @@ _VALID = (
     "true", "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0",
     "len(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(len(n)), lambda i: CASE WHEN i % 2 = 0 THEN reverse(n)[(i + 1)::INT]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse(n)[(i + 1)::INT]::INT + 1] END)) % 10 = 0", "len(n) BETWEEN 10 AND 15",
 )
+_TERM = r"[\p{L}\p{M}\p{N}]+"
 _BASE = " UNION ALL ".join(f"SELECT id, {k} AS k, s, e, m FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM ({_located('tx', pattern)})) WHERE {valid}" for k, (pattern, valid) in enumerate(zip(_KINDS, _VALID, strict=True)))
 _NAMED = "list_extract(['email', 'ip', 'card', 'phone', 'general', 'remove'], k + 1) || ':' || s || ':' || e"
 
 ORACLE: dict[str, str] = {
     # texts are numbered, so that each counts once; shares are those of pii.revealing
     "op5_pii": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), tx AS (SELECT t, min(doc_id) AS id FROM d GROUP BY t), b AS ({_BASE}),
-tm AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS term FROM tx), tt AS (SELECT * FROM tm WHERE len(term) BETWEEN 3 AND 40), n AS (SELECT count(*) AS n FROM tx), nt AS (SELECT term, count(*) AS n_t FROM tt GROUP BY ALL),
+tm AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '{_TERM}')) AS term FROM tx), tt AS (SELECT * FROM tm WHERE len(term) BETWEEN 3 AND 40), n AS (SELECT count(*) AS n FROM tx), nt AS (SELECT term, count(*) AS n_t FROM tt GROUP BY ALL),
 h AS (SELECT DISTINCT id, k || ':' || lower(m) AS entity FROM b), ne AS (SELECT entity, count(*) AS n_e FROM h GROUP BY ALL), net AS (SELECT entity, term, count(*) AS n_et FROM h JOIN tt USING (id) GROUP BY ALL),
 sh AS (SELECT entity, term, ln(((n_et + n_t / n) / (n_e + {pii.PRIOR})) / (n_t / n)) / ln(greatest(n / n_e, 1.000000001)) AS share FROM net JOIN nt USING (term) JOIN ne USING (entity), n),
 best AS (SELECT id, term, max(share) AS share FROM h JOIN tt USING (id) JOIN sh USING (entity, term) GROUP BY ALL HAVING max(share) >= {pii.GENERALISE}),
-pl AS (SELECT o.id, CASE WHEN share >= {pii.REMOVE} THEN 5 ELSE 4 END AS k, s, e FROM ({_located('(SELECT * FROM tx WHERE id IN (SELECT id FROM best))', '[\p{L}\p{M}\p{N}]+')}) o JOIN best ON best.id = o.id AND best.term = lower(o.m)),
+pl AS (SELECT o.id, CASE WHEN share >= {pii.REMOVE} THEN 5 ELSE 4 END AS k, s, e FROM ({_located('(SELECT * FROM tx WHERE id IN (SELECT id FROM best))', _TERM)}) o JOIN best ON best.id = o.id AND best.term = lower(o.m)),
 al AS (SELECT id, k, s, e FROM b UNION ALL SELECT id, k, s, e FROM pl WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = pl.id AND b.s < pl.e AND pl.s < b.e)),
 r AS (SELECT id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, string_agg({_NAMED}, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg({_NAMED}, ',' ORDER BY s, k) AS spans FROM al GROUP BY id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d JOIN tx USING (t) LEFT JOIN r USING (id)""",
