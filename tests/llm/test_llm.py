@@ -441,6 +441,31 @@ def test_encoding_is_exact(some):
     assert ids.tolist() == [x for t in some for x in ids_of(t)[0]] and ends.tolist() == np.cumsum([len(ids_of(t)[0]) for t in some]).tolist()
 
 
+def test_seams_that_disagree_are_encoded_with_the_whole_text(monkeypatch):
+    """Where a seam's ids differ from those of its words, as text, the whole text is encoded in their place."""
+    chunks = bpe.ChunkEncoder(bpe.encoder(PATH), mask=3, least=2, most=9)
+    text = " ".join(random.Random(4).choices(WORDS, k=60)) + " <|endoftext|> don't"
+    want = ids_of(text)
+    assert [(np.frombuffer(a, "<u4").tolist(), b.decode()) for a, b in chunks.encode([text.encode()])] == [want] and chunks.repaired > 20 and all(chunks.agreed.values())
+    wrong = bpe.ChunkEncoder(bpe.encoder(PATH), mask=3, least=2, most=9)
+    monkeypatch.setattr(wrong, "_agree", lambda joints: wrong.agreed.update(dict.fromkeys(joints, False)))
+    assert [(np.frombuffer(a, "<u4").tolist(), b.decode()) for a, b in wrong.encode([text.encode(), b""])] == [want, ([], "")]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="kind"):
+        bpe.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    spec = json.load(open(PATH))
+    spec["normalizer"] = None
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="kind"):
+        bpe.WordEncoder(str(tmp_path / "v.json"))
+
+
 def test_chunks_are_reused():
     text = " ".join(random.Random(2).choices(WORDS, k=3000)).encode()
     c = bpe.ChunkEncoder(bpe.encoder(PATH))

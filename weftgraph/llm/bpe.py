@@ -4,12 +4,17 @@ A rolling hash over the text's bytes cuts it into chunks at places that depend o
 alone, so that passages shared by documents give the same chunks. A task encodes each distinct
 chunk once. A cut can fall inside a word, where a chunk's own encoding is wrong; such a seam is
 repaired by encoding anew from the last white space before it to the first one behind it, over
-as many chunks as that takes. White space ends every piece that the tokenizer's pre-tokenizer
-can form, so encodings agree exactly there and the result is that of the whole text.
+as many chunks as that takes. The seam is then encoded once more between the words next to it,
+as text, and has to give the ids that the chunks on both sides have for these words; where it
+doesn't, the whole text is encoded in their place, which always agrees.
+
+Chunks are remembered by a task, in a memory of bounded size; they aren't exchanged between
+tasks, as moving texts costs more than encoding them. The vocabulary file has to have the normaliser
+and the pre-tokenizer that the fast ways here rely on; any other raises an error.
 
 Defined results: null and empty texts have no ids and decode to an empty text; texts of any
 length are cut into bounded chunks; equal rows give equal results; an empty table gives an empty
-one; other columns are ignored.
+one; other columns are ignored by :func:`digests` and kept by :func:`encoded`.
 """
 
 from __future__ import annotations
@@ -29,6 +34,12 @@ from weftgraph.llm.common import record, slices, texts_of
 _SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
 
+# The normaliser and pre-tokenizer of the vocabulary files that this module encodes with.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?)")] = True
 _LETTER[97:123] = True
@@ -56,6 +67,8 @@ class WordEncoder:
         self.tokenizer.no_padding()
         # the same model without normaliser and patterns, for words of plain letters
         spec = json.loads(self.tokenizer.to_str())
+        if (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"], spec["decoder"]) != (_NORMALIZER, _PRE_TOKENIZER, None, None) or spec["model"].get("end_of_word_suffix") != "</w>" or any(x["normalized"] or not x["content"].startswith("<|") for x in spec["added_tokens"]):
+            raise ValueError(f"{path} isn't a vocabulary of the kind that this encoder handles")
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][-1]]}}
         self.plain = Tokenizer.from_str(json.dumps(spec))
         self.most, self.known, self.shown, self.shows = most, {}, {}, shown
@@ -90,8 +103,7 @@ class WordEncoder:
             else:
                 other += plain
         if other:
-            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
-            self._keep(other, [np.array(e.ids, "<u4").tobytes() for e in done])
+            self._keep(other, self.whole(other))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, end to end, and where each text's ids end: words are split and numbered by Arrow, and each distinct word is looked up once."""
@@ -111,6 +123,11 @@ class WordEncoder:
         ids = pool[np.repeat(first[place] - total[:-1], n) + np.arange(total[-1])]
         return ids, total[words.offsets.to_numpy()[1:]]
 
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts as the library gives them."""
+        done = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in done]
+
     def trim(self) -> None:
         """Bound the memory: forget long words when there are too many."""
         if len(self.known) > self.most:
@@ -161,10 +178,11 @@ def cut(data: bytes, ends: list[int], mask: int, least: int, most: int) -> list[
 class ChunkEncoder:
     """Encodes texts by chunks; each distinct chunk's inner words are encoded once while it is remembered."""
 
-    def __init__(self, words: WordEncoder, mask: int = 0x1FF, least: int = 64, most: int = 4096, budget: int = 16 << 20):
-        self.words, self.mask, self.least, self.most, self.budget = words, mask, least, most, budget
+    def __init__(self, words: WordEncoder, mask: int = 0x1FF, least: int = 64, most: int = 4096, budget: int = 16 << 20, agreed: int = 50_000):
+        self.words, self.mask, self.least, self.most, self.budget, self.most_agreed = words, mask, least, most, budget, agreed
         self.chunks: dict[bytes, tuple | None] = {}
-        self.held = self.encoded = self.reused = 0
+        self.agreed: dict[tuple[bytes, ...], bool] = {}
+        self.held = self.encoded = self.reused = self.repaired = 0
 
     def _enter(self, new: set[bytes]) -> None:
         split = {c: c.split() for c in new}
@@ -179,10 +197,19 @@ class ChunkEncoder:
         self.words.learn(set().union(*[body for _, body, _ in inner.values()]))
         known, shown = self.words.known, self.words.shown
         for c, (head, body, tail) in inner.items():
-            self.chunks[c] = (head, b"".join(map(known.__getitem__, body)), b" ".join(filter(None, map(shown.__getitem__, body))), tail)
+            self.chunks[c] = (head, b"".join(map(known.__getitem__, body)), b" ".join(filter(None, map(shown.__getitem__, body))), tail, body[0] if body else b"", body[-1] if body else b"")
             self.held += len(c) * 4
         self.encoded += len(new)
 
+    def _agree(self, joints: set[tuple[bytes, ...]]) -> None:
+        """Encode seams (word before, seam, word behind; words may be missing) as text and hold the ids against those of the words."""
+        if len(self.agreed) > self.most_agreed:
+            self.agreed = {}
+        known, new = self.words.known, [j for j in joints if j not in self.agreed]
+        for j, ids in zip(new, self.words.whole([b" ".join(filter(None, j)) for j in new]), strict=True):
+            self.agreed[j] = ids == b"".join([known[w] for w in j if w])
+        self.repaired += len(new)
+
     def encode(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text."""
         data, bounds = prepared(texts)
@@ -194,9 +221,9 @@ class ChunkEncoder:
         new = distinct.difference(self.chunks)
         self.reused += sum(map(len, docs)) - len(new)
         self._enter(new)
-        plans, seams = [], set()
+        plans, seams, joints = [], set(), []
         for chunks in docs:
-            plan, open_word = [], b""
+            plan, open_word, before, own = [], b"", b"", []
             for c in chunks:
                 entry = self.chunks[c]
                 if entry is None:
@@ -205,17 +232,25 @@ class ChunkEncoder:
                 if seam := open_word + entry[0]:
                     plan.append(seam)
                     seams.add(seam)
+                    if plan[:-1]:
+                        own.append((before, seam, entry[4]))
                 plan.append(entry)
-                open_word = entry[3]
+                open_word, before = entry[3], entry[5]
             if open_word:
                 plan.append(open_word)
                 seams.add(open_word)
             plans.append(plan)
+            joints.append(own)
         self.words.learn(seams)
+        self._agree({j for own in joints for j in own})
         known, shown = self.words.known, self.words.shown
-        for plan in plans:
-            ids = b"".join([known[x] if isinstance(x, bytes) else x[1] for x in plan])
-            yield ids, b" ".join([y for x in plan if (y := shown[x] if isinstance(x, bytes) else x[2])])
+        for text, plan, own in zip(texts, plans, joints, strict=True):
+            if all(map(self.agreed.__getitem__, own)):
+                ids = b"".join([known[x] if isinstance(x, bytes) else x[1] for x in plan])
+                yield ids, b" ".join([y for x in plan if (y := shown[x] if isinstance(x, bytes) else x[2])])
+            else:
+                ids = self.words.whole([text])[0]
+                yield ids, b" ".join(filter(None, map(self.words.strings.__getitem__, memoryview(ids).cast("I"))))
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
