@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.session import drop_table, new_path
 
-__all__ = ["ascii_lower", "bound", "drop_table", "fold_of", "likely", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
+__all__ = ["ascii_lower", "bound", "bounded", "drop_table", "fold_of", "likely", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
 
 #: White space that separates words: space and U+0009 to U+000D. Python's ``bytes.split()`` cuts at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,6 +23,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH = 4 << 20
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with BATCH as its limit of an Arrow batch unless it has been given one. The queries and the pipeline's stages do this, whose results are read after they return; operators leave the session as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH))
+    return spark
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most BATCH bytes for what is run within; afterwards the session's own limit holds again."""
@@ -121,4 +129,5 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the queries."""
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,7 +13,7 @@ A term is a run of letters, marks and digits, 3 to 40 of them, in lower case; sh
 runs are no terms. Each of a text's terms is weighed against each of its entities.
 
 Defined results: null text: as empty, no spans; very long texts are scanned whole, each
-pattern in linear time, and m spans are placed in m log m steps; equal rows give equal results;
+pattern in linear time, and matches are placed by running totals; equal rows give equal results;
 a null id is an id; spans that overlap are cut out together; an empty table gives an empty one;
 columns of other names are kept, whatever they are, and :func:`analysed` replaces ``base`` and
 ``spans``.
@@ -75,12 +75,18 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {_SPANS})")
 
 
+#: Values that a fold appends to one array: appending copies the array.
+_RUN = 64
+
+
 def running(xs: Column, join) -> Column:
-    """Running totals of an array by ``join``, in steps that double their reach: a fold that appends to an array would copy it each time."""
-    reach = F.ceil(F.log2(F.greatest(F.size(xs), F.lit(2)).cast("double"))).cast("int")
-    back = lambda i, k: i - F.call_function("shiftleft", F.lit(1), k)
-    step = lambda acc, k: F.transform(acc, lambda x, i: F.when(back(i, k) < 0, x).otherwise(join(x, F.get(acc, back(i, k)))))
-    return F.aggregate(F.sequence(F.lit(0), reach - 1), xs, step)
+    """Running totals of an array of ints by ``join``, which leaves out nulls: folds of short runs, then of the runs' totals."""
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    fold = lambda ys: F.aggregate(ys, F.expr("cast(array() as array<int>)"), lambda acc, x: F.array_append(acc, F.coalesce(join(x, last(acc)), x)))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _RUN).cast("int")), lambda i: fold(F.slice(xs, i * _RUN + 1, F.lit(_RUN))))
+    moved = lambda rs: lambda before: F.transform(rs, lambda r, i: F.when(i == 0, r).otherwise(F.transform(r, lambda x: join(x, F.get(before, i - 1)))))
+    whole = lambda rs: F.flatten(bound(fold(F.transform(rs, last)), moved(rs)))
+    return F.when(F.size(xs) <= _RUN, fold(xs)).otherwise(bound(runs, whole))
 
 
 def _matched(text: Column, pattern: str, of) -> Column:
