@@ -294,6 +294,56 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(docs, none).where("predicted = 1").count() == 0
 
 
+def brute_toxicity(rows, counterfactual):
+    """Weights by the same rules, with dense matrices and a list of all features."""
+    bad, good = sum(y for _, _, y in rows), sum(1 - y for _, _, y in rows)
+    plain = lambda t: {w for x in t.lower().split() if (w := x.strip(".,!?"))}
+    feats = lambda ws: {f for w in ws if len(w) <= 64 for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]}
+    count = {1: collections.Counter(), 0: collections.Counter()}
+    for _, t, y in rows:
+        count[y].update(feats(plain(t)))
+    gain = {f: abs(math.log((count[1][f] + 0.5) / (bad + 1)) - math.log((count[0][f] + 0.5) / (good + 1))) * math.sqrt(count[1][f] + count[0][f]) for f in {*count[0], *count[1]} if count[1][f] + count[0][f] >= toxicity.SUPPORT}
+    names = list(dict.fromkeys([*sorted(gain, key=lambda f: (-round(gain[f], 9), f))[: toxicity.FEATURES], *(t for g in toxicity.IDENTITY for t in g)]))
+    dense = lambda ws: np.array([f in x for x in [feats(ws)] for f in names], float)
+    group = {t: [o for o in g if o != t] for g in toxicity.IDENTITY for t in g}
+    x, d = [], []
+    for _, t, _ in rows:
+        ws = plain(t)
+        x.append(dense(ws))
+        own = [w for w in ws if w in group]
+        for i in range(max((len(group[w]) for w in own), default=0)):
+            d.append(dense(ws.difference(own) | {group[w][i % len(group[w])] for w in own}) - x[-1])
+    x, d, y = np.array(x), np.array(d), np.array([y for _, _, y in rows], float)
+    w, m, v = np.zeros(len(names) + 1), 0, 0
+    w[-1] = math.log((bad + 0.5) / (good + 0.5))
+    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    for t in range(1, toxicity.STEPS + 1):
+        g = each * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y)
+        grad = np.append(x.T @ g + toxicity.RIDGE * w[:-1] + 2 * counterfactual / len(d) * d.T @ (d @ w[:-1]), g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(names, w[:-1], strict=True)), w[-1]
+
+
+def test_toxicity_equals_a_dense_fit(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(200):
+        bad = int(i % 3 == 0)
+        ws = [*rng.choices(WORDS, k=10), *rng.choices(["women", "men,", "Gay", "muslim", "old!"], k=2), *(["idiots", "scum."] if bad else ["thanks"]), "x" * 70]
+        rows.append((i, " ".join(rng.sample(ws, len(ws))), bad))
+    used = [r for r in rows if fold(r[0]) != 0]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    for c in (0.5, 4.0):
+        got, bias = toxicity.train(df, df.select("doc_id", "toxic"), counterfactual=c)
+        want, level = brute_toxicity(used, c)
+        assert bias == pytest.approx(level, abs=1e-5) and all(got.get(f, 0.0) == pytest.approx(w, abs=1e-5) for f, w in want.items()) and set(got) <= set(want)
+        scores = {r.doc_id: r.score for r in toxicity.scored(df, (got, bias)).collect()}
+        words_ = lambda t: {f for x in t.lower().split() if (w := x.strip(".,!?")) and len(w) <= 64 for f in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]}
+        for i, t, _ in rows:
+            assert scores[i] == pytest.approx(1 / (1 + math.exp(-sum(want.get(f, 0) for f in words_(t)) - level)), abs=1e-4)
+
+
 _EMAIL, _IP, _CARD, _PHONE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 

@@ -1,14 +1,18 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over words and word beginnings that tell labelled classes apart. Identity terms
-in labelled sentences are swapped for others of their group, and the fit penalises the squared
-change of the score, so that a neutral mention of a group has no weight of its own. Features
-and weights come from at most SAMPLE labelled documents, the first by a hash of the id.
-
-Defined results: null and empty texts get the score of no evidence; a null id belongs to the
-labelled part; a document that is labelled twice is toxic if any label says so, null labels
-count for nothing; equal rows are scored alike; an empty table gives an empty one, and without
-labels of both classes every score is 1 if all labels are toxic, else 0; other columns are ignored.
+A logistic model over words and word beginnings that tell labelled classes apart. What is labelled
+is a document, as the set of its words; its identity terms are swapped for others of their group,
+and the fit penalises the squared change of the score, so that a neutral mention of a group has no
+weight of its own. Features and weights come from at most SAMPLE labelled documents, the first by a
+hash of the id; every document is scored whole.
+
+Defined results: null and empty texts get the score of no evidence; runs of more than 64 characters
+between white space are no words, and have no features; a null id belongs to the labelled part; a
+document that is labelled twice is toxic if any label says so, null labels count for nothing; of
+features that tell as much, those first by name are taken; rows that repeat a labelled id are
+samples of their own; equal rows are scored alike; an empty table gives an empty one, and without
+labels of both classes every score is 1 if all labels are toxic, else 0; other columns are ignored
+by :func:`scored` and kept by :func:`accepted`.
 """
 
 from __future__ import annotations
@@ -72,27 +76,31 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(index: dict[str, int]):
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("swapped", pa.list_(pa.list_(pa.int32())))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("gained", pa.list_(pa.list_(pa.int32()))), ("lost", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = lambda words: sorted({index[f] for w in words for f in features_of(w) if f in index})
+        at = lambda words: {index[f] for w in words for f in features_of(w) if f in index}
         for part in slices(batches, "text", 4 << 20):
-            sets = [_plain(t) for t in texts_of(part)]
-            yield record(schema, part.column(2), part.column(1), [at(s) for s in sets], [[at(x) for x in swaps(s)] for s in sets])
+            rows = []
+            for doc_id, toxic, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), texts_of(part), strict=True):
+                words = _plain(text)
+                own, others = at(words), [at(x) for x in swaps(words)]
+                rows.append((doc_id, toxic, sorted(own), [sorted(x - own) for x in others], [sorted(own - x) for x in others]))
+            if rows:
+                yield record(schema, *zip(*rows, strict=True))
 
     return run
 
 
-def fit(found: list[list[int]], labels: list[int], swapped: list[list[list[int]]], n: int, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
-    """Weights, the last one the intercept: mean log-loss plus penalties, by gradient steps with moments."""
+def fit(found: list[list[int]], labels: list[int], gained: list[list[list[int]]], lost: list[list[list[int]]], n: int, counterfactual: float = COUNTERFACTUAL) -> np.ndarray:
+    """Weights, the last one the intercept: mean log-loss plus penalties, by gradient steps with moments. gained, lost: for each document and swap, the features that come and go."""
     y = np.array(labels, np.float64)
     rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
     cols = np.array([c for x in found for c in x], np.int64)
-    pairs = [(i, x) for i, xs in enumerate(swapped) for x in xs]
-    # each swap as the difference of its features
-    d_rows = np.array([r for r, (i, x) in enumerate(pairs) for _ in set(found[i]) ^ set(x)], np.int64)
-    d_cols = np.array([c for i, x in pairs for c in set(found[i]) ^ set(x)], np.int64)
-    d_sign = np.array([1.0 if c in set(x) else -1.0 for i, x in pairs for c in set(found[i]) ^ set(x)])
+    changes = [(up, down) for ups, downs in zip(gained, lost, strict=True) for up, down in zip(ups, downs, strict=True)]
+    d_rows = np.repeat(np.arange(len(changes)), [len(up) + len(down) for up, down in changes]).astype(np.int64)
+    d_cols = np.array([c for up, down in changes for c in (*up, *down)], np.int64)
+    d_sign = np.array([x for up, down in changes for x in (*[1.0] * len(up), *[-1.0] * len(down))])
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
@@ -100,9 +108,9 @@ def fit(found: list[list[int]], labels: list[int], swapped: list[list[list[int]]
         z = np.bincount(rows, w[cols], len(y)) + w[n]
         g = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
         grad = np.append(np.bincount(cols, g[rows], n), g.sum()) + RIDGE * np.append(w[:n], 0)
-        if pairs:
-            change = np.bincount(d_rows, d_sign * w[d_cols], len(pairs))
-            grad[:n] += 2 * counterfactual / len(pairs) * np.bincount(d_cols, d_sign * change[d_rows], n)
+        if changes:
+            change = np.bincount(d_rows, d_sign * w[d_cols], len(changes))
+            grad[:n] += 2 * counterfactual / len(changes) * np.bincount(d_cols, d_sign * change[d_rows], n)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -127,9 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = sums.where(F.col("b") + F.col("g") >= SUPPORT).orderBy(F.desc(gain), "feature").limit(FEATURES).select("feature").collect()
     names = list(dict.fromkeys([*(r["feature"] for r in best), *_GROUP]))  # identity terms are always there, so that their weights are held down
     index = {f: i for i, f in enumerate(names)}
-    sample = known.mapInArrow(_present(index), "doc_id long, toxic int, found array<int>, swapped array<array<int>>").orderBy("doc_id").collect()  # at most SAMPLE documents' places among the features
+    sample = known.mapInArrow(_present(index), "doc_id long, toxic int, found array<int>, gained array<array<int>>, lost array<array<int>>").orderBy("doc_id").collect()  # at most SAMPLE documents' places among the features
     drop_table(known)
-    w = fit([r["found"] for r in sample], [r["toxic"] for r in sample], [r["swapped"] for r in sample], len(names), counterfactual)
+    w = fit([r["found"] for r in sample], [r["toxic"] for r in sample], [r["gained"] for r in sample], [r["lost"] for r in sample], len(names), counterfactual)
     return {f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-6}, float(w[-1])
 
 
