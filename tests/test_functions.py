@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -94,3 +95,12 @@ def test_sketches(spark):
     r = spark.createDataFrame([(u,), (u,), (v,)], "v array<double>").select(sketches.simhash(16)("v").alias("h")).collect()
     assert r[0].h == r[1].h and (r[0].h ^ r[2].h).bit_count() / 16 <= 0.4
     assert -(1 << 63) <= spark.createDataFrame([(v,)], "v array<double>").select(sketches.simhash(64)("v").alias("h")).first().h < 1 << 63
+
+
+def test_murmur_of_columns(spark):
+    rng = random.Random(2)
+    values = ["".join(rng.choices("aé한\U0001f600 z", k=rng.randrange(0, 40))) for _ in range(3000)] + [None, "", "x" * 5000]
+    df = spark.createDataFrame([(x,) for x in values], "t string").repartition(3)
+    for seed in (0, 77, -5):
+        for r in df.select("t", hashing.murmur(seed)(F.col("t")).alias("h")).collect():
+            assert r.h == (None if r.t is None else hashing.murmur3_32(r.t.encode(), seed))
