@@ -63,11 +63,15 @@ def concurrently(jobs: dict[str, Callable[[], T]], most: int = 4) -> dict[str, T
     return {name: x.result() for name, x in running.items()}
 
 
+def drop_path(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by :func:`new_path`; any other is refused."""
+    if not re.search(r"/weftgraph/[^/]+-[0-9a-f]{32}$", folder):
+        raise ValueError(f"{folder} holds no table of a step")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files under a table from :func:`cut` that nothing reads any more; no other file is touched."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if not re.search(r"/weftgraph/[^/]+-[0-9a-f]{32}$", folder):
-            raise ValueError(f"{folder} holds no table of a step")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, folder)
