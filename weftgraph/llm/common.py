@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.session import drop_table, new_path
+from weftgraph.session import drop_path, drop_table, new_path
 
-__all__ = ["ascii_lower", "bound", "bounded", "drop_table", "fold_of", "likely", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
+__all__ = ["ascii_lower", "bound", "bounded", "drop_path", "drop_table", "fold_of", "likely", "new_path", "record", "runs", "slices", "small_batches", "table", "texts_of", "words_of", "write_table"]
 
 #: White space that separates words: space and U+0009 to U+000D. Python's ``bytes.split()`` cuts at the same bytes.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -292,4 +292,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     model, track = train(texts.where("not held").select("n", "classes"), prior, rounds)
     if report is not None:
         report += track
-    return texts.mapInArrow(_score_task(model, n_all), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = write_table(texts.mapInArrow(_score_task(model, n_all), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "hmm-scores")
+    drop_table(texts)
+    return out

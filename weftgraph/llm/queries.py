@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, chat, hmm, mixing, pii, quality, setsketch, token_store, toxicity, vafile
-from weftgraph.llm.common import fold_of, table
+from weftgraph.llm.common import drop_path, fold_of, table, write_table
 
 
 def vocabulary() -> str:
@@ -31,7 +31,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
     token_store.verify(spark, store)
-    return token_store.digests(spark, store)
+    out = write_table(token_store.digests(spark, store), "digests")
+    drop_path(spark, store)  # the query gives digests only
+    return out
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
     out = chat.written(chat.rendered(chat.as_events(turns.unionByName(extra))))
-    return chat.digests(spark.read.schema("conv_id long, part long, rendered string, mask_from long, mask_to long").parquet(out))
+    found = write_table(chat.digests(spark.read.schema("conv_id long, part long, rendered string, mask_from long, mask_to long").parquet(out)), "digests")
+    drop_path(spark, out)  # the query gives digests only
+    return found
 
 
 def op10_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,7 +180,9 @@ def candidates(vectors: DataFrame, approximations: DataFrame, asked: DataFrame,
     kept = write_table(grid.mapInArrow(_scan(k), _KEPT_SQL), "bounds")
     best = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     floor = kept.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy(F.col("query_id").alias("_q")).agg(F.min("lower").alias("floor"), F.count("*").alias("_n"))
-    return kept.join(floor, F.col("query_id") == F.col("_q")).where((F.col("upper") >= F.col("floor")) | (F.col("_n") < k)).select("query_id", "q_row", "row", "upper")
+    out = write_table(kept.join(floor, F.col("query_id") == F.col("_q")).where((F.col("upper") >= F.col("floor")) | (F.col("_n") < k)).select("query_id", "q_row", "row", "upper"), "candidates")
+    drop_table(kept)
+    return out
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -192,13 +194,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_i
     ranked = whole.withColumn("h", F.xxhash64("v")).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
     approximations = write_table(ranked.select("row", "id", "v").mapInArrow(_approximate, _BLOCK_SQL), "approximations")
     asked = write_table(whole.where("asks").groupBy("id", "v").agg(F.min("row").alias("row")).select("row", "id", "v"), "queries")
-    rest = write_table(candidates(whole, approximations, asked, k), "candidates")
-    sizes = rest.groupBy(F.col("query_id").alias("_q")).agg(F.ceil(F.count("*") / PART).alias("parts"))  # a query with many near ties is read in parts
-    rest = rest.join(sizes, F.col("query_id") == F.col("_q")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    few = candidates(whole, approximations, asked, k)
+    sizes = few.groupBy(F.col("query_id").alias("_q")).agg(F.ceil(F.count("*") / PART).alias("parts"))  # a query with many near ties is read in parts
+    rest = few.join(sizes, F.col("query_id") == F.col("_q")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     met = rest.join(whole.select("row", "id", "v"), "row").join(asked.select(F.col("row").alias("q_row"), F.col("v").alias("q")), "q_row")
     met = met.repartition("query_id", "part").sortWithinPartitions("query_id", "part", F.desc("upper"), "id")
     found = write_table(met.select("query_id", "part", "upper", "q", "id", "v").mapInArrow(_exact(k), "query_id long, vec_id long, score long"), "found")
-    for used in (whole, approximations, asked):
+    for used in (whole, approximations, asked, few):
         drop_table(used)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
