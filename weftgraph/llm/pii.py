@@ -21,7 +21,7 @@ columns of other names are kept, whatever they are, and :func:`analysed` replace
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bound, drop_table, write_table
@@ -124,10 +124,21 @@ def _terms(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: F.length(w).between(SHORTEST, LONGEST))
 
 
-def _placed(text: Column, spans: Column, shares: Column) -> Column:
-    """Spans of the terms that ``shares`` (a map by term) names, wherever they stand outside ``spans``."""
-    kind = lambda share: F.when(share >= REMOVE, len(KINDS) + 1).when(share.isNotNull(), len(KINDS))
-    terms = F.filter(_matched(text, TERM, lambda m, where: _span(kind(F.element_at(shares, F.lower(m))), F.lit(None).cast("string"), where)), lambda s: s["k"].isNotNull())
+def _occurrences(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """(text_key, terms): the spans in each text of its revealing terms, from (text_key, text) and (text_key, term, share). A text's words are rows that a running sum places and a join looks up."""
+    parts = F.zip_with(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.octet_length(gap).alias("bytes")))
+    words = marked.select("text_key", F.posexplode(F.filter(parts, lambda x: x["m"].isNotNull())).alias("i", "w"))
+    upto = Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end, to = (F.sum(F.col(f"w.{gap}") + size("w.m")).over(upto).cast("int") for gap, size in (("gap", F.length), ("bytes", F.octet_length)))
+    words = words.select("text_key", F.lower("w.m").alias("term"), F.length("w.m").alias("n"), F.octet_length("w.m").alias("b"), end.alias("end"), to.alias("to"))
+    hits = words.join(known, ["text_key", "term"])
+    kind = F.when(F.col("share") >= REMOVE, len(KINDS) + 1).otherwise(len(KINDS))
+    span = _span(kind, F.lit(None).cast("string"), (F.col("end") - F.col("n"), F.col("end"), F.col("to") - F.col("b"), F.col("to")))
+    return hits.groupBy("text_key").agg(F.collect_list(span).alias("terms"))
+
+
+def _free(spans: Column, terms: Column) -> Column:
+    """The spans of terms that stand outside ``spans``, in order of starts."""
     base = lambda s: s["k"] < len(KINDS)
     behind = lambda xs: running(F.transform(xs, lambda s: F.when(base(s), s["end"]).otherwise(0)), F.greatest)
     ahead = lambda xs: F.reverse(running(F.transform(F.reverse(xs), lambda s: F.when(base(s), s["start"]).otherwise(_FAR)), F.least))
@@ -175,8 +186,8 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = write_table(docs.select(F.col(id_col).alias("_id"), key.alias("text_key"), base_spans(F.col(text_col)).alias("spans"), text.alias("text")).where(F.size("spans") > 0), "marked")
     marked = rows.dropDuplicates(["text_key"]).select("text_key", "text", "spans")
     known = revealing(docs.select(key.alias("text_key"), text.alias("text")), marked)
-    shares = known.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    added = marked.join(shares, "text_key").select("text_key", _placed(F.col("text"), F.col("spans"), F.col("shares")).alias("added"))
+    terms = _occurrences(marked.select("text_key", "text"), known)
+    added = marked.select("text_key", "spans").join(terms, "text_key").select("text_key", _free(F.col("spans"), F.col("terms")).alias("added"))
     every = F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "added")))
     found = rows.groupBy("_id", "text_key").agg(F.first("spans").alias("spans")).join(added, "text_key", "left").select("_id", F.col("text_key").alias("_key"), F.col("spans").alias("_base"), every.alias("_spans"))
     found = write_table(found, "spans")
