@@ -516,6 +516,30 @@ def test_other_vocabularies_are_refused(tmp_path):
         bpe.WordEncoder(str(tmp_path / "v.json"))
 
 
+def test_texts_beyond_the_limits_of_slices_and_runs(spark):
+    """Texts of some MB, which cross every limit of a slice, a run of texts and a memory of words."""
+    rng = random.Random(31)
+    pool = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(60_000)]
+    long = [" ".join(rng.choices(pool, k=n)) for n in (700_000, 650_000, 3)] + ["z" * 1_500_000 + " idiot " + " ".join(rng.choices(pool, k=400_000))]
+    rows = list(enumerate(long)) + [(10, long[1][:3_000_000]), (11, long[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = {i: np.array(ids_of(t)[0], "<u4") for i, t in rows}
+    got = {r.doc_id: r for r in bpe.digests(df, PATH).collect()}
+    assert all(got[i].n_tokens == len(x) and got[i].ids_sha256 == hashlib.sha256(x.tobytes()).hexdigest() for i, x in ids.items())
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.digests(spark, token_store.write(df, PATH, 2)).collect()}
+    assert found == {i: (len(x) + 1, zlib.crc32(np.append(x, np.uint32(2)).astype("<u4").tobytes())) for i, x in ids.items()}
+    near = {r.doc_id: r for r in setsketch.deduplicated(df).collect()}
+    assert [near[i].n_shingles for i, _ in rows] == [len(s) for s in sets_of(rows)] and near[11].component_id == 0 and near[10].component_id == 10
+    c = collections.Counter(w for i, t in rows if fold(i) != 1 for w in [*t.encode().split(), b" "])
+    n, v = sum(c.values()), len(c)
+    for r in hmm.scored(df, rounds=1).collect():
+        ws = [*dict(rows)[r.doc_id].encode().split(), b" "]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n) and r.score < 0
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
+    scores = {r.doc_id: r.score for r in toxicity.scored(df, ({"idiot": 3.0, "z": 9.0}, -1.0)).collect()}
+    assert scores == pytest.approx({i: 1 / (1 + math.exp(-2 if "idiot" in t.split() else 1)) for i, t in rows})
+
+
 def test_chunks_are_reused():
     text = " ".join(random.Random(2).choices(WORDS, k=3000)).encode()
     c = bpe.ChunkEncoder(bpe.encoder(PATH))
