@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from weftgraph.plans import programs
 from weftgraph.session import get_session
 from weftgraph.sources import delimited, gml, sinks
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser("weftgraph")
     p.add_argument("program", choices=["graphs", "vectors", "distances", "pair", "cluster", "knn", "sequences", "bytes", "vocabulary"])
     for name, kind, default in (("in", str, None), ("out", str, None), ("labels", str, None), ("feat", str, "minhash"), ("mode", str, "opcode"), ("n", int, 2), ("bits", int, 8), ("k", int, 5), ("seed", int, 0), ("max-files", int, None), ("support", float, 0.07), ("threshold", float, None), ("first", str, None), ("second", str, None), ("algorithm", str, "kmedoids")):
@@ -17,7 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--recursive", action="store_true")
     p.add_argument("--tfidf", action="store_true")
     o, _ = p.parse_known_args(argv)  # unknown options are ignored
-    spark = get_session()
+    spark = spark or get_session()
 
     def graphs():
         rows = gml.read(spark, o.source, programs.CODEC[o.feat])

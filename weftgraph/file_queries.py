@@ -130,7 +130,7 @@ def in1_snk7_e9_command_line(spark, d):
     from weftgraph.__main__ import main
 
     out = new_path(spark, "vocabulary")
-    main(["vocabulary", "--in", listing_files(spark, d), "--out", out, "--mode", "opcode", "--n", "2", "--unheard-of", "1"])
+    main(["vocabulary", "--in", listing_files(spark, d), "--out", out, "--mode", "opcode", "--n", "2", "--unheard-of", "1"], spark)
     return delimited.vocabulary(spark, out)
 
 
@@ -236,11 +236,15 @@ def snk8_comparison_file(spark, d):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def snk9_in2_appended_file(spark, d):
-    """Several jobs at a time that append to one place."""
+    """Several jobs at a time, each appending twice to a folder of its own."""
     path = new_path(spark, "appended")
     n = t(spark, d, "nation")
-    jobs = {str(r): lambda r=r: sinks.write_csv(n.where((F.col("n_regionkey") == r) if r else (F.col("n_regionkey") == 0) | (F.col("n_regionkey") > 4)), f"{path}/{r}", append=True) for r in range(5)}
-    concurrently(jobs, 2)
+
+    def both(r: int) -> None:
+        for half in (0, 1):
+            sinks.write_csv(n.where((F.pmod("n_regionkey", F.lit(5)) == r) & (F.col("n_nationkey") % 2 == half)), f"{path}/{r}", append=True)
+
+    concurrently({str(r): lambda r=r: both(r) for r in range(5)}, 2)
     return spark.read.schema(n.schema).option("header", True).csv([f"{path}/{r}" for r in range(5)])
 
 
