@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,6 +91,13 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def release() -> None:
+    """Give freed memory back: workers are kept for later tasks, and with them what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each part (one row at least)."""
     for batch in batches:
@@ -104,6 +112,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int
                 start, total = i, 0
             total += size
         yield batch.slice(start, n - start)
+    release()
 
 
 def runs(rows: Iterable[tuple], width: int) -> Iterator[tuple[tuple, list[tuple]]]:

@@ -141,22 +141,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-6}, float(w[-1])
 
 
+def _scorer(weights: dict[str, float], intercept: float):
+    """Scores of texts; a task remembers the features of the words that it meets, up to a number."""
+    seen: dict[bytes, tuple] = {}
+
+    def score(texts: list[bytes]) -> list[float]:
+        scores = []
+        for text in texts:
+            words = set(text.split())
+            for w in words.difference(seen):
+                seen[w] = tuple(f for f in features_of(w.decode("utf-8", "replace")) if f in weights)
+            z = sum(map(weights.__getitem__, set().union(*map(seen.__getitem__, words))), intercept)
+            scores.append(float(1 / (1 + np.exp(-max(-40.0, min(40.0, z))))))
+            if len(seen) > 100_000:
+                seen.clear()
+        return scores
+
+    return score
+
+
 def _score_task(weights: dict[str, float], intercept: float):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple] = {}
-        for part in slices(batches, "text", 4 << 20):
-            scores = []
-            for text in texts_of(part):
-                words = set(text.split())
-                for w in words.difference(seen):
-                    seen[w] = tuple(f for f in features_of(w.decode("utf-8", "replace")) if f in weights)
-                z = sum(map(weights.__getitem__, set().union(*map(seen.__getitem__, words))), intercept)
-                scores.append(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
-            if len(seen) > 300_000:
-                seen.clear()
-            yield record(schema, part.column(0), scores)
+        score = _scorer(weights, intercept)
+        for part in slices(batches, "text", 1 << 20):
+            yield record(schema, part.column(0), score(texts_of(part)))
 
     return run
 
@@ -169,14 +179,9 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str =
 
 def accepted(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic; the same columns."""
-    names = docs.columns
-
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _score_task(*model)
-        for part in slices(batches, text_col, 4 << 20):
-            text = part.column(part.schema.get_field_index(text_col))
-            two = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), text], names=["doc_id", "text"])
-            flags = [s < 0.5 for b in score(iter([two])) for s in b.column(1).to_pylist()]
-            yield part.filter(pa.array(flags, pa.bool_()))
-
-    return docs.select(*names).mapInArrow(keep, docs.schema)
+        score = _scorer(*model)
+        for part in slices(batches, text_col, 1 << 20):
+            yield part.filter(pa.array([s < 0.5 for s in score(texts_of(part, text_col))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
