@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from weftgraph.llm.common import drop_table, fold_of, record, slices, texts_of,
 STATES, CLASSES, LONGEST, TAILS, ROUNDS = 8, 4096, 64, 512, 5
 #: Tokens of a training window; added to counts; bytes of text that share a dictionary; tasks that a frequent word's dictionary entries are dealt to.
 SPAN, SMOOTH, RUN, SALTS = 64, 0.5, 12 << 20, 64
+#: Bytes of compressed texts that are unpacked at once, to be counted and to be scored: scoring steps through all texts of a part at the pace of the longest.
+COUNTED, SCORED = 1 << 18, 2 << 20
 #: The end of a text as a dictionary entry: no word has a space.
 END = b" "
 
@@ -59,35 +62,39 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     schema = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
     number = TaskContext.get().partitionId() << 32
-    held: list = []
+    numbers = lambda: defaultdict(itertools.count().__next__)  # noqa: E731  (a word gets the next number when it is first looked up)
+    place = numbers()
+    doc_ids, outs, lengths, ids = [], [], [], []
     size = 0
 
     def flush():
         nonlocal number
-        flat = [w for _, _, ws in held for w in ws]
-        lengths = np.array([len(ws) for _, _, ws in held])
-        place = dict(zip(dict.fromkeys(flat), itertools.count()))
-        ids = np.fromiter(map(place.__getitem__, flat), np.int32, len(flat))
-        del flat
-        order = np.argsort(-np.bincount(ids, minlength=len(place)), kind="stable")
+        flat = np.concatenate(ids)
+        order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
         rank = np.empty(len(place), np.int32)
         rank[order] = np.arange(len(place), dtype=np.int32)
-        ids = rank[ids]
-        trained = np.bincount(ids[np.repeat([not out for _, out, _ in held], lengths)], minlength=len(place))
+        flat = rank[flat]
+        trained = np.bincount(flat[np.repeat(~np.array(outs), lengths)], minlength=len(place))
         words = pa.array([*place], pa.binary()).take(pa.array(order))
         number += 1
-        return record(schema, [number], pa.ListArray.from_arrays([0, len(place)], words), pa.ListArray.from_arrays([0, len(place)], pa.array(trained, pa.int32())), [[d for d, _, _ in held]], [[o for _, o, _ in held]], [lengths.tolist()], [_pack(ids)])
+        return record(schema, [number], pa.ListArray.from_arrays([0, len(place)], words), pa.ListArray.from_arrays([0, len(place)], pa.array(trained, pa.int32())), [doc_ids], [outs], [lengths], [_pack(flat)])
 
     for part in slices(batches, "text", 2 << 20):
-        for doc_id, out, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part), strict=True):
+        tokens: list[bytes] = []
+        for text in texts_of(part):
             ws = text.lower().split()
-            ws.append(END)
-            held.append((doc_id, out, ws))
+            tokens += ws
+            tokens.append(END)
+            lengths.append(len(ws) + 1)
             size += len(text) + 16
-            if size > RUN:
-                yield flush()
-                held, size = [], 0
-    if held:
+        doc_ids += part.column(0).to_pylist()
+        outs += part.column(1).to_pylist()
+        ids.append(np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens)))
+        del tokens, ws
+        if size > RUN:
+            yield flush()
+            place, doc_ids, outs, lengths, ids, size = numbers(), [], [], [], [], 0
+    if ids:
         yield flush()
 
 
@@ -186,7 +193,7 @@ def _classes(part: pa.RecordBatch, i: int) -> list[np.ndarray]:
 def _count_task(model: tuple):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
-        for batch in batches:
+        for batch in slices(batches, "classes", COUNTED):
             texts = _classes(batch, 0)
             for part in _windows(texts):
                 got = expected(model, *part)
@@ -252,7 +259,7 @@ def _score_task(model: tuple, train_tokens: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "classes", SCORED):
             col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             score = forward(model, _classes(batch, 0)) / np.log(10) + col("within").to_numpy()
             yield record(schema, col("doc_id"), col("held"), col("n_tokens"), col("n_known"), [train_tokens] * batch.num_rows, col("base"), score)
