@@ -188,3 +188,15 @@ def test_delimited_sources_and_sinks(spark, tmp_path):
     assert head[-3:] == ["@ATTRIBUTE class {c}", "", "@DATA"] and {r.line for r in lines.collect()} == {"g1,1,2,c", "g2,0,5,null"}
     sinks.write_arff(head, lines, "graph", str(tmp_path / "arff"))
     assert sinks.wide(vectors, "graph", "entry", "freq", ["a", "b"]).where("graph = 'g2'").first().a == 0
+
+
+def test_entries_of_a_folder(spark, tmp_path):
+    """A table that is a folder of files counts as one entry, under the folder's name."""
+    (tmp_path / "a.parquet").write_bytes(b"xx")
+    (tmp_path / "b.parquet").mkdir()
+    for i in (0, 1):
+        (tmp_path / "b.parquet" / f"part-{i}.parquet").write_bytes(b"x" * (3 - i))
+    (tmp_path / "c.txt").write_bytes(b"")
+    every = {("a.parquet", 2), ("b.parquet", 2), ("c.txt", 0)}
+    assert {tuple(r) for r in delimited.entries(spark, str(tmp_path)).collect()} == every
+    assert {tuple(r) for r in delimited.entries(spark, f"{tmp_path}/", ".parquet").collect()} == every - {("c.txt", 0)}

@@ -97,6 +97,17 @@ def files(spark: SparkSession, path: str, suffix: str | None = None, recursive:
     return r.load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
 
 
+def entries(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
+    """(name, bytes): what lies in a folder, each file by itself and the files below each sub-folder together under the sub-folder's name, with the fewest bytes that one of them has; only files with the suffix, all without one."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffix:
+        r = r.option("pathGlobFilter", f"*{suffix}")
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    above = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    name = F.get(F.split(F.substring("path", len(above) + 2, 2**31 - 1), "/"), 0)
+    return r.load(path).groupBy(name.alias("name")).agg(F.min("length").alias("bytes"))
+
+
 def raw_bytes(spark: SparkSession, path: str, suffix: str | None = None, recursive: bool = False) -> DataFrame:
     """(binary, content): one row a file."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
