@@ -196,7 +196,36 @@ def test_entries_of_a_folder(spark, tmp_path):
     (tmp_path / "b.parquet").mkdir()
     for i in (0, 1):
         (tmp_path / "b.parquet" / f"part-{i}.parquet").write_bytes(b"x" * (3 - i))
-    (tmp_path / "c.txt").write_bytes(b"")
-    every = {("a.parquet", 2), ("b.parquet", 2), ("c.txt", 0)}
+    (tmp_path / "c.txt").write_bytes(b"x")
+    every = {("a.parquet", 2), ("b.parquet", 2), ("c.txt", 1)}
     assert {tuple(r) for r in delimited.entries(spark, str(tmp_path)).collect()} == every
-    assert {tuple(r) for r in delimited.entries(spark, f"{tmp_path}/", ".parquet").collect()} == every - {("c.txt", 0)}
+    assert {tuple(r) for r in delimited.entries(spark, f"{tmp_path}/", ".parquet").collect()} == every - {("c.txt", 1)}
+
+
+def plainly_merged(d, k, link):
+    """The closest two clusters merge, the lowest places first on a tie, with the whole matrix searched each time."""
+    d, groups = d.copy(), {i: [i] for i in range(len(d))}
+    np.fill_diagonal(d, np.inf)
+    while len(groups) > k:
+        i, j = (int(x) for x in np.unravel_index(d.argmin(), d.shape))
+        a, b = len(groups[i]), len(groups[j])
+        row = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (a * d[i] + b * d[j]) / (a + b)}[link]
+        d[i], d[:, i] = row, row
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        groups[i] += groups.pop(j)
+    return [sorted(x) for x in groups.values()]
+
+
+def test_merging_with_the_upper_half(spark):
+    """Also with many ties, and with more points than the matrix in memory is for."""
+    rng = np.random.default_rng(5)
+    for link in clustering.LINKS:
+        for v in (rng.normal(size=(60, 3)), rng.integers(0, 4, (60, 2)).astype(float)):
+            d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+            for most in (100, 10):
+                half = clustering.upper_half(60, most)
+                half[:] = d[np.triu_indices(60, 1)]
+                assert clustering.merge_linked(half, 60, 4, link)[0] == plainly_merged(d, 4, link)
+    df = spark.createDataFrame([(i, [float(i // 4 * 10 + i % 4)]) for i in range(12)], "id long, v array<double>")
+    got = clustering.agglomerative(df, 3, "average", most=5)[0]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i // 4) for i in range(12)]
