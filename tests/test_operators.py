@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.similarity import euclidean
 from weftgraph.operators import anomaly, clustering, evaluation, ged, graph, mining, pairs
+from weftgraph.plans import programs
 from weftgraph.sources import delimited, gml, sinks
 
 BASKETS = [(1, "Bread Milk Diapers"), (2, "Bread Diapers Beer Eggs"), (3, "Milk Diapers Beer Cola"), (4, "Bread Milk Diapers Beer"), (5, "Bread Milk Diapers Cola")]
@@ -241,14 +242,6 @@ def test_kmeans_counts_its_updates(spark):
         assert [x[1] for x in clustering.kmeans(df, 2, distance, start=[(0, [0.0]), (1, [1.0])])[1]] == [[4.5], [14.5]]
 
 
-def test_bisecting_by_a_number_of_updates(spark, monkeypatch):
-    """Each split takes as many updates as it is told, all its trials in the same scans."""
-    df = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "id long, v array<double>")
-    asked = []
-    monkeypatch.setattr(clustering, "_lloyd", lambda p, starts, d, most, f=clustering._lloyd: asked.append((len(starts), most)) or f(p, starts, d, most))
-    assert {r.cluster for r in clustering.bisecting(df, 3, 4, most=7).collect()} == {0, 1, 2} and asked == [(4, 7), (4, 7)]
-
-
 def test_nearest_points(spark):
     """The same as the nearest of all distances, with equal points in plenty, and with fewer points than neighbours."""
     rng = np.random.default_rng(4)
@@ -258,3 +251,27 @@ def test_nearest_points(spark):
         want = {tuple(r) for r in pairs.nearest(pairs.all_distances(df).withColumn("d", F.round("d", 9)), 4).collect()}
         for block, chunk in ((50, 7), (8192, 256)):
             assert {tuple(r) for r in pairs.nearest_points(df, 4, block, chunk).collect()} == want
+
+
+def test_token_texts(spark):
+    """Tokens of any number are characters of their own, so a text's edit distance counts tokens."""
+    rows = [(0, ["a", "b", "c"]), (1, ["a", "c"]), (2, []), (3, None), (4, [f"t{i}" for i in range(60_000)]), (5, [f"t{i}" for i in range(60_000) if i % 2000])]
+    got = pairs.token_texts(spark.createDataFrame(rows, "id int, tokens array<string>"), "tokens")
+    texts = {r.id: r.text for r in got.collect()}
+    assert len(texts[0]) == 3 and texts[1] == texts[0][0] + texts[0][2] and texts[2] == "" and texts[3] is None
+    assert len(set(texts[4])) == 60_000 and set(texts[5]) < set(texts[4]) and len(texts[5]) == 59_970
+
+
+def test_comparison_without_a_limit(spark):
+    """Graphs of more functions than the limit stay in if there is none."""
+    v = spark.createDataFrame([("a", "Internal", [1], [("x",), ("y",)]), ("a", "Internal", [2], [("x",)]), ("b", "Internal", [1], [("z",), ("y",)])], "graph string, type string, features array<int>, instructions array<struct<asm: string>>")
+    labels = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, class string")
+    got = {most: sorted(tuple(r) for r in programs.edit_versus_sketch(v, labels, most=most).collect()) for most in (None, 1)}
+    assert got == {None: [("1", "2", 0.0, 0.0), ("1", "2", 0.5, 1.0), ("2", "1", 0.0, 0.0), ("2", "1", 0.5, 1.0)], 1: []}
+
+def test_bisecting_by_a_number_of_updates(spark, monkeypatch):
+    """Each split takes as many updates as it is told, all its trials in the same scans."""
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "id long, v array<double>")
+    asked = []
+    monkeypatch.setattr(clustering, "_lloyd", lambda p, starts, d, most, f=clustering._lloyd: asked.append((len(starts), most)) or f(p, starts, d, most))
+    assert {r.cluster for r in clustering.bisecting(df, 3, 4, most=7).collect()} == {0, 1, 2} and asked == [(4, 7), (4, 7)]
