@@ -2,9 +2,11 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import similarity
 from weftgraph.functions.similarity import euclidean
 from weftgraph.operators import anomaly, clustering, evaluation, ged, graph, mining, pairs
 from weftgraph.plans import programs
@@ -315,3 +317,32 @@ def test_knn_files_grow_with_points(spark):
     d = "/root/testdata/sf0.001"
     n = file_queries.unit_vectors(spark, d).count()
     assert n < delimited.distances(spark, file_queries.near_distance_files(spark, d, 5)).count() <= 5 * n < n * (n - 1) // 2
+
+
+def test_kernel_pairs(spark):
+    """Each pair of a group once, the smaller id first, in blocks of any size; groups of one item and of none; rows of other lengths are refused."""
+    rng = np.random.default_rng(7)
+    pts = [(i, f"g{min(i % 4, i % 3)}" if i < 100 else None if i < 103 else "alone", [float(x) for x in rng.normal(size=3)]) for i in range(104)]
+    df = spark.createDataFrame(pts, "id int, g string, v array<double>")
+
+    def kernel(one, other, turned):
+        return {"dot": similarity.each_sum(one[0], other[0], np.multiply)[0], "first": np.where(turned, other[0][:, 0][None], one[0][:, 0][:, None])}
+
+    out = {"dot": pa.float64(), "first": pa.float64()}
+    for by in ("g", None):
+        want = {(i, j): (v[0] * w[0] + v[1] * w[1] + v[2] * w[2], v[0]) for i, g, v in pts for j, h, w in pts if i < j and (by is None or g == h is not None)}
+        for block, chunk in ((16, 5), (2048, 64)):
+            rows = pairs.kernel_pairs(df, "id", ["v"], kernel, out, by, block, chunk).collect()
+            assert len(rows) == len(want) and {(r.a, r.b): (r.dot, r["first"]) for r in rows} == want
+    uneven = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "id int, v array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        pairs.kernel_pairs(uneven, "id", ["v"], kernel, out).collect()
+
+
+def test_each_matching():
+    """The numpy forms agree with the column functions' meanings, zero vectors and negative cosines included."""
+    x = np.array([[1.0, 0.0], [0.0, 0.0], [-1.0, 1.0]])
+    c = similarity.each_cosine(x, x)
+    assert c.tolist() == [[1.0, 0.0, -1 / math.sqrt(2)], [0.0, 0.0, 0.0], [-1 / math.sqrt(2), 0.0, pytest.approx(1.0)]]
+    assert similarity.each_matching("cosine", 0.25)(c).tolist() == [[False, True, False], [True, True, True], [False, True, False]]
+    assert similarity.each_matching("cosine", 0.25, strict=True)(c).tolist() == [[True, False, False], [False, False, False], [False, False, True]]
