@@ -361,3 +361,16 @@ def test_near_match(spark):
             want = sorted((r.k, r.a, r.b, str(r.s)) for r in plain(all_, ["k"], "a", "b", "s").collect())
             got = sorted((r.k, r.a, r.b, str(r.s)) for r in pairs.near_match(x, y, "k", "a", "x", "b", "y", "s", mutual).collect())
             assert got == want
+
+
+def test_greedy_classes(spark):
+    """The same matches as from the pairs of all members, with equal scores in plenty."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for key in ("p", "q"):
+        a, b = (np.array_split(rng.permutation(30 + 7 * i), [1, 4, 9, 20]) for i in (0, 1))
+        rows += [(key, sorted(x.tolist()), sorted(y.tolist()), float(rng.integers(1, 4)) / 4) for x in a for y in b if rng.random() < 0.8]
+    c = spark.createDataFrame(rows, "k string, a array<int>, b array<int>, s double")
+    each = c.select("k", F.explode("a").alias("a"), "b", "s").select("k", "a", F.explode("b").alias("b"), "s")
+    want = {tuple(r) for r in pairs.greedy_match(each, ["k"], "a", "b", "s").collect()}
+    assert {tuple(r) for r in pairs.greedy_classes(c, ["k"], "a", "b", "s").collect()} == want

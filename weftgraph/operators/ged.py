@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.graph import EXTERNAL, INTERNAL, remove_vertices
-from weftgraph.operators.pairs import greedy_match
+from weftgraph.operators.pairs import greedy_classes
 
 #: Inverse temperature, divisor of the inverse temperature after a round, rounds, and proposals of a round.
 BETA, COOLING, ROUNDS, PROPOSALS = 4.0, 0.2, 50, 50
@@ -160,10 +160,11 @@ def one_pair(graphs: DataFrame, g1, g2, similarity: Callable, seed: int = 0, **s
 
 def reduced(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, similarity, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Greedy matches (graph1, graph2, v1, v2, sim) of Internal vertices at or above the threshold, and what is left of both graphs' vertices: (graph1, graph2, side, id)."""
-    inner = vertices.where(F.col("type") == INTERNAL)
-    a, b = (inner.select(F.col("graph").alias(f"graph{i}"), F.col("id").alias(f"v{i}"), F.col("features").alias(f"f{i}")) for i in (1, 2))
+    # vertices of a graph that have the same features are compared and matched as one class
+    inner = vertices.where(F.col("type") == INTERNAL).groupBy("graph", "features").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    a, b = (inner.select(F.col("graph").alias(f"graph{i}"), F.col("ids").alias(f"v{i}"), F.col("features").alias(f"f{i}")) for i in (1, 2))
     cand = pairs.join(a, "graph1").join(b, "graph2").withColumn("sim", similarity(F.col("f1"), F.col("f2"))).where(F.col("sim") >= threshold)
-    match = greedy_match(cand.select("graph1", "graph2", "v1", "v2", "sim"), ["graph1", "graph2"], "v1", "v2", "sim")
+    match = greedy_classes(cand.select("graph1", "graph2", "v1", "v2", "sim"), ["graph1", "graph2"], "v1", "v2", "sim")
     left = []
     for i in (1, 2):
         v = pairs.join(vertices.select(F.col("graph").alias(f"graph{i}"), "id"), f"graph{i}")
