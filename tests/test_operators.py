@@ -374,3 +374,21 @@ def test_greedy_classes(spark):
     each = c.select("k", F.explode("a").alias("a"), "b", "s").select("k", "a", F.explode("b").alias("b"), "s")
     want = {tuple(r) for r in pairs.greedy_match(each, ["k"], "a", "b", "s").collect()}
     assert {tuple(r) for r in pairs.greedy_classes(c, ["k"], "a", "b", "s").collect()} == want
+
+
+def test_edges_of_state(spark):
+    """A mapping's costs are the same from numbers as from a set of edges, and after swaps those of a mapping that is counted whole; edges to ids that a graph lacks, and graphs without edges, too."""
+    rng = np.random.default_rng(10)
+    one, two = ({(int(a), int(b)) for a, b in rng.integers(0, n, (60, 2))} for n in (12, 16))
+    rows = lambda x: np.array(sorted(x), "<i8").reshape(-1, 2).T
+    ids1, ids2 = [int(x) for x in rng.permutation(10)], [int(x) for x in rng.permutation(16)]
+    for e1, e2 in ((one, two), (one, set())):
+        plain, packed = (ged.State(ids1, ids2, *e, lambda x, y: 0.5, np.random.default_rng(1)) for e in ((e1, e2), (rows(e1), rows(e2))))
+        assert (plain.a == packed.a).all() and (plain.b == packed.b).all()
+        for i, j in ((0, 1), (3, 15), (12, 2)):
+            before = packed.cost()
+            assert packed.swap(i, j) == pytest.approx(packed.cost() - before)
+    v = spark.createDataFrame([("g", 1, "Internal", "a", [1]), ("h", 1, "Internal", "a", [1])], "graph string, id int, type string, name string, features array<int>")
+    e = spark.createDataFrame([("g", 1, 2), ("g", 1, 1), ("g", 0, 5)], "graph string, src int, dst int")
+    es = {r.graph: r.es for r in ged.packed(v, e).collect()}
+    assert ged.unpacked(es["g"]).tolist() == [[0, 1, 1], [5, 1, 2]] and es["h"] is None and ged.unpacked(None).shape == (2, 0)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -57,6 +58,14 @@ class State:
         at1, at2 = {x: i for i, x in enumerate(v1)}, {x: i for i, x in enumerate(v2)}
         self.a, self.b = np.zeros((n, n), bool), np.zeros((n, n), bool)
         for m, at, edges in ((self.a, at1, e1), (self.b, at2, e2)):
+            if isinstance(edges, np.ndarray):  # sources and targets, as rows
+                known = np.array(sorted(at), edges.dtype)
+                place = np.array([at[x] for x in sorted(at)], int)
+                found = np.searchsorted(known, edges).clip(max=max(len(known) - 1, 0))
+                if len(known):
+                    s, d = found[:, (known[found] == edges).all(0)]
+                    m[place[s], place[d]] = True
+                continue
             for s, d in edges:
                 if s in at and d in at:
                     m[at[s], at[d]] = True
@@ -81,9 +90,8 @@ class State:
     def _local(self, i: int, j: int) -> tuple[int, float]:
         """Edges not kept in the rows and columns of two places, each once, and their relabelling."""
         rows = [i, j]
-        ab = self.b[self.to]
-        diff = self.a[rows] ^ ab[rows][:, self.to]
-        cols = self.a[:, rows] ^ ab[:, self.to[rows]]
+        diff = self.a[rows] ^ self.b[self.to[rows]][:, self.to]
+        cols = self.a[:, rows] ^ self.b[:, self.to[rows]][self.to]
         return int(diff.sum() + cols.sum() - cols[rows].sum()), self.pair(i, int(self.to[i])) + self.pair(j, int(self.to[j]))
 
     def swap(self, i: int, j: int) -> float:
@@ -109,14 +117,27 @@ def anneal(state: State, rng: np.random.Generator, beta: float = BETA, cooling:
 
 
 def packed(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, vs, es): one row for each graph."""
+    """(graph, vs, es): one row for each graph; es holds its edges as compressed numbers, null without edges, as a dense graph's edges are many and its pairs carry them."""
     v = vertices.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("id", "type", "name", "features"))).alias("vs"))
-    e = edges.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("es"))
-    return v.join(e, "graph", "left").withColumn("es", F.coalesce("es", F.array().cast("array<struct<src:int,dst:int>>")))
+    e = edges.groupBy("graph", "src").agg(F.array_sort(F.collect_list("dst")).alias("to"))
+    e = e.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "to"))).alias("es"))
+
+    def run(batches):
+        for pdf in batches:
+            pdf["es"] = [zlib.compress(np.array([np.repeat([x["src"] for x in es], [len(x["to"]) for x in es]), np.concatenate([x["to"] for x in es])], "<i8").tobytes(), 1) for es in pdf["es"]]
+            yield pdf
+
+    e = e.mapInPandas(run, f"graph {vertices.schema['graph'].dataType.simpleString()}, es binary")
+    return v.join(e, "graph", "left")
+
+
+def unpacked(es: bytes | None) -> np.ndarray:
+    """Sources and targets of edges, as two rows."""
+    return np.frombuffer(zlib.decompress(es) if es is not None else b"", "<i8").reshape(2, -1)
 
 
 def distances(pairs: DataFrame, similarity: Callable, seed: int = 0, **search) -> DataFrame:
-    """(graph1, graph2, d) from pairs (graph1, vs1, es1, graph2, vs2, es2); ``similarity`` compares two features in Python.
+    """(graph1, graph2, d) from pairs of :func:`packed` graphs (graph1, vs1, es1, graph2, vs2, es2); ``similarity`` compares two features in Python.
 
     A pair's random numbers come from its names and the seed, so results don't depend on the partitioning.
     """
@@ -137,7 +158,7 @@ def distances(pairs: DataFrame, similarity: Callable, seed: int = 0, **search) -
                     return 1.0 if p["type"] != q["type"] else 1 - similarity(p["features"], q["features"])
 
                 rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{g1}:{g2}".encode()).digest()[:8], "little"))
-                state = State([*info1], [*info2], {(e["src"], e["dst"]) for e in es1}, {(e["src"], e["dst"]) for e in es2}, relabel, rng)
+                state = State([*info1], [*info2], unpacked(es1), unpacked(es2), relabel, rng)
                 out.append((g1, g2, anneal(state, rng, **search)))
             yield pd.DataFrame(out, columns=["graph1", "graph2", "d"])
 
