@@ -392,3 +392,14 @@ def test_edges_of_state(spark):
     e = spark.createDataFrame([("g", 1, 2), ("g", 1, 1), ("g", 0, 5)], "graph string, src int, dst int")
     es = {r.graph: r.es for r in ged.packed(v, e).collect()}
     assert ged.unpacked(es["g"]).tolist() == [[0, 1, 1], [5, 1, 2]] and es["h"] is None and ged.unpacked(None).shape == (2, 0)
+
+
+def test_reduced_pairs_join_no_edges(spark):
+    kinds = "graph string, id int, type string, name string, features array<bigint>"
+    v = spark.createDataFrame([("a", 0, "Internal", "f", [1, 2]), ("a", 1, "External", "x", None), ("a", 2, "External", "y", None), ("b", 0, "Internal", "g", [1, 2]), ("b", 1, "External", "x", None), ("c", 0, "Internal", "h", [1, 2])], kinds)
+    e = spark.createDataFrame([("a", 1, 2), ("a", 0, 1), ("b", 0, 1)], "graph string, src int, dst int").repartition(3)
+    df = programs.all_pair_similarity(v, e, threshold=0.5)
+    assert "dst" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.graph1, r.graph2): r.d for r in df.collect()}
+    assert got.pop(("a", "b")) in (1.5, 2.0) and got == {("a", "c"): 2.0, ("b", "c"): 1.0}  # an edge and a vertex of a are left beside a vertex of b
+    assert {r.graph: ged.unpacked(r.es).tolist() for r in ged.packed(v, e).collect()} == {"a": [[0, 1], [1, 2]], "b": [[0], [1]], "c": [[], []]}

@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftgraph.operators.graph import EXTERNAL, INTERNAL, remove_vertices
 from weftgraph.operators.pairs import greedy_classes
@@ -47,6 +49,21 @@ def relabel_cost(type1, name1, type2, name2, similarity):
     )
 
 
+def _places(at: dict, edges: np.ndarray) -> np.ndarray:
+    """Places of the ends of those edges (sources and targets, as rows) whose ends both have one."""
+    known = np.array(sorted(at), np.int64)
+    place = np.array([at[x] for x in sorted(at)], int)
+    lo, span = int(known[0]), int(known[-1]) - int(known[0]) + 1
+    if span <= 4 * len(known) + edges.size:  # a table by id costs less than searches
+        table = np.full(span, -1)
+        table[known - lo] = place
+        inside = ((edges >= lo) & (edges < lo + span)).all(0)
+        found = table[(edges if inside.all() else edges[:, inside]) - lo]
+        return found if (found >= 0).all() else found[:, (found >= 0).all(0)]
+    found = np.searchsorted(known, edges).clip(max=len(known) - 1)
+    return place[found[:, (known[found] == edges).all(0)]]
+
+
 class State:
     """A mapping under search: a permutation of padded targets, with exact costs of a swap."""
 
@@ -58,18 +75,18 @@ class State:
         at1, at2 = {x: i for i, x in enumerate(v1)}, {x: i for i, x in enumerate(v2)}
         self.a, self.b = np.zeros((n, n), bool), np.zeros((n, n), bool)
         for m, at, edges in ((self.a, at1, e1), (self.b, at2, e2)):
+            if edges is None or isinstance(edges, bytes):
+                edges = unpacked(edges)
             if isinstance(edges, np.ndarray):  # sources and targets, as rows
-                known = np.array(sorted(at), edges.dtype)
-                place = np.array([at[x] for x in sorted(at)], int)
-                found = np.searchsorted(known, edges).clip(max=max(len(known) - 1, 0))
-                if len(known):
-                    s, d = found[:, (known[found] == edges).all(0)]
-                    m[place[s], place[d]] = True
+                for lo in range(0, edges.shape[1] if at else 0, 1 << 20):
+                    s, d = _places(at, edges[:, lo : lo + (1 << 20)])
+                    m[s, d] = True
                 continue
             for s, d in edges:
                 if s in at and d in at:
                     m[at[s], at[d]] = True
         self.edges = int(self.a.sum() + self.b.sum())
+        self.at, self.bt = (np.ascontiguousarray(m.T) for m in (self.a, self.b))  # columns as rows
         self._known: dict[tuple, float] = {}
 
     def pair(self, i: int, j: int) -> float:
@@ -80,7 +97,7 @@ class State:
 
     def edge_cost(self) -> int:
         image = self.b[np.ix_(self.to, self.to)]
-        return int((self.a ^ image).sum())
+        return np.count_nonzero(self.a ^ image)
 
     def cost(self) -> float:
         padded = sum(x is None for x in self.v1) + sum(x is None for x in self.v2)
@@ -91,8 +108,8 @@ class State:
         """Edges not kept in the rows and columns of two places, each once, and their relabelling."""
         rows = [i, j]
         diff = self.a[rows] ^ self.b[self.to[rows]][:, self.to]
-        cols = self.a[:, rows] ^ self.b[:, self.to[rows]][self.to]
-        return int(diff.sum() + cols.sum() - cols[rows].sum()), self.pair(i, int(self.to[i])) + self.pair(j, int(self.to[j]))
+        cols = self.at[rows] ^ self.bt[self.to[rows]][:, self.to]
+        return np.count_nonzero(diff) + np.count_nonzero(cols) - np.count_nonzero(cols[:, rows]), self.pair(i, int(self.to[i])) + self.pair(j, int(self.to[j]))
 
     def swap(self, i: int, j: int) -> float:
         """Swap two targets; the change of the cost."""
@@ -116,24 +133,54 @@ def anneal(state: State, rng: np.random.Generator, beta: float = BETA, cooling:
     return state.cost()
 
 
+def vertex_list() -> Column:
+    """A group's vertices in order of their ids, as a pair's side holds them."""
+    return F.array_sort(F.collect_list(F.struct("id", "type", "name", "features")))
+
+
 def packed(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, vs, es): one row for each graph; es holds its edges as compressed numbers, null without edges, as a dense graph's edges are many and its pairs carry them."""
-    v = vertices.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("id", "type", "name", "features"))).alias("vs"))
-    e = edges.groupBy("graph", "src").agg(F.array_sort(F.collect_list("dst")).alias("to"))
-    e = e.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "to"))).alias("es"))
+    """(graph, vs, es): one row for each graph; es holds its edges as compressed differences of numbers, null without edges, as a dense graph's edges are many and its pairs carry them."""
+    v = vertices.groupBy("graph").agg(vertex_list().alias("vs"))
+    name = edges.schema["graph"].dataType.simpleString()
+
+    def some(batches, most=1 << 20):
+        """Edges of a task by graph, packed where they are made, so that no single edge is shuffled."""
+        held: dict = {}
+        for batch in batches:
+            of = batch.column(0).dictionary_encode()
+            at, ends = of.indices.to_numpy(), np.array([batch.column(1).to_numpy(), batch.column(2).to_numpy()], np.int64)
+            for i, g in enumerate(of.dictionary.to_pylist()):
+                held.setdefault(g, []).append(ends if len(of.dictionary) == 1 else ends[:, at == i])
+            for g in [g for g, x in held.items() if sum(y.shape[1] for y in x) >= most]:
+                yield pa.RecordBatch.from_pylist([{"graph": g, "some": _compressed(np.concatenate(held.pop(g), axis=1))}], schema)
+        for g, x in held.items():
+            yield pa.RecordBatch.from_pylist([{"graph": g, "some": _compressed(np.concatenate(x, axis=1))}], schema)
 
     def run(batches):
         for pdf in batches:
-            pdf["es"] = [zlib.compress(np.array([np.repeat([x["src"] for x in es], [len(x["to"]) for x in es]), np.concatenate([x["to"] for x in es])], "<i8").tobytes(), 1) for es in pdf["es"]]
+            ends = [np.concatenate([unpacked(x) for x in parts], axis=1) for parts in pdf.pop("parts")]
+            pdf["es"] = [_compressed(x[:, np.lexsort(x[::-1])]) for x in ends]
             yield pdf
 
-    e = e.mapInPandas(run, f"graph {vertices.schema['graph'].dataType.simpleString()}, es binary")
+    schema = pa.schema([("graph", to_arrow_type(edges.schema["graph"].dataType)), ("some", pa.binary())])
+    known = edges.select("graph", "src", "dst").where("graph is not null and src is not null and dst is not null")
+    parts = known.mapInArrow(some, f"graph {name}, some binary").groupBy("graph").agg(F.collect_list("some").alias("parts"))
+    e = parts.mapInPandas(run, f"graph {name}, es binary")
     return v.join(e, "graph", "left")
 
 
+def _compressed(edges: np.ndarray) -> bytes:
+    """Edges as compressed numbers, each less the one before it, behind a byte that gives a number's width. Sums and differences wrap around alike."""
+    width = 4 if np.abs(edges).max(initial=0) < 1 << 31 else 8
+    return bytes([width]) + zlib.compress(np.diff(edges.astype(f"<i{width}"), axis=1, prepend=0).astype(f"<i{width}").tobytes(), 1)
+
+
 def unpacked(es: bytes | None) -> np.ndarray:
     """Sources and targets of edges, as two rows."""
-    return np.frombuffer(zlib.decompress(es) if es is not None else b"", "<i8").reshape(2, -1)
+    if es is None:
+        return np.zeros((2, 0), np.int64)
+    kind = f"<i{es[0]}"
+    return np.cumsum(np.frombuffer(zlib.decompress(memoryview(es)[1:]), kind).reshape(2, -1), axis=1, dtype=kind)
 
 
 def distances(pairs: DataFrame, similarity: Callable, seed: int = 0, **search) -> DataFrame:
@@ -158,7 +205,7 @@ def distances(pairs: DataFrame, similarity: Callable, seed: int = 0, **search) -
                     return 1.0 if p["type"] != q["type"] else 1 - similarity(p["features"], q["features"])
 
                 rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{g1}:{g2}".encode()).digest()[:8], "little"))
-                state = State([*info1], [*info2], unpacked(es1), unpacked(es2), relabel, rng)
+                state = State([*info1], [*info2], es1, es2, relabel, rng)  # one graph's edges are unpacked at a time
                 out.append((g1, g2, anneal(state, rng, **search)))
             yield pd.DataFrame(out, columns=["graph1", "graph2", "d"])
 
