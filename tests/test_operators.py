@@ -424,3 +424,12 @@ def test_gml_in_pieces(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "bare.gml").write_text("graph [\n edge [\n source 1\n target 2\n ]\n]\n")
     assert [r.graph for r in gml.read(spark, str(tmp_path / "in")).collect()] == ["bare"]
+
+
+def test_lookup_of_all_pairs(spark):
+    df = spark.createDataFrame([(i, [math.sin(i * j + 1) for j in range(6)]) for i in range(40)], "id long, v array<double>")
+    table = pairs.all_distances(df).select(F.col("id").alias("a"), F.col("other").alias("b"), F.round("d", 9).alias("d"))
+    wanted = table.select("a", "b").union(df.select("id", "id"))
+    got = pairs.lookup_all(df, 9, block=16)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.lookup_distance(wanted, table).collect()))
+    assert "Join LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
