@@ -433,3 +433,46 @@ def test_lookup_of_all_pairs(spark):
     got = pairs.lookup_all(df, 9, block=16)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.lookup_distance(wanted, table).collect()))
     assert "Join LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distance_file_in_pieces(spark, tmp_path):
+    """All pairs go through pieces of a distance file as through a whole one, in blocks of any size."""
+    from weftgraph import file_queries
+
+    rng = np.random.default_rng(8)
+    pts = {i * 7: [float(x) for x in (np.ones(3) if i % 10 == 0 else 40 * rng.normal(size=3))] for i in range(60)}
+    pts[3] = [math.nan] * 3
+    pts[4] = [math.inf, 0.0, 0.0]
+    pts[5] = [3e10, 0.1, 0.2]
+
+    def read(path):
+        return {(r.id1, r.id2): repr(r.d) for r in delimited.distances(spark, path).collect()}
+
+    for some in (pts, {0: [1.0]}, {}):
+        df = spark.createDataFrame([*some.items()], "id long, v array<double>")
+        plain = pairs.all_distances(df, both=False, digits=6).select(F.col("id").alias("graph1"), F.col("other").alias("graph2"), "d")
+        sinks.write_csv(sinks.distance_csv(plain), path := str(tmp_path / f"plain-{len(some)}"))
+        want = read(path)
+        assert len(want) == len(some) * (len(some) - 1) // 2
+        for block, chunk in ((7, 3), (4096, 64)):
+            got = pairs.distances_through(df, file_queries.through_distance_file, "id1 string, id2 string, d double", (6,), block, chunk).collect()
+            assert len(got) == len(want) and {(r.id1, r.id2): repr(r.d) for r in got} == want
+    with open(tmp_path / "piece.csv", "wb") as file:
+        sinks.write_distance_piece(file, np.array([1, 2]), np.array([3, 40]), np.array([0.0, 12.5]))
+    assert (tmp_path / "piece.csv").read_text() == "graph1,graph2,GED\n1,3,0.000000\n2,40,12.500000\n"
+    assert read(str(tmp_path / "piece.csv")) == {("1", "3"): "0.0", ("2", "40"): "12.5"}
+
+
+def test_distance_file_is_not_kept(spark):
+    """What the query leaves in the shared folder are its points, not their pairs."""
+    import os
+
+    from weftgraph import file_queries
+    from weftgraph.session import new_path, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/weftgraph"
+    spark.createDataFrame([(i, [float(i), 0.0], 0) for i in range(900)], "vec_id long, embedding array<float>, label int").write.parquet((d := new_path(spark, "small")) + "/embeddings.parquet")
+    before = set(os.listdir(folder))
+    assert file_queries.src16_snk6_distance_file(spark, d).count() == 900 * 899 // 2
+    made = [os.path.join(at, f) for x in set(os.listdir(folder)) - before for at, _, files in os.walk(f"{folder}/{x}") for f in files]
+    assert sum(map(os.path.getsize, made)) < 100_000
