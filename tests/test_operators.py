@@ -505,3 +505,43 @@ def test_clusters_from_files_grow_with_points(spark):
     two = spark.createDataFrame([(9, [0.0]), (10, [1.0]), (7, [80.0]), (11, [82.0])], "id long, v array<double>")
     for text, want in ((True, {10, 11}), (False, {7, 9})):
         assert set(clustering.kmedoids_of_points(two, 2, seed=1, digits=6, text=text)[1].values()) == want
+
+
+def test_edit_distances_of_blocks():
+    """The distances of plain rows, for texts of no, one and more words of bits, in passes of any size."""
+    rng = np.random.default_rng(10)
+    for low, high, kinds in ((0, 6, 2), (60, 68, 3), (0, 300, 40)):
+        x, y = ([rng.integers(0, kinds, rng.integers(low, high)) for _ in range(n)] for n in (9, 14))
+        x[3] = y[2]
+        want = [[similarity._edit_distance(p, q) for q in y] for p in x]
+        for lanes, room in ((1 << 14, 1 << 23), (30, 1 << 23), (1 << 14, 50)):
+            assert similarity.each_edit_distance(x, y, lanes, room).tolist() == want
+    assert similarity._edit_distance(np.array([0, 1, 2, 2, 3, 4]), np.array([5, 1, 2, 2, 1, 4, 6])) == 3
+    sets = [None, np.array([0, 5000]), np.array([], int), np.array([1, 2, 0])]
+    assert similarity.each_set_jaccard(sets, sets).tolist() == [[1, 1, 1, 1], [1, 1, 0, 0.25], [1, 0, 1, 0], [1, 0.25, 0, 1]]
+
+
+def test_edit_pairs_are_whole(spark):
+    """Each pair of users once, whatever their numbers, in blocks of any size; copies, empty lists, nulls and items without a key."""
+    from weftgraph import queries
+    from weftgraph.session import new_path
+
+    rng = np.random.default_rng(11)
+    rows = [(i * 3, [f"t{x}" for x in rng.integers(0, 4, rng.integers(0, 5))]) for i in range(150)] + [(1, None), (2, []), (4, ["a", None, "b"]), (5, ["a", "b"]), (None, ["a"])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+
+    def sim(x, y):
+        if x is None or y is None or not x + y:
+            return 1.0
+        p, q = ([sum(map(ord, z)) for z in w if z is not None] for w in (x, y))
+        return round(1 - similarity._edit_distance(np.array(p), np.array(q)) / max(len(x), len(y)), 6)
+
+    want = {(i, j): sim(x, y) for i, x in rows for j, y in rows if i is not None and j is not None and i < j}
+    for block, chunk in ((70, 9), (2048, 64)):
+        got = pairs.token_edit_pairs(df, "id", "tokens", 6, block, chunk)
+        assert dict(got.dtypes) == {"a": "int", "b": "int", "sim": "double"}
+        got = got.collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.sim for r in got} == want
+    events = [(10 * u + k, u, f"e{(u + k) % 3}") for u in range(25) for k in range(4)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet((d := new_path(spark, "small")) + "/events.parquet")
+    assert queries.sim5_token_edit(spark, d).count() == 25 * 24 // 2

@@ -130,3 +130,123 @@ def each_matching(kind: str, threshold: float, strict: bool = False) -> Callable
     if strict or kind in ("weighted", "minhash"):
         return lambda s: s >= threshold
     return {"cosine": lambda s: np.abs(s) < threshold, "edit": lambda s: s < threshold, "jaccard": lambda s: np.zeros(s.shape, bool)}[kind]
+
+
+def each_edit_distance(xs: list[np.ndarray], ys: list[np.ndarray], lanes: int = 1 << 14, room: int = 1 << 23) -> np.ndarray:
+    """Edit distances of each text (an array of codes from 0) and each other.
+
+    A column of the table of distances goes on in words of 64 bits, which hold where it grows and
+    falls by one, with a carry from word to word (Myers, Hyyro). ``lanes``: pairs at a time. ``room``:
+    words of the table of a text's codes; a text that needs more gets plain rows of distances.
+    """
+    out = np.zeros((len(xs), len(ys)), np.int32)
+    if not len(xs) or not len(ys):
+        return out
+    sizes = np.array([len(y) for y in ys])
+    of_y = np.argsort(-sizes, kind="stable")
+    sizes = sizes[of_y]
+    flat = np.concatenate([np.zeros(0, np.int64), *[ys[j] for j in of_y]]).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]))  # texts that are longer than each place
+    codes = 1 + max((int(z.max()) for z in (*xs, flat) if len(z)), default=0)
+    of_x = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
+    at = 0
+    while at < len(of_x):
+        words = max(1, -(-len(xs[of_x[at]]) // 64))
+        if codes * words > room:
+            out[of_x[at]] = [_edit_distance(xs[of_x[at]], y) for y in ys]
+            at += 1
+            continue
+        n = max(1, min(lanes // len(ys), room // (codes * words), (1 << 21) // (len(ys) * words)))
+        some = of_x[at : at + n]
+        out[np.ix_(some, of_y)] = _edit_words([xs[i] for i in some], flat, starts, sizes, active, words, codes).T
+        at += n
+    return out
+
+
+def _edit_words(xs: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, active: np.ndarray, words: int, codes: int) -> np.ndarray:
+    one, top = np.uint64(1), np.uint64(63)
+    equal = np.zeros((words, codes, len(xs)), np.uint64)
+    mask = np.zeros((words, len(xs)), np.uint64)
+    for i, x in enumerate(xs):
+        place = np.arange(len(x))
+        bit = one << (place % 64).astype(np.uint64)
+        np.bitwise_or.at(equal, (place // 64, x, i), bit)
+        np.bitwise_or.at(mask, (place // 64, i), bit)
+    up = np.full((words, len(sizes), len(xs)), ~np.uint64(0))
+    down = np.zeros_like(up)
+    buffers = [np.empty((len(sizes), len(xs)), np.uint64) for _ in range(7)]
+    for t, k in enumerate(active):
+        code = flat[starts[:k] + t]
+        eq, xv, hp, hn, *turns = (b[:k] for b in buffers)
+        for w in range(words):
+            p, m = up[w, :k], down[w, :k]
+            np.take(equal[w], code, axis=0, out=eq, mode="clip")
+            np.bitwise_or(eq, m, out=xv)
+            if w:
+                np.bitwise_or(eq, fell, out=eq)  # noqa: F821
+            np.bitwise_and(eq, p, out=hn)
+            np.add(hn, p, out=hn)
+            np.bitwise_xor(hn, p, out=hn)
+            np.bitwise_or(hn, eq, out=hn)
+            np.bitwise_or(hn, p, out=hp)
+            np.invert(hp, out=hp)
+            np.bitwise_or(hp, m, out=hp)
+            np.bitwise_and(hn, p, out=hn)
+            if w + 1 < words:  # eq isn't read any more, so that it can hold a carry
+                np.right_shift(hp, top, out=turns[0])
+                np.right_shift(hn, top, out=eq)
+            np.left_shift(hp, one, out=hp)
+            np.bitwise_or(hp, rose if w else one, out=hp)  # noqa: F821
+            np.left_shift(hn, one, out=hn)
+            if w:
+                np.bitwise_or(hn, fell, out=hn)
+            np.bitwise_and(hp, xv, out=m)
+            np.bitwise_or(hp, xv, out=hp)
+            np.invert(hp, out=hp)
+            np.bitwise_or(hp, hn, out=p)
+            if w + 1 < words:
+                rose, fell = turns[1], turns[2]
+                np.copyto(rose, turns[0])
+                np.copyto(fell, eq)
+    total = np.repeat(sizes[:, None], len(xs), 1).astype(np.int32)
+    for w in range(words):
+        total += np.bitwise_count(up[w] & mask[w])
+        total -= np.bitwise_count(down[w] & mask[w])
+    return total
+
+
+def _edit_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """The same of two texts, a row of distances at a time."""
+    at = np.arange(len(y) + 1)
+    row = at
+    for i, c in enumerate(x, 1):
+        row = np.minimum.accumulate(np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != c))]) - at) + at
+    return int(row[-1])
+
+
+def each_edit_similarity(xs: list[np.ndarray | None], nx: np.ndarray, ys: list[np.ndarray | None], ny: np.ndarray) -> np.ndarray:
+    """As :func:`text_edit_similarity`, of texts and the numbers of their tokens; None: no text."""
+    empty = np.zeros(0, np.int64)
+    apart = each_edit_distance([empty if x is None else x for x in xs], [empty if y is None else y for y in ys])
+    known = np.array([x is not None for x in xs], bool)[:, None] & np.array([y is not None for y in ys], bool)[None]
+    return np.where(known, 1 - each_ratio(apart.astype(float), np.maximum(nx[:, None], ny[None]).astype(float)), 1.0)
+
+
+def each_set_jaccard(xs: list[np.ndarray | None], ys: list[np.ndarray | None], step: int = 4096) -> np.ndarray:
+    """As :func:`set_jaccard`, of sets as arrays of codes from 0; 1 where one is None."""
+    sides = [(np.repeat(np.arange(len(s)), [0 if z is None else len(z) for z in s]), np.concatenate([np.zeros(0, np.int64), *[z for z in s if z is not None]]).astype(np.int64)) for s in (xs, ys)]
+    shared = np.zeros((len(xs), len(ys)))
+    for low in range(0, 1 + max((int(c.max()) for _, c in sides if len(c)), default=0), step):
+        parts = []
+        for (row, code), s in zip(sides, (xs, ys), strict=True):
+            keep = (code >= low) & (code < low + step)
+            part = np.zeros((len(s), step if len(code) and code.max() >= step else 1 + int(code.max(initial=0))), np.float32)
+            part[row[keep], code[keep] - low] = 1
+            parts.append(part)
+        width = min(p.shape[1] for p in parts)
+        shared += parts[0][:, :width] @ parts[1][:, :width].T
+    n, m = (np.array([0 if z is None else len(np.unique(z)) for z in s]) for s in (xs, ys))
+    either = n[:, None] + m[None] - shared
+    known = np.array([x is not None for x in xs], bool)[:, None] & np.array([y is not None for y in ys], bool)[None]
+    return np.where(known & (either > 0), each_ratio(shared, either), 1.0)
