@@ -545,3 +545,33 @@ def test_edit_pairs_are_whole(spark):
     events = [(10 * u + k, u, f"e{(u + k) % 3}") for u in range(25) for k in range(4)]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet((d := new_path(spark, "small")) + "/events.parquet")
     assert queries.sim5_token_edit(spark, d).count() == 25 * 24 // 2
+
+
+def test_comparison_in_blocks(spark, tmp_path):
+    """The rows of all ordered pairs of different graphs, through a file in pieces too, which reads back as Spark reads a whole one; the shared folder keeps no pairs."""
+    import os
+
+    from weftgraph import file_queries, queries
+    from weftgraph.session import new_path, shared_dir
+
+    rng = np.random.default_rng(12)
+    items = [(f"g{i % 4}" if i else None, f"c{i % 4}", sorted({int(x) for x in rng.integers(0, 6, 4)}) if i % 7 else None, [f"t{x}" for x in rng.integers(0, 3, i % 6)]) for i in range(150)]
+    df = spark.createDataFrame(items, "graph string, class string, features array<int>, tokens array<string>")
+    plain = pairs.ordered_pairs(df, "graph", ["class", "features", "tokens"])
+    want = sorted(map(tuple, plain.select("class_a", "class_b", similarity.token_edit_similarity(F.col("tokens_a"), F.col("tokens_b")), similarity.set_jaccard(F.col("features_a"), F.col("features_b"))).collect()))
+    for block, chunk in ((70, 9), (2048, 64)):
+        assert sorted(map(tuple, pairs.edit_and_set_pairs(df, block=block, chunk=chunk).collect())) == want
+    classes = pa.array(["1", "a,b", 'q"r', None])
+    with open(tmp_path / "piece.csv", "wb") as file:
+        sinks.write_comparison_piece(file, classes, classes, np.array([0.0, 0.5, 1.0, 0.12346]), np.array([1.0, 0.25, 0.0, 0.33333]))
+    read = [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "piece.csv")).collect()]
+    assert read == [tuple(r.values()) for r in delimited.comparison_piece(str(tmp_path / "piece.csv")).to_pylist()] and read[1] == ("a,b", "a,b", "0.50000", "0.25000")
+    events = [(10 * u + k, u, f"e{(u * k) % 5}") for u in range(400) for k in range(4)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet((d := new_path(spark, "small")) + "/events.parquet")
+    folder = shared_dir(spark).removeprefix("file://") + "/weftgraph"
+    for run in (file_queries.snk8_comparison_file, queries.ev10_jn7_e10_edit_versus_sketch):
+        before = set(os.listdir(folder))
+        df = run(spark, d)
+        assert df.count() == 400 * 360 and "CartesianProduct" in df._jdf.queryExecution().executedPlan().toString()
+        made = [os.path.join(at, f) for x in set(os.listdir(folder)) - before for at, _, files in os.walk(f"{folder}/{x}") for f in files]
+        assert sum(map(os.path.getsize, made)) < 300_000
