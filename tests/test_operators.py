@@ -575,3 +575,15 @@ def test_comparison_in_blocks(spark, tmp_path):
         assert df.count() == 400 * 360 and "CartesianProduct" in df._jdf.queryExecution().executedPlan().toString()
         made = [os.path.join(at, f) for x in set(os.listdir(folder)) - before for at, _, files in os.walk(f"{folder}/{x}") for f in files]
         assert sum(map(os.path.getsize, made)) < 300_000
+
+
+def test_blocks_of_vectors_are_not_shuffled(spark):
+    """Pairs of blocks meet where they are read: no exchange lies above their join, and groups that share a block or take several give each pair once."""
+    rows = [(i, i % 3 if i < 300 else i, [float(i), 1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    kernel = lambda x, y, turned: {"s": similarity.each_sum(x[0], y[0], np.add)[0]}
+    grouped = pairs.kernel_pairs(df, "id", ["v"], kernel, {"s": pa.float64()}, by="g", block=70)
+    assert sorted(map(tuple, grouped.collect())) == [(i, j, i + j + 2.0) for i in range(300) for j in range(i + 3, 300, 3)]
+    for made, n in ((grouped, 3 * 100 * 99 // 2),):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == n and "CartesianProduct" in plan and "Exchange" not in plan
