@@ -584,6 +584,6 @@ def test_blocks_of_vectors_are_not_shuffled(spark):
     kernel = lambda x, y, turned: {"s": similarity.each_sum(x[0], y[0], np.add)[0]}
     grouped = pairs.kernel_pairs(df, "id", ["v"], kernel, {"s": pa.float64()}, by="g", block=70)
     assert sorted(map(tuple, grouped.collect())) == [(i, j, i + j + 2.0) for i in range(300) for j in range(i + 3, 300, 3)]
-    for made, n in ((grouped, 3 * 100 * 99 // 2),):
+    for made, n in ((grouped, 3 * 100 * 99 // 2), (pairs.lookup_all(df.select("id", "v"), 9, block=70), 400 * 400)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert made.count() == n and "CartesianProduct" in plan and "Exchange" not in plan
